@@ -12,16 +12,24 @@ def row_hash(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in columns]), {"ignoreNullFields": "false"}), 256)
 
 
-def set_digest(hash_col: Column) -> Column:
-    """Aggregate: digest of a multiset of sha256 hex strings.
+def limb_sums(hash_col: Column, prefix: str = "limb") -> list[Column]:
+    """Aggregates: the row count and the sums of five 48-bit limbs of sha256 hex strings.
 
-    Each hash is cut into 48-bit limbs and the limbs are summed. Sums are associative and
-    commutative, so partial sums merge in any order and the digest does not depend on row
-    order or partitioning; adding, dropping or changing any row changes it.
+    Sums are associative and commutative, so partial sums merge in any order and the result
+    does not depend on row order or partitioning; adding, dropping or changing a row changes
+    it. They can be kept per cell and added up again later.
     """
-    sums = [
-        F.sum(F.conv(F.substring(hash_col, start, size), 16, 10).cast("decimal(20,0)")).cast("string")
-        for start, size in _LIMBS
+    limbs = [
+        F.sum(F.conv(F.substring(hash_col, start, size), 16, 10).cast("decimal(20,0)")).alias(f"{prefix}{i}")
+        for i, (start, size) in enumerate(_LIMBS, 1)
     ]
-    parts = [F.coalesce(s, F.lit("0")) for s in sums]
-    return F.sha2(F.concat_ws(":", F.count(hash_col).cast("string"), *parts), 256)
+    return [F.count(hash_col).alias(f"{prefix}0"), *limbs]
+
+
+def merge_limbs(prefix: str = "limb") -> list[Column]:
+    return [F.sum(f"{prefix}{i}").alias(f"{prefix}{i}") for i in range(len(_LIMBS) + 1)]
+
+
+def finish_digest(prefix: str = "limb") -> Column:
+    parts = [F.coalesce(F.col(f"{prefix}{i}").cast("string"), F.lit("0")) for i in range(len(_LIMBS) + 1)]
+    return F.sha2(F.concat_ws(":", *parts), 256)

@@ -150,8 +150,8 @@ def melt_vintage_matrix(
     pattern = r"\d{2}M\d{1,2}" if vintage_frequency == "monthly" else r"\d{2}Q\d"
     good = [c for c in matrix.columns if re.fullmatch(re.escape(prefix) + pattern, c)]
     unknown = sorted(set(matrix.columns) - set(good) - {period})
-    text = matrix.select(period, *[F.col(c).cast("string").alias(c) for c in good])
-    long = text.unpivot([period], good, "__column", "__value")
+    cells = F.array(*[F.struct(F.lit(c).alias("__column"), F.col(c).cast("string").alias("__value")) for c in good])
+    long = matrix.select(period, F.inline(cells))
     label = F.substring(F.col("__column"), len(prefix) + 1, 16)
     return long.select(
         F.lit(prefix).alias("variable"), F.col(period).alias("observation_period"),

@@ -1,4 +1,4 @@
 import sys
 sys.path.insert(0, "/root/repo")
-from asofkit.plans import sources_catalog as m
+from asofkit.plans import joins_catalog as m
 print(" ".join(m.QUERIES))
