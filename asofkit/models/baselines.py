@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.folds import Pool, cells, cells_by_fold, cells_by_pair, test_rows
-from ..operators.rolling import last_n_mean, safe_trailing_mean
+from ..operators.rolling import last_n_mean, safe_trailing_means
 
 PREDICTION_COLUMNS = ["event_key", "cutoff_view", "model_id", "test_year", "is_provisional", "segment", "is_repeat",
                       "actual", "forecast"]
@@ -79,25 +79,29 @@ def global_means_by_pair(df: DataFrame, pairs: DataFrame, p: Pool) -> DataFrame:
     return cells_by_pair(cell, pairs, p, [], [(F.sum("__s") / F.sum("__n")).alias("global_mean")])
 
 
-def baseline_forecasts(df: DataFrame, folds: DataFrame, p: Pool, n: int = 8) -> DataFrame:
-    """Test rows with global, segment, segment x repeat, frozen and adaptive recent forecasts.
+def baseline_forecasts(df: DataFrame, folds: DataFrame, p: Pool, *, cutoffs: dict[str, str], n: int = 8) -> DataFrame:
+    """Test rows with global, segment, segment x repeat and frozen recent forecasts, and one
+    adaptive forecast per cutoff view (`{view}__adaptive`).
 
     The adaptive candidate pool is every row; each row takes the latest n results safe at its
     own cutoff, and falls back to its fold's training mean.
     """
-    adaptive = safe_trailing_mean(df, by=[p.segment], value=p.value, key=p.key, cutoff=p.cutoff, safe=p.safe,
-                                  on=p.on, n=n, out="__adaptive", count_out="n_adaptive")
+    adaptive = safe_trailing_means(df, by=[p.segment], value=p.value, key=p.key, cutoffs=cutoffs, safe=p.safe, on=p.on, n=n)
     rows = mean_forecasts(adaptive, folds, p)
     rows = rows.join(recent_means(df, folds, p, n), ["test_year", p.segment], "left")
-    return rows.withColumn("recent_frozen", F.coalesce("recent_mean", "global_mean")).withColumn(
-        "recent_adaptive", F.coalesce("__adaptive", "global_mean")).drop("__adaptive", "recent_mean")
-
-
-def to_long(rows: DataFrame, models: dict[str, str], p: Pool, *, view: str) -> DataFrame:
-    """One row per (key, model): the prediction table."""
-    items = F.array(*[F.struct(F.lit(m).alias("model_id"), F.col(c).alias("forecast")) for m, c in models.items()])
+    return rows.withColumns({
+        "recent_frozen": F.coalesce("recent_mean", "global_mean"),
+        **{f"{v}__adaptive": F.coalesce(f"{v}__mean", "global_mean") for v in cutoffs},
+    }).drop("recent_mean")
+
+
+def to_long(rows: DataFrame, models: dict[str, dict[str, str]], p: Pool) -> DataFrame:
+    """One row per (key, cutoff view, model): the prediction table. models: view -> model -> column."""
+    items = F.array(*[
+        F.struct(F.lit(view).alias("cutoff_view"), F.lit(m).alias("model_id"), F.col(c).alias("forecast"))
+        for view, columns in models.items() for m, c in columns.items()
+    ])
     return rows.select(
-        F.col(p.key).alias("event_key"), F.lit(view).alias("cutoff_view"), "test_year", "is_provisional",
-        F.col(p.segment).alias("segment"), F.col(p.repeat).alias("is_repeat"), F.col(p.value).alias("actual"),
-        F.inline(items),
+        F.col(p.key).alias("event_key"), "test_year", "is_provisional", F.col(p.segment).alias("segment"),
+        F.col(p.repeat).alias("is_repeat"), F.col(p.value).alias("actual"), F.inline(items),
     ).select(*PREDICTION_COLUMNS)

@@ -132,13 +132,27 @@ def melt_cutoffs(events: DataFrame, cutoffs: dict[str, str], view: str = "cutoff
     return events.select(*others, F.inline(pairs))
 
 
-def widen_cutoffs(joined: DataFrame, key: Sequence[str], views: Sequence[str], values: Sequence[str],
-                  view: str = "cutoff_view") -> DataFrame:
-    """Back to one row per event with `{view}__{column}` names."""
-    aggs: list[Column] = [
-        F.max(F.when(F.col(view) == v, F.col(c))).alias(f"{v}__{c}") for v in views for c in values
-    ]
-    return joined.groupBy(*key).agg(*aggs)
+def asof_join_cutoffs(
+    events: DataFrame, releases: DataFrame, *, cutoffs: dict[str, str], safe: str, tie: Sequence[str],
+    values: Sequence[str], by: Sequence[str] = (),
+) -> DataFrame:
+    """Releases known at several cutoffs, as `{view}__{value}` columns; no row is repeated.
+
+    One lookup table serves all cutoffs, so the events are never reshuffled to come back to
+    one row each.
+    """
+    right = releases.select(*dict.fromkeys([*by, *values, safe, *tie]))
+    days = F.explode(F.array(*[F.col(c) for c in cutoffs.values()])).alias("__day")
+    lookup = asof_lookup(events.select(*by, days).distinct(), right, day="__day", safe=safe, tie=tie, by=by, out="__release")
+    out = events
+    for view, column in cutoffs.items():
+        keyed = lookup.select(*[F.col(c).alias(f"__by_{c}") for c in by], "__day",
+                              *[F.col(f"__release.{v}").alias(f"{view}__{v}") for v in values])
+        condition = F.col(column) == F.col("__day")
+        for c in by:
+            condition = condition & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+        out = out.join(keyed, condition, "left").drop("__day", *[f"__by_{c}" for c in by])
+    return out
 
 
 def vintage_snapshot(vintages: DataFrame, *, by: Sequence[str], observed: str, value: str, yoy_lag: int) -> DataFrame:

@@ -9,39 +9,39 @@ FIRST_DAY = "1980-01-01"
 LAST_DAY = "2049-12-31"
 
 
-def _nth_monday(day: Column, month: int, n: int) -> Column:
-    return (F.month(day) == month) & (F.weekday(day) == 0) & (F.ceil(F.day(day) / 7) == n)
-
-
-def _fixed(day: Column) -> Column:
-    """Fixed-date federal holidays, before shifting off a weekend."""
-    month, dom = F.month(day), F.day(day)
-    return (
-        ((month == 1) & (dom == 1))
-        | ((month == 6) & (dom == 19) & (F.year(day) >= 2021))
-        | ((month == 7) & (dom == 4))
-        | ((month == 11) & (dom == 11))
-        | ((month == 12) & (dom == 25))
-    )
-
-
-def is_federal_holiday(day: Column) -> Column:
-    """Observed U.S. federal holiday: Saturday moves to Friday, Sunday to Monday."""
-    wd = F.weekday(day)
-    floating = (
-        (_nth_monday(day, 1, 3) & (F.year(day) >= 1986))
-        | _nth_monday(day, 2, 3)
-        | ((F.month(day) == 5) & (wd == 0) & (F.month(F.date_add(day, 7)) == 6))
-        | _nth_monday(day, 9, 1)
-        | _nth_monday(day, 10, 2)
-        | ((F.month(day) == 11) & (wd == 3) & (F.ceil(F.day(day) / 7) == 4))
-    )
-    observed = (
-        ((wd < 5) & _fixed(day))
-        | ((wd == 4) & _fixed(F.date_add(day, 1)))
-        | ((wd == 0) & _fixed(F.date_sub(day, 1)))
+# U.S. federal holidays. A fixed date on a Saturday is observed on Friday, on a Sunday on Monday.
+_FIXED = """(month({d}) = 1 AND day({d}) = 1) OR (month({d}) = 6 AND day({d}) = 19 AND year({d}) >= 2021)
+  OR (month({d}) = 7 AND day({d}) = 4) OR (month({d}) = 11 AND day({d}) = 11) OR (month({d}) = 12 AND day({d}) = 25)"""
+_HOLIDAY = f"""
+  (weekday(day) < 5 AND ({_FIXED.format(d="day")}))
+  OR (weekday(day) = 4 AND ({_FIXED.format(d="date_add(day, 1)")}))
+  OR (weekday(day) = 0 AND ({_FIXED.format(d="date_sub(day, 1)")}))
+  OR (weekday(day) = 0 AND (
+    (month(day) = 1 AND ceil(day(day) / 7) = 3 AND year(day) >= 1986) OR (month(day) = 2 AND ceil(day(day) / 7) = 3)
+    OR (month(day) = 5 AND month(date_add(day, 7)) = 6) OR (month(day) = 9 AND ceil(day(day) / 7) = 1)
+    OR (month(day) = 10 AND ceil(day(day) / 7) = 2)))
+  OR (weekday(day) = 3 AND month(day) = 11 AND ceil(day(day) / 7) = 4)"""
+
+_KNOWN: dict[tuple, DataFrame] = {}
+
+
+def computed_calendar(spark: SparkSession, first: str, last: str, extra_closures: DataFrame | None = None) -> DataFrame:
+    """The calendar as a plan. Neighbours lie within two weeks, so they come from a window of
+    14 rows over this one small table."""
+    days = spark.sql(f"SELECT explode(sequence(DATE '{first}', DATE '{last}')) AS day").selectExpr(
+        "day", f"({_HOLIDAY}) AS is_holiday")
+    if extra_closures is not None:
+        closed = extra_closures.select("day").distinct().withColumn("__closed", F.lit(True))
+        days = days.join(F.broadcast(closed), "day", "left").selectExpr(
+            "day", "is_holiday OR coalesce(__closed, false) AS is_holiday")
+    days = days.selectExpr("day", "is_holiday", "weekday(day) < 5 AND NOT is_holiday AS is_business_day")
+    line = Window.orderBy("day")
+    open_day = F.when(F.col("is_business_day"), F.col("day"))
+    return days.select(
+        "day", "is_holiday", "is_business_day",
+        F.min(open_day).over(line.rowsBetween(1, 14)).alias("next_business_day"),
+        F.max(open_day).over(line.rowsBetween(-14, -1)).alias("previous_business_day"),
     )
-    return floating | observed
 
 
 def business_calendar(
@@ -49,27 +49,16 @@ def business_calendar(
 ) -> DataFrame:
     """(day, is_holiday, is_business_day, next_business_day, previous_business_day).
 
-    extra_closures(day) adds closings that follow no rule. Neighbours lie within two weeks, so
-    they come from a window of 14 rows over this one small table.
+    extra_closures(day) adds closings that follow no rule. Without them the calendar depends
+    on nothing but its two dates, so it is computed once per session and kept as a literal
+    table of one row per day; plans that use it several times stay small.
     """
-    days = spark.range(1).select(
-        F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day")
-    )
-    day = F.col("day")
-    days = days.withColumn("is_holiday", is_federal_holiday(day))
     if extra_closures is not None:
-        closed = extra_closures.select("day").distinct().withColumn("__closed", F.lit(True))
-        days = days.join(F.broadcast(closed), "day", "left").select(
-            "day", (F.col("is_holiday") | F.coalesce("__closed", F.lit(False))).alias("is_holiday")
-        )
-    days = days.withColumn("is_business_day", (F.weekday(day) < 5) & ~F.col("is_holiday"))
-    line = Window.orderBy("day")
-    open_day = F.when(F.col("is_business_day"), day)
-    return days.select(
-        "day", "is_holiday", "is_business_day",
-        F.min(open_day).over(line.rowsBetween(1, 14)).alias("next_business_day"),
-        F.max(open_day).over(line.rowsBetween(-14, -1)).alias("previous_business_day"),
-    )
+        return computed_calendar(spark, first, last, extra_closures)
+    key = (spark.sparkContext.applicationId, first, last)
+    if key not in _KNOWN:
+        _KNOWN[key] = spark.createDataFrame(computed_calendar(spark, first, last).toArrow())
+    return _KNOWN[key]
 
 
 def _attach(df: DataFrame, calendar: DataFrame, on: Column, source: str, out: str) -> DataFrame:
@@ -100,24 +89,24 @@ def with_weekly_release_dates(
     published_out: str = "published_date", safe_out: str = "safe_date",
 ) -> DataFrame:
     """Nominal publication `lag_days` after the observation, moved past a holiday; safe use
-    starts on the next full business day. Runs on distinct observation dates."""
-    days = df.select(observed).where(F.col(observed).isNotNull()).distinct()
-    days = days.withColumn("__nominal", F.date_add(F.col(observed), lag_days))
-    cal = F.broadcast(
-        calendar.select(F.col("day").alias("__nominal"), "is_holiday", F.col("next_business_day").alias("__shifted"))
-    )
-    days = days.join(cal, "__nominal", "left").withColumn(
-        published_out, F.when(F.col("is_holiday"), F.col("__shifted")).otherwise(F.col("__nominal"))
-    )
-    days = with_next_business_day(days, calendar, published_out, safe_out)
-    return df.join(days.select(observed, published_out, safe_out), observed, "left")
+    starts on the next full business day. Two lookups in the broadcast calendar."""
+    out = _shifted(df, calendar, F.date_add(F.col(observed), lag_days), published_out)
+    return with_next_business_day(out, calendar, published_out, safe_out)
+
+
+def _shifted(df: DataFrame, calendar: DataFrame, nominal: Column, out: str) -> DataFrame:
+    """`nominal`, or the next business day when it is a holiday."""
+    cal = F.broadcast(calendar.select(
+        F.col("day").alias("__cal_day"),
+        F.when(F.col("is_holiday"), F.col("next_business_day")).otherwise(F.col("day")).alias(out)))
+    return df.join(cal, nominal == F.col("__cal_day"), "left").drop("__cal_day")
 
 
 def with_overridden_release_dates(
     df: DataFrame, calendar: DataFrame, observed: str, *,
     overrides: DataFrame, windows: DataFrame, lag_days: int = 3, fallback_days: int = 60,
 ) -> DataFrame:
-    """Release dates with three rules in priority order, on distinct observation dates.
+    """Release dates with three rules in priority order.
 
     1. overrides(observed, actual_published, precision, source): the stated date.
     2. windows(window_name, window_start, window_end): inside a known disruption there is no
@@ -125,33 +114,18 @@ def with_overridden_release_dates(
     3. otherwise the standard lag, moved past a holiday.
     overrides and windows are hand-kept tables of a few dozen rows.
     """
-    days = df.select(observed).where(F.col(observed).isNotNull()).distinct()
-    days = days.withColumn("__nominal", F.date_add(F.col(observed), lag_days))
-    cal = F.broadcast(
-        calendar.select(F.col("day").alias("__nominal"), "is_holiday", F.col("next_business_day").alias("__shifted"))
-    )
-    days = days.join(cal, "__nominal", "left")
-    days = days.join(F.broadcast(overrides.withColumnRenamed("observed", observed)), observed, "left")
-    days = days.join(
-        F.broadcast(windows), F.col(observed).between(F.col("window_start"), F.col("window_end")), "left"
-    )
+    day = F.col(observed)
+    out = _shifted(df, calendar, F.date_add(day, lag_days), "__standard")
+    out = out.join(F.broadcast(overrides.withColumnRenamed("observed", observed)), observed, "left")
+    out = out.join(F.broadcast(windows), day.between(F.col("window_start"), F.col("window_end")), "left")
     overridden, disrupted = F.col("actual_published").isNotNull(), F.col("window_name").isNotNull()
-    standard = F.when(F.col("is_holiday"), F.col("__shifted")).otherwise(F.col("__nominal"))
-    days = days.withColumn(
-        "nominal_published_date",
-        F.when(overridden, F.col("actual_published")).when(disrupted, F.lit(None)).otherwise(standard),
-    ).withColumn(
-        "__anchor",
-        F.when(~overridden & disrupted, F.date_add(F.col(observed), fallback_days)).otherwise(
-            F.col("nominal_published_date")
-        ),
-    )
-    days = with_next_business_day(days, calendar, "__anchor", "safe_date")
-    days = days.select(
-        observed, "nominal_published_date", "safe_date",
+    nominal = F.when(overridden, F.col("actual_published")).when(~disrupted, F.col("__standard"))
+    out = out.select(
+        *df.columns, nominal.alias("nominal_published_date"),
         F.when(overridden, F.col("precision")).when(disrupted, F.lit("window_fallback"))
         .otherwise(F.lit("standard_rule")).alias("availability_precision"),
         F.when(overridden, F.col("source")).when(disrupted, F.concat(F.lit("window:"), F.col("window_name")))
         .otherwise(F.lit("standard")).alias("release_rule"),
     )
-    return df.join(days, observed, "left")
+    anchor = F.coalesce("nominal_published_date", F.date_add(day, fallback_days))
+    return _attach(out, calendar, anchor, "next_business_day", "safe_date")

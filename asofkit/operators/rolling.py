@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .asof import asof_join
+from .asof import asof_join_cutoffs
 
 
 # ---------------------------------------------------------------- series features
@@ -61,28 +61,46 @@ def _join_slots(df: DataFrame, slots: DataFrame, keys: Sequence[str], outs: Sequ
     return df.join(right, condition, "left").drop(*[f"__k_{k}" for k in keys])
 
 
-def distinct_date_sum(
-    df: DataFrame, *, on: str, value: str, windows: dict[int, str], by: Sequence[str] = ()
+def slot_features(
+    df: DataFrame, *, on: str, by: Sequence[str] = (), value: str | None = None, sums: dict[int, str] | None = None,
+    flag: str | None = None, count_out: str | None = None, tie: Sequence[str] = (), previous: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Sum over the previous w distinct dates of the group, today excluded.
+    """Features of a group's earlier dates, from one aggregation to a slot per (group, date).
 
-    Rows are summed per (group, date) first, so rows sharing a day see the same past and
-    never each other. An all-missing day counts as a slot worth zero.
+    sums: sum of `value` over the w slots before today, per w. flag: flagged rows on earlier
+    dates. previous: values of the latest row of the slot before today. Rows sharing a day
+    see the same past and never each other.
     """
-    slots = df.groupBy(*by, on).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("__slot"))
-    w = Window.partitionBy(*by).orderBy(on)
-    slots = slots.select(
-        *by, on, *[F.sum("__slot").over(w.rowsBetween(-n, -1)).alias(out) for n, out in windows.items()]
-    )
-    return _join_slots(df, slots, [*by, on], list(windows.values()))
+    aggs, w = [], Window.partitionBy(*by).orderBy(on)
+    picks: list[Column] = []
+    outs: list[str] = []
+    if sums:
+        aggs.append(F.coalesce(F.sum(value), F.lit(0.0)).alias("__sum"))
+        picks += [F.sum("__sum").over(w.rowsBetween(-n, -1)).alias(out) for n, out in sums.items()]
+        outs += list(sums.values())
+    if flag:
+        aggs.append(F.count_if(flag).alias("__n"))
+        picks.append(F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(count_out))
+        outs.append(count_out)
+    if previous:
+        aggs.append(F.max_by(F.struct(*previous), F.struct(*tie)).alias("__last"))
+        picks += [F.lag(F.col(f"__last.{c}"), 1).over(w).alias(out) for c, out in previous.items()]
+        outs += list(previous.values())
+    slots = df.groupBy(*by, on).agg(*aggs).select(*by, on, *picks)
+    return _join_slots(df, slots, [*by, on], outs)
+
+
+def distinct_date_sum(
+    df: DataFrame, *, on: str, value: str, windows: dict[int, str], by: Sequence[str] = ()
+) -> DataFrame:
+    """Sum over the previous w distinct dates of the group, today excluded. An all-missing
+    day counts as a slot worth zero."""
+    return slot_features(df, on=on, by=by, value=value, sums=windows)
 
 
 def prior_flag_count(df: DataFrame, *, by: Sequence[str], on: str, flag: str, out: str) -> DataFrame:
     """Flagged rows of the same key on strictly earlier dates; 0 at first."""
-    slots = df.groupBy(*by, on).agg(F.count_if(flag).alias("__n"))
-    w = Window.partitionBy(*by).orderBy(on).rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.select(*by, on, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias(out))
-    return _join_slots(df, slots, [*by, on], [out])
+    return slot_features(df, on=on, by=by, flag=flag, count_out=out)
 
 
 def previous_in_group(
@@ -92,12 +110,7 @@ def previous_in_group(
 
     Ties inside the earlier day go to the largest `tie`.
     """
-    slots = df.groupBy(*by, on).agg(
-        F.max_by(F.struct(*[F.col(c).alias(o) for c, o in take.items()]), F.struct(*tie)).alias("__s")
-    )
-    w = Window.partitionBy(*by).orderBy(on)
-    slots = slots.withColumn("__p", F.lag("__s", 1).over(w)).select(*by, on, "__p.*")
-    return _join_slots(df, slots, [*by, on], list(take.values()))
+    return slot_features(df, on=on, by=by, tie=tie, previous=take)
 
 
 def trailing_days_mean(
@@ -162,23 +175,19 @@ def order_trailing_mean(
     return held.withColumn(out, array_mean(F.col("__hist"), value)).drop("__hist")
 
 
-def safe_trailing_mean(
-    pool: DataFrame, *, by: Sequence[str], value: str, key: str, cutoff: str, safe: str, on: str,
-    n: int = 8, out: str | None = None, count_out: str | None = None,
+def safe_trailing_means(
+    pool: DataFrame, *, by: Sequence[str], value: str, key: str, cutoffs: dict[str, str], safe: str, on: str, n: int = 8,
 ) -> DataFrame:
-    """Mean over the n latest same-group results known at each row's own cutoff.
+    """Mean over the n latest same-group results known at each row's own cutoff, for several
+    cutoffs at once: `{view}__mean` and `{view}__n`.
 
     A candidate needs a value and safe date <= cutoff (equality counts). The row itself is
-    taken out *after* the n latest are chosen. Also gives how many were used.
+    taken out *after* the n latest are chosen.
 
     Per (group, safe date) only the n latest candidates survive (a group-limited window, so
     each map task forwards at most n rows per day); the running list of n is then built over
     days and looked up by an as-of join on distinct (group, cutoff) pairs.
     """
-    out = out or f"{value}_safe_trailing_mean"
-    count_out = count_out or f"{value}_safe_trailing_n"
-    if {out, count_out} & set(pool.columns):
-        raise ValueError(f"safe_trailing_mean: {out} or {count_out} already present")
     newest = Window.partitionBy(*by, safe).orderBy(F.col(on).desc(), F.col(key).desc())
     top = (
         pool.where(F.col(value).isNotNull() & F.col(safe).isNotNull())
@@ -189,19 +198,29 @@ def safe_trailing_mean(
     per_day = top.groupBy(*by, safe).agg(F.array_sort(F.collect_list(item)).alias("__items"))
     running = Window.partitionBy(*by).orderBy(safe).rowsBetween(-(n - 1), 0)
     per_day = per_day.withColumn("__all", F.flatten(F.collect_list("__items").over(running)))
-    size = F.size("__all")
     per_day = per_day.select(
-        *by, F.col(safe).alias("__known"), F.slice("__all", F.greatest(size - n + 1, F.lit(1)), n).alias("__last")
-    )
-    joined = asof_join(pool, per_day, cutoff=cutoff, safe="__known", tie=["__known"], by=by,
-                       matched="__m", keep=["__last"])
-    used = F.filter(F.col("__last"), lambda s: s["k"] != F.col(key))
-    joined = joined.withColumn("__used", used)
+        *by, F.col(safe).alias("__known"),
+        F.slice("__all", F.greatest(F.size("__all") - n + 1, F.lit(1)), n).alias("last"))
+    joined = asof_join_cutoffs(pool, per_day, cutoffs=cutoffs, safe="__known", tie=["__known"], by=by, values=["last"])
+    used = {v: F.filter(F.col(f"{v}__last"), lambda s: s["k"] != F.col(key)).alias(f"{v}__used") for v in cutoffs}
+    joined = joined.select(*pool.columns, *used.values())
     return joined.select(
         *pool.columns,
-        array_mean(F.col("__used"), "v").alias(out),
-        F.coalesce(F.size("__used"), F.lit(0)).alias(count_out),
-    )
+        *[c for v in cutoffs for c in (array_mean(F.col(f"{v}__used"), "v").alias(f"{v}__mean"),
+                                       F.coalesce(F.size(f"{v}__used"), F.lit(0)).alias(f"{v}__n"))])
+
+
+def safe_trailing_mean(
+    pool: DataFrame, *, by: Sequence[str], value: str, key: str, cutoff: str, safe: str, on: str,
+    n: int = 8, out: str | None = None, count_out: str | None = None,
+) -> DataFrame:
+    """The same for one cutoff, under the names given."""
+    out = out or f"{value}_safe_trailing_mean"
+    count_out = count_out or f"{value}_safe_trailing_n"
+    if {out, count_out} & set(pool.columns):
+        raise ValueError(f"safe_trailing_mean: {out} or {count_out} already present")
+    found = safe_trailing_means(pool, by=by, value=value, key=key, cutoffs={"at": cutoff}, safe=safe, on=on, n=n)
+    return found.withColumnsRenamed({"at__mean": out, "at__n": count_out})
 
 
 def last_n_mean(

@@ -110,8 +110,10 @@ def weekly_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weekly_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per week: value_A, value_N, value_R and its publication and safe dates."""
-    wide = weekly_long(spark, sf_dir).groupBy("observed").pivot("series", list(FLAGS)).agg(F.first("value", True))
-    wide = wide.select("observed", *[F.col(f).alias(f"value_{f}") for f in FLAGS])
+    week = F.date_add(F.date_trunc("week", "l_shipdate").cast("date"), 2)
+    flag, price = F.col("l_returnflag"), F.col("l_extendedprice")
+    wide = table(spark, sf_dir, "lineitem").groupBy(week.alias("observed")).agg(
+        *[F.round(F.sum(F.when(flag == f, price)), 2).alias(f"value_{f}") for f in FLAGS])
     return cal.with_weekly_release_dates(wide, calendar(spark), "observed")
 
 

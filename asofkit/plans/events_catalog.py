@@ -45,21 +45,13 @@ ASOF LEFT JOIN wkrel p ON p.safe_date <= e.pre_event_cutoff
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trailing supply, previous event and the release known at each cutoff, per event."""
-    ev = an.events_with_cutoffs(spark, sf_dir)
-    feats = ro.distinct_date_sum(
-        ev, on="announce_date", value="amount", by=["segment"], windows={4: "segment_sum_4", 8: "segment_sum_8"}
-    )
-    feats = ro.previous_in_group(
-        feats, by=["segment"], on="announce_date", tie=["event_key"],
-        take={"amount": "previous_amount", "event_date": "previous_event_date"},
-    )
-    cutoffs = {"announcement": "announcement_cutoff", "pre_event": "pre_event_cutoff"}
-    views = asof.melt_cutoffs(feats, cutoffs)
-    releases = an.weekly_releases(spark, sf_dir).select("observed", "safe_date", "value_A")
-    hit = asof.asof_join(views, releases, cutoff="cutoff", safe="safe_date", tie=["observed"])
-    base = ["event_key", "segment", "announce_date", "event_date", "segment_sum_4", "segment_sum_8",
-            "previous_amount", "previous_event_date"]
-    wide = asof.widen_cutoffs(hit, base, list(cutoffs), ["observed", "value_A"])
+    ev = an.events_with_cutoffs(spark, sf_dir).drop("entity_id", "is_repeat", "result_safe_date")
+    feats = ro.slot_features(
+        ev, by=["segment"], on="announce_date", value="amount", sums={4: "segment_sum_4", 8: "segment_sum_8"},
+        tie=["event_key"], previous={"amount": "previous_amount", "event_date": "previous_event_date"})
+    wide = asof.asof_join_cutoffs(
+        feats, an.weekly_releases(spark, sf_dir), safe="safe_date", tie=["observed"], values=["observed", "value_A"],
+        cutoffs={"announcement": "announcement_cutoff", "pre_event": "pre_event_cutoff"})
     return wide.select(
         "event_key", "segment", "announce_date",
         F.round("segment_sum_4", 2).alias("segment_sum_4"), F.round("segment_sum_8", 2).alias("segment_sum_8"),

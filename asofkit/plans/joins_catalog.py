@@ -51,7 +51,7 @@ def asof_release_join(spark, sf_dir):
 w AS (SELECT observed, max(safe_date) AS safe_date, max(CASE WHEN series = 'A' THEN value END) AS a, max(CASE WHEN series = 'R' THEN value END) AS r FROM d GROUP BY 1),
 u AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY safe_date ORDER BY observed DESC) = 1)
 SELECT event_key, observed, a AS value_A, r AS value_R, CAST(pre_event_cutoff - observed AS INTEGER) AS age_days,
-  CAST((SELECT count(*) FROM range(0, 60) q(i) WHERE i < pre_event_cutoff - observed AND isodow(observed + CAST(i AS INTEGER)) < 6) AS INTEGER) AS age_weekdays
+  CASE WHEN observed IS NOT NULL THEN CAST((SELECT count(*) FROM range(0, 60) q(i) WHERE i < pre_event_cutoff - observed AND isodow(observed + CAST(i AS INTEGER)) < 6) AS INTEGER) END AS age_weekdays
 FROM evc ASOF LEFT JOIN u ON u.safe_date <= pre_event_cutoff WHERE observed IS NULL OR pre_event_cutoff - observed < 60"""))
 def asof_daily_join(spark, sf_dir):
     wide = no.pivot_first(an.daily_long(spark, sf_dir), index=["observed"], entity="series", entities=an.FLAGS, value="value", prefix="value_")
@@ -159,8 +159,8 @@ SELECT event_key, a.observed AS announcement__observed, a.value_A AS announcemen
 FROM evc ASOF LEFT JOIN wkrel a ON a.safe_date <= announcement_cutoff ASOF LEFT JOIN wkrel p ON p.safe_date <= pre_event_cutoff"""))
 def join_table_both_cutoffs(spark, sf_dir):
     ev = an.events_with_cutoffs(spark, sf_dir).select("event_key", *CUTOFFS.values())
-    return fe.join_table(ev, mx.weekly(spark, sf_dir), key=["event_key"], cutoffs=CUTOFFS, safe="safe_date", tie=["observed"],
-                         values=["observed", "value_A"])
+    out = asof.asof_join_cutoffs(ev, mx.weekly(spark, sf_dir), cutoffs=CUTOFFS, safe="safe_date", tie=["observed"], values=["observed", "value_A"])
+    return out.drop(*CUTOFFS.values())
 
 
 @query("between_cutoff_updates", sql("evc wkrel", """
@@ -170,8 +170,7 @@ SELECT event_key, CAST(pre_event_cutoff - announcement_cutoff AS INTEGER) AS gap
 FROM evc ASOF LEFT JOIN wkrel a ON a.safe_date <= announcement_cutoff ASOF LEFT JOIN wkrel p ON p.safe_date <= pre_event_cutoff"""))
 def between_cutoff_updates(spark, sf_dir):
     ev = an.events_with_cutoffs(spark, sf_dir).select("event_key", *CUTOFFS.values())
-    table = fe.join_table(ev, mx.weekly(spark, sf_dir), key=["event_key"], cutoffs=CUTOFFS, safe="safe_date", tie=["observed"],
-                          values=["observed", "value_A"], carry=list(CUTOFFS.values()))
+    table = asof.asof_join_cutoffs(ev, mx.weekly(spark, sf_dir), cutoffs=CUTOFFS, safe="safe_date", tie=["observed"], values=["observed", "value_A"])
     out = fe.cutoff_updates(table, key=["event_key"], first="announcement", second="pre_event", cutoffs=CUTOFFS,
                             identities={"new_release": "observed"}, changes=["value_A"])
     return out.withColumn("value_A_change", F.round("value_A_change", 2))
@@ -350,7 +349,7 @@ FROM evc ASOF LEFT JOIN wkrel a ON a.safe_date <= announcement_cutoff ASOF LEFT
 WHERE pre_event_cutoff >= announcement_cutoff"""))
 def cutoff_monotonicity(spark, sf_dir):
     ev = an.events_with_cutoffs(spark, sf_dir).where("pre_event_cutoff >= announcement_cutoff").select("event_key", *CUTOFFS.values())
-    t = fe.join_table(ev, mx.weekly(spark, sf_dir), key=["event_key"], cutoffs=CUTOFFS, safe="safe_date", tie=["observed"], values=["observed"])
+    t = asof.asof_join_cutoffs(ev, mx.weekly(spark, sf_dir), cutoffs=CUTOFFS, safe="safe_date", tie=["observed"], values=["observed"])
     return ga.monotonicity(t, earlier="announcement__observed", later="pre_event__observed")
 
 

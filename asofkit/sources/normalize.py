@@ -150,8 +150,8 @@ def melt_vintage_matrix(
     pattern = r"\d{2}M\d{1,2}" if vintage_frequency == "monthly" else r"\d{2}Q\d"
     good = [c for c in matrix.columns if re.fullmatch(re.escape(prefix) + pattern, c)]
     unknown = sorted(set(matrix.columns) - set(good) - {period})
-    cells = F.array(*[F.struct(F.lit(c).alias("__column"), F.col(c).cast("string").alias("__value")) for c in good])
-    long = matrix.select(period, F.inline(cells))
+    long = matrix.select(period, F.posexplode(F.array(*[F.col(c).cast("string") for c in good])).alias("__at", "__value"))
+    long = long.withColumn("__column", F.element_at(F.lit(good), F.col("__at") + 1))
     label = F.substring(F.col("__column"), len(prefix) + 1, 16)
     return long.select(
         F.lit(prefix).alias("variable"), F.col(period).alias("observation_period"),
@@ -214,17 +214,15 @@ def regime_label(day: Column | str, starts: Sequence[tuple[str, str]]) -> Column
 def with_vintage_release_dates(
     long: DataFrame, calendar: DataFrame, *, frequency: str, day: int, precision: str
 ) -> DataFrame:
-    """Nominal and safe date of each vintage, computed once per distinct vintage."""
+    """Nominal and safe date of each vintage: the given day, clamped to the month's length; a
+    quarterly vintage is dated in its middle month."""
     from ..functions.dates import clamped_day
     from ..operators.calendar import with_next_business_day
 
-    keys = ["vintage_year", "vintage_period"]
     month = F.col("vintage_period") if frequency == "monthly" else F.col("vintage_period") * 3 - 1
-    vintages = long.select(*keys).distinct().withColumn(
-        "nominal_published_date", clamped_day(F.col("vintage_year"), month, day)
-    )
-    vintages = with_next_business_day(vintages, calendar, "nominal_published_date", "safe_date")
-    return long.join(vintages.withColumn("availability_precision", F.lit(precision)), keys, "left")
+    dated = long.withColumns({
+        "nominal_published_date": clamped_day(F.col("vintage_year"), month, day), "availability_precision": F.lit(precision)})
+    return with_next_business_day(dated, calendar, "nominal_published_date", "safe_date")
 
 
 def vintage_index(long: DataFrame) -> DataFrame:
