@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.folds import Pool, inner_test_rows, test_rows, walk_forward_pairs
 from ..operators.quantiles import exact_quantiles
 from ..operators.rolling import safe_trailing_mean
+from ..session import materialise
 from .surprise import apply_surprise, fit_surprise, group_sums_by_fold, group_sums_by_pair, surprise_cells
 
 STRESS_PERCENTILE = 0.90
@@ -38,7 +39,7 @@ def thresholds(train_surprise: DataFrame, percentile: float = STRESS_PERCENTILE)
 
 def stress_labels(df: DataFrame, folds: DataFrame, p: Pool, regime: str = "regime", percentile: float = STRESS_PERCENTILE) -> DataFrame:
     """(test_year, role, key, surprise, label). A missing surprise gives a missing label."""
-    train = cross_fitted_surprise(df, folds, p, regime)
+    train = materialise(cross_fitted_surprise(df, folds, p, regime).select("test_year", p.key, "surprise"))
     cut = thresholds(train, percentile)
     sums = group_sums_by_fold(surprise_cells(df, p, regime), folds, p)
     test = apply_surprise(test_rows(df, folds, p), sums, fit_surprise(sums, ["test_year"]), p, regime, ["test_year"])

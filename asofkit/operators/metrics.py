@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialise
 from .quantiles import bounded_quantiles, exact_quantiles
 
 SCOPES = ("complete", "complete_plus_provisional", "provisional")
@@ -120,7 +121,8 @@ def case_studies(paired: DataFrame, by: Sequence[str], *, scale: float = 100.0)
     Ties: the largest gain takes the last key, the others the first.
     """
     gain = (F.abs(F.col("benchmark_forecast") - F.col("actual")) - F.abs(F.col("forecast") - F.col("actual"))) * scale
-    rows = paired.where(F.col("actual").isNotNull()).select(*by, "event_key", gain.alias("gain"))
+    # rounded so that equal gains stay equal whatever the order of summation above them
+    rows = paired.where(F.col("actual").isNotNull()).select(*by, "event_key", F.round(gain, 9).alias("gain"))
     med = exact_quantiles(rows, by=by, value="gain", probs=[0.5]).select(*by, F.col("quantiles")[0].alias("__m"))
     rows = rows.join(F.broadcast(med), list(by)) if by else rows.join(F.broadcast(med), F.lit(True))
     item = F.struct("event_key", "gain")
@@ -205,19 +207,19 @@ def average_precision(rows: DataFrame, by: Sequence[str], *, proba: str, label:
     """
     part = chunk if chunk is not None else F.floor(F.col(proba) * 4096)
     per_score = rows.where(F.col(label).isNotNull()).groupBy(*by, part.alias("__c"), F.col(proba).alias("__s")).agg(
-        F.count("*").alias("__n"), F.sum(F.col(label).cast("long")).alias("__p"))
-    per_chunk = per_score.groupBy(*by, "__c").agg(F.sum("__n").alias("__cn"), F.sum("__p").alias("__cp"))
+        F.count("*").alias("__sn"), F.sum(F.col(label).cast("long")).alias("__sp"))
+    per_chunk = per_score.groupBy(*by, "__c").agg(F.sum("__sn").alias("__cn"), F.sum("__sp").alias("__cp"))
     above = Window.partitionBy(*by).orderBy(F.col("__c").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     carry = per_chunk.select(
         *by, "__c", F.coalesce(F.sum("__cn").over(above), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__cp").over(above), F.lit(0)).alias("__p0"),
-        F.sum("__cn").over(whole).alias("__N"), F.sum("__cp").over(whole).alias("__P"))
+        F.sum("__cn").over(whole).alias("__all_n"), F.sum("__cp").over(whole).alias("__all_p"))
     down = Window.partitionBy(*by, "__c").orderBy(F.col("__s").desc()).rowsBetween(Window.unboundedPreceding, 0)
     t = per_score.join(carry, [*by, "__c"])
-    n, p = F.col("__n0") + F.sum("__n").over(down), F.col("__p0") + F.sum("__p").over(down)
-    t = t.withColumn("__term", F.col("__p") * (p / n))
-    both = (F.max("__P") > 0) & (F.max("__P") < F.max("__N"))
-    return t.groupBy(*by).agg(F.when(both, F.try_divide(F.sum("__term"), F.max("__P"))).alias("average_precision"))
+    n, p = F.col("__n0") + F.sum("__sn").over(down), F.col("__p0") + F.sum("__sp").over(down)
+    t = t.withColumn("__term", F.col("__sp") * (p / n))
+    both = (F.max("__all_p") > 0) & (F.max("__all_p") < F.max("__all_n"))
+    return t.groupBy(*by).agg(F.when(both, F.try_divide(F.sum("__term"), F.max("__all_p"))).alias("average_precision"))
 
 
 def calibration_table(rows: DataFrame, by: Sequence[str], *, proba: str, label: str, bins: int = 5) -> DataFrame:
@@ -293,7 +295,7 @@ def block_bootstrap(values: DataFrame, by: Sequence[str], *, value: str, order:
     run and cluster. Groups of one year get no interval.
     """
     pos = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
-    years = values.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"), pos.alias("__i"))
+    years = materialise(values.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"), pos.alias("__i")))
     size = years.groupBy(*by).agg(F.count("*").alias("n_years"), F.avg("__v").alias("point"))
     spark = values.sparkSession
     draws = spark.range(n_boot).withColumnRenamed("id", "__b")

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-_ACCURACY = 2000
+_ACCURACY = 10_000
+# groups up to this many rows are ranked whole; above it brackets are wide enough
+_SMALL = 100_000
 
 
 def bounded_quantiles(df: DataFrame, *, by: Sequence[str], value: str, probs: Sequence[float], out: str = "quantiles") -> DataFrame:
@@ -16,15 +18,16 @@ def bounded_quantiles(df: DataFrame, *, by: Sequence[str], value: str, probs: Se
 
 
 def exact_quantiles(
-    df: DataFrame, *, by: Sequence[str], value: str, probs: Sequence[float], out: str = "quantiles", accuracy: int = _ACCURACY,
+    df: DataFrame, *, by: Sequence[str], value: str, probs: Sequence[float], out: str = "quantiles", accuracy: int = _ACCURACY, small_group: int = _SMALL,
 ) -> DataFrame:
     """Linear-interpolated quantiles of every group, as an array in the order of `probs`.
 
     A mergeable sketch first brackets each wanted rank; rows are then counted below the
     bracket and only the distinct values inside it are ranked. The sketch's rank error is at
-    most n / accuracy, and brackets are widened by twice that on both sides, so the wanted
-    ranks always lie inside and the result is exact. About 4 / accuracy of a group per
-    probability reaches one task.
+    most n / accuracy and brackets reach twice that to both sides, so in a group of more than
+    _SMALL rows the wanted ranks lie inside with ranks to spare and the result is exact.
+    Smaller groups are bracketed by their minimum and maximum. One task sees at most _SMALL
+    rows, or about 4 / accuracy of a larger group per probability.
     """
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
     width = 2.0 / accuracy
@@ -33,11 +36,12 @@ def exact_quantiles(
         F.count("*").alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
         F.percentile_approx("__v", edges, accuracy).alias("__edges"),
     )
+    small = F.col("__n") <= small_group
     brackets = F.array(*[
         F.struct(
             F.lit(float(p)).alias("prob"), F.lit(i).alias("pos"),
-            (F.col("__min") if edges[2 * i] == 0.0 else F.col("__edges")[2 * i]).alias("lo"),
-            (F.col("__max") if edges[2 * i + 1] == 1.0 else F.col("__edges")[2 * i + 1]).alias("hi"),
+            (F.col("__min") if edges[2 * i] == 0.0 else F.when(small, F.col("__min")).otherwise(F.col("__edges")[2 * i])).alias("lo"),
+            (F.col("__max") if edges[2 * i + 1] == 1.0 else F.when(small, F.col("__max")).otherwise(F.col("__edges")[2 * i + 1])).alias("hi"),
         ) for i, p in enumerate(probs)
     ])
     wanted = sketch.select(*by, "__n", F.inline(brackets))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..models import baselines as bl, intervals as iv, shrinkage as sh
+from ..models import baselines as bl, intervals as iv, labels as la, shrinkage as sh
 from ..operators import folds as fo
+from ..session import materialise
 from . import analogs as an
 
 POOL = fo.Pool()
@@ -19,26 +20,37 @@ def folds(pool: DataFrame) -> DataFrame:
     return fo.fold_origins(pool, POOL, first_year=an.COMPLETE_YEARS[0], last_complete=an.COMPLETE_YEARS[1])
 
 
+def staged_pool(spark, sf_dir) -> DataFrame:
+    """The modelling pool, written once: folds, fits and test rows all read it."""
+    return materialise(an.pool(spark, sf_dir))
+
+
+def regime_pool(spark, sf_dir) -> DataFrame:
+    """The pool with each row's safe trailing mean, written once."""
+    return materialise(la.with_safe_regime(staged_pool(spark, sf_dir), POOL))
+
+
 def forecast_rows(spark, sf_dir) -> DataFrame:
     """Test rows of all folds with every baseline side by side."""
-    pool = an.pool(spark, sf_dir)
+    pool = staged_pool(spark, sf_dir)
     f = folds(pool)
     rows = bl.baseline_forecasts(pool, f, POOL, cutoffs=CUTOFFS)
     return sh.shrinkage_forecasts(rows, sh.shrunk_means(pool, f, POOL), POOL)
 
 
 def predictions(spark, sf_dir) -> DataFrame:
-    """Long prediction table: both cutoffs, six models, five folds."""
-    return bl.to_long(forecast_rows(spark, sf_dir), MODELS, POOL)
+    """Long prediction table: both cutoffs, six models, five folds. The side-by-side rows are
+    written once; every metric table reads them."""
+    return bl.to_long(materialise(forecast_rows(spark, sf_dir)), MODELS, POOL)
 
 
 def interval_rows(spark, sf_dir) -> DataFrame:
     """Test rows with residual-quantile intervals around the frozen forecast."""
-    pool = an.pool(spark, sf_dir)
+    pool = staged_pool(spark, sf_dir)
     f = folds(pool)
     rows = bl.mean_forecasts(pool, f, POOL).join(bl.recent_means(pool, f, POOL), ["test_year", "segment"], "left")
     rows = rows.withColumn("point", F.coalesce("recent_mean", "global_mean"))
-    offsets = iv.residual_offsets(iv.walk_forward_residuals(pool, f, POOL), POOL)
+    offsets = iv.residual_offsets(materialise(iv.walk_forward_residuals(pool, f, POOL)), POOL)
     out = iv.interval_forecasts(rows, offsets, POOL, point="point")
     return out.withColumnRenamed("primary_share", "actual")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arithmetic as ar, dates as dt
 from ..operators import asof, calendar as cal, features as fe, gates as ga, quality as qu, rolling as ro
+from ..session import materialise
 from ..sources import normalize as no
 from . import analogs as an, matrix as mx
 from .oracle import cte, sql
@@ -368,20 +369,14 @@ def matrix_digests(spark, sf_dir):
     return content_digest(mx.predictor_matrix(mx.joined(spark, sf_dir)))
 
 
-def _perturbed(spark, sf_dir):
-    return [
-        ("shuffled", mx.matrix_from(*mx.shuffled(spark, sf_dir))),
-        ("future_rows", mx.matrix_from(*mx.with_future_rows(spark, sf_dir))),
-        ("poisoned_outcomes", mx.matrix_from(*mx.poisoned(spark, sf_dir))),
-    ]
-
-
 @query("perturbation_gates", "SELECT * FROM (VALUES ('shuffled', 0), ('future_rows', 0), ('poisoned_outcomes', 0)) t(gate, n_changed)")
 def perturbation_gates(spark, sf_dir):
-    base = mx.matrix_from(*mx.inputs(spark, sf_dir))
+    inputs = mx.staged_inputs(spark, sf_dir)
+    base = materialise(mx.matrix_from(*inputs))
     out = None
-    for name, other in _perturbed(spark, sf_dir):
-        row = ga.changed_rows(base, other, key=["event_key", "cutoff_view"]).select(F.lit(name).alias("gate"), "n_changed")
+    for name, changed in (("shuffled", mx.shuffled(inputs)), ("future_rows", mx.with_future_rows(inputs)),
+                          ("poisoned_outcomes", mx.poisoned(spark, sf_dir, inputs))):
+        row = ga.changed_rows(base, mx.matrix_from(*changed), key=["event_key", "cutoff_view"]).select(F.lit(name).alias("gate"), "n_changed")
         out = row if out is None else out.unionByName(row)
     return out
 

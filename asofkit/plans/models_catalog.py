@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..models import baselines as bl, intervals as iv, labels as la, shrinkage as sh, surprise as su
 from ..operators import folds as fo, metrics as me, rolling as ro
+from ..session import materialise
 from ..sources.sinks import nested_records
 from . import analogs as an, backtest as bt
 from .oracle import cte, sql
@@ -107,7 +108,7 @@ SELECT f.test_year, f.fit_origin, f.is_provisional, (SELECT count(*) FROM tr WHE
   (SELECT count(*) FROM te WHERE te.test_year = f.test_year) AS n_test,
   (SELECT count(*) FROM pool p WHERE p.event_year < f.test_year AND p.result_safe_date > f.fit_origin) AS n_dropped FROM folds f"""))
 def rolling_origin_folds(spark, sf_dir):
-    pool = an.pool(spark, sf_dir)
+    pool = bt.staged_pool(spark, sf_dir)
     return fo.fold_manifest(pool, bt.folds(pool), P).drop("train_digest", "test_digest")
 
 
@@ -120,7 +121,7 @@ x AS (SELECT test_year, sha256(concat_ws(':', count(*), {_LIMBS})) AS train_dige
 y AS (SELECT test_year, sha256(concat_ws(':', count(*), {_LIMBS})) AS test_digest FROM b GROUP BY 1)
 SELECT test_year, train_digest, test_digest FROM x JOIN y USING (test_year)"""))
 def fold_manifest_digests(spark, sf_dir):
-    pool = an.pool(spark, sf_dir)
+    pool = bt.staged_pool(spark, sf_dir)
     return fo.fold_manifest(pool, bt.folds(pool), P).select("test_year", "train_digest", "test_digest")
 
 
@@ -128,7 +129,7 @@ def fold_manifest_digests(spark, sf_dir):
 SELECT f.test_year, CASE WHEN event_year = f.test_year THEN 'test' WHEN result_safe_date <= fit_origin THEN 'train' ELSE 'dropped' END AS role, event_key
 FROM pool JOIN folds f ON event_year <= f.test_year"""))
 def fold_membership(spark, sf_dir):
-    pool = an.pool(spark, sf_dir)
+    pool = bt.staged_pool(spark, sf_dir)
     return fo.fold_rows(pool, bt.folds(pool), P)
 
 
@@ -147,7 +148,7 @@ SELECT test_year, n_years, inner_year, inner_origin, coalesce(nt, 0) AS n_inner_
   CASE WHEN n_years < 2 THEN 'too_few_years' WHEN coalesce(nt, 0) < 50 THEN 'too_few_rows' END AS reason_unusable, n_years >= 2 AND coalesce(nt, 0) >= 50 AS usable
 FROM s JOIN o USING (test_year) LEFT JOIN n USING (test_year)"""))
 def inner_holdouts(spark, sf_dir):
-    pool = an.pool(spark, sf_dir)
+    pool = bt.staged_pool(spark, sf_dir)
     return fo.inner_holdouts(pool, bt.folds(pool), P)
 
 
@@ -159,14 +160,14 @@ QUALIFY event_year > min(event_year) OVER (PARTITION BY test_year)
 
 @query("walk_forward_pairs", sql("pairs", "SELECT test_year, fit_origin, inner_year, inner_origin FROM pairs"))
 def walk_forward_pairs(spark, sf_dir):
-    pool = an.pool(spark, sf_dir)
+    pool = bt.staged_pool(spark, sf_dir)
     return fo.walk_forward_pairs(pool, bt.folds(pool), P)
 
 
 @query("candidate_pool_sizes", sql("folds pool", """
 SELECT f.test_year, count(*) AS n_candidates FROM pool JOIN folds f ON event_year < f.test_year GROUP BY 1"""))
 def candidate_pool_sizes(spark, sf_dir):
-    pool = an.pool(spark, sf_dir)
+    pool = bt.staged_pool(spark, sf_dir)
     cell = fo.cells(pool, P, [], [F.count("*").alias("n")])
     return cell.join(F.broadcast(bt.folds(pool)), F.col("event_year") < F.col("test_year")).groupBy("test_year").agg(
         F.sum("n").alias("n_candidates"))
@@ -177,7 +178,7 @@ def candidate_pool_sizes(spark, sf_dir):
 @query("mean_baselines", sql("predw", """
 SELECT event_key, test_year, round(global_mean, 8) AS global_mean, round(segment_mean, 8) AS segment_mean, round(segment_repeat_mean, 8) AS segment_repeat_mean FROM predw"""))
 def mean_baselines(spark, sf_dir):
-    pool = an.pool(spark, sf_dir)
+    pool = bt.staged_pool(spark, sf_dir)
     rows = bl.mean_forecasts(pool, bt.folds(pool), P)
     return rounded(rows.select("event_key", "test_year", "global_mean", "segment_mean", "segment_repeat_mean"), 8)
 
@@ -186,13 +187,13 @@ def mean_baselines(spark, sf_dir):
 SELECT test_year, NULL AS segment, NULL AS is_repeat, 0 AS level, n, round(m, 8) AS mean FROM g0
 UNION ALL SELECT test_year, segment, NULL, 1, n, round(m, 8) FROM g1 UNION ALL SELECT test_year, segment, is_repeat, 2, n, round(m, 8) FROM g2"""))
 def mean_levels(spark, sf_dir):
-    pool = an.pool(spark, sf_dir)
+    pool = bt.staged_pool(spark, sf_dir)
     return rounded(bl.mean_levels(pool, bt.folds(pool), P), 8)
 
 
 @query("recent_history_frozen", sql("rec", "SELECT test_year, segment, round(m, 8) AS recent_mean, n AS n_recent FROM rec"))
 def recent_history_frozen(spark, sf_dir):
-    pool = an.pool(spark, sf_dir)
+    pool = bt.staged_pool(spark, sf_dir)
     return rounded(bl.recent_means(pool, bt.folds(pool), P), 8)
 
 
@@ -205,7 +206,7 @@ def all_baseline_predictions(spark, sf_dir):
 @query("shrinkage_table", sql("sh2", """
 SELECT test_year, segment, is_repeat, n, round(weight, 7) AS weight, round(prior, 8) AS prior, round(est, 8) AS estimate FROM sh2"""))
 def shrinkage_table(spark, sf_dir):
-    pool = an.pool(spark, sf_dir)
+    pool = bt.staged_pool(spark, sf_dir)
     t = sh.shrunk_means(pool, bt.folds(pool), P)
     return t.select("test_year", "segment", "is_repeat", "n", F.round("weight", 7).alias("weight"), F.round("prior", 8).alias("prior"),
                     F.round("estimate", 8).alias("estimate"))
@@ -238,14 +239,10 @@ cte("pte", "pairs rp", "SELECT q.test_year, q.inner_year, p.* FROM rp p JOIN pai
 _surprise_cte("2", "test_year, inner_year", "ptr", "pte")
 
 
-def _regime_pool(spark, sf_dir):
-    return la.with_safe_regime(an.pool(spark, sf_dir), P)
-
-
 @query("surprise_walk_forward", sql("ss1", """
 SELECT event_key, test_year, round(expected, 7) AS expected, round(primary_share - expected, 7) AS surprise FROM ss1"""))
 def surprise_walk_forward(spark, sf_dir):
-    pool = _regime_pool(spark, sf_dir)
+    pool = bt.regime_pool(spark, sf_dir)
     out = su.walk_forward_surprise(pool, bt.folds(pool), P, "regime")
     return rounded(out.select("event_key", "test_year", "expected", "surprise"), 7)
 
@@ -270,13 +267,13 @@ cte("thr", "ss2", "SELECT test_year, quantile_cont(primary_share - expected, 0.9
 SELECT test_year, 'train' AS role, event_key, round(primary_share - expected, 7) AS surprise, primary_share - expected >= threshold AS label FROM ss2 JOIN thr USING (test_year)
 UNION ALL SELECT test_year, 'test', event_key, round(primary_share - expected, 7), primary_share - expected >= threshold FROM ss1 LEFT JOIN thr USING (test_year)"""))
 def stress_labels(spark, sf_dir):
-    pool = _regime_pool(spark, sf_dir)
+    pool = bt.regime_pool(spark, sf_dir)
     return rounded(la.stress_labels(pool, bt.folds(pool), P), 7)
 
 
 @query("inner_holdout_labels")
 def inner_holdout_labels(spark, sf_dir):
-    pool = _regime_pool(spark, sf_dir)
+    pool = bt.regime_pool(spark, sf_dir)
     f = bt.folds(pool)
     return la.inner_holdout_labels(pool, fo.inner_holdouts(pool, f, P), f, P)
 
@@ -287,7 +284,7 @@ t AS (SELECT p AS percentile, (SELECT quantile_cont(x, [0.75, 0.8, 0.9, 0.95]) F
 SELECT CAST(percentile AS DOUBLE) AS percentile, round(threshold, 7) AS threshold, count(*) AS n_train, count_if(x >= threshold) AS n_flagged,
   round(count_if(x >= threshold) / count(*), 7) AS fraction_flagged FROM t, s GROUP BY 1, 2"""))
 def percentile_thresholds(spark, sf_dir):
-    pool = _regime_pool(spark, sf_dir)
+    pool = bt.regime_pool(spark, sf_dir)
     out = su.walk_forward_surprise(pool, bt.folds(pool), P, "regime")
     return rounded(la.percentile_thresholds(out, value="surprise"), 7)
 
@@ -298,7 +295,7 @@ SELECT CAST(sum(p) AS BIGINT) AS pooled_positives, CAST(sum(n) AS BIGINT) AS poo
   coalesce(string_agg(CASE WHEN p >= 200 THEN test_year END, ',' ORDER BY test_year), '') AS years_reported,
   coalesce(string_agg(CASE WHEN p < 200 THEN test_year END, ',' ORDER BY test_year), '') AS years_suppressed FROM y"""))
 def sufficiency_gate(spark, sf_dir):
-    pool = _regime_pool(spark, sf_dir)
+    pool = bt.regime_pool(spark, sf_dir)
     labels = la.stress_labels(pool, bt.folds(pool), P).where("role = 'test'")
     return me.sufficiency_gate(labels, [], year="test_year", label="label", min_year=200)
 
@@ -315,7 +312,7 @@ WHERE coalesce(m, g) IS NOT NULL""")
 
 @query("walk_forward_residuals", sql("resid", "SELECT test_year, segment, event_key, round(residual, 8) AS residual FROM resid"))
 def walk_forward_residuals(spark, sf_dir):
-    pool = an.pool(spark, sf_dir)
+    pool = bt.staged_pool(spark, sf_dir)
     return rounded(iv.walk_forward_residuals(pool, bt.folds(pool), P), 8)
 
 
@@ -324,7 +321,7 @@ cte("offs", "resid", f"""
 SELECT test_year, segment, quantile_cont(residual, {_QL}) AS q, count(*) AS n FROM resid GROUP BY 1, 2 HAVING count(*) >= 30
 UNION ALL SELECT test_year, NULL, quantile_cont(residual, {_QL}), count(*) FROM resid GROUP BY 1""")
 cte("ivr", "predw offs", """
-SELECT event_key, test_year, is_provisional, segment, is_repeat, actual, list_sort(list_transform(coalesce(o.q, p.q, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]), lambda x: recent_frozen + x)) AS s
+SELECT event_key, w.test_year, is_provisional, w.segment, is_repeat, actual, list_sort(list_transform(coalesce(o.q, p.q, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]), lambda x: recent_frozen + x)) AS s
 FROM predw w LEFT JOIN offs o ON o.test_year = w.test_year AND o.segment = w.segment LEFT JOIN offs p ON p.test_year = w.test_year AND p.segment IS NULL""")
 _CLIP = ", ".join(f"greatest(0.0, least(1.0, s[{i}])) AS {c}" for i, c in enumerate(["q05", "q10", "q25", "q50", "q75", "q90", "q95"], 1))
 cte("ivq", "ivr", f"SELECT event_key, test_year, is_provisional, segment, is_repeat, actual, {_CLIP} FROM ivr")
@@ -332,8 +329,8 @@ cte("ivq", "ivr", f"SELECT event_key, test_year, is_provisional, segment, is_rep
 
 @query("residual_offsets", sql("offs", f"SELECT test_year, segment, n, {', '.join(f'round(q[{i + 1}], 8) AS o{i}' for i in range(7))} FROM offs"))
 def residual_offsets(spark, sf_dir):
-    pool = an.pool(spark, sf_dir)
-    out = iv.residual_offsets(iv.walk_forward_residuals(pool, bt.folds(pool), P), P)
+    pool = bt.staged_pool(spark, sf_dir)
+    out = iv.residual_offsets(materialise(iv.walk_forward_residuals(pool, bt.folds(pool), P)), P)
     return out.select("test_year", "segment", "n", *[F.round(F.col("offsets")[i], 8).alias(f"o{i}") for i in range(7)])
 
 
@@ -404,14 +401,14 @@ def error_distribution(spark, sf_dir):
 
 
 @query("case_studies", sql("prd", """
-, g AS (SELECT cutoff_view, event_key, abs(eb) - abs(e) AS gain FROM prd WHERE model_id = 'recent_adaptive' AND NOT is_provisional),
+, g AS (SELECT cutoff_view, event_key, round(abs(eb) - abs(e), 9) AS gain FROM prd WHERE model_id = 'recent_adaptive' AND NOT is_provisional),
 m AS (SELECT *, abs(gain - median(gain) OVER (PARTITION BY cutoff_view)) AS d FROM g),
 r AS (SELECT *, row_number() OVER (PARTITION BY cutoff_view ORDER BY gain DESC, event_key DESC) AS a, row_number() OVER (PARTITION BY cutoff_view ORDER BY gain, event_key) AS b,
   row_number() OVER (PARTITION BY cutoff_view ORDER BY d, event_key) AS c FROM m)
 SELECT cutoff_view, 'largest_gain' AS rule, event_key, round(gain, 6) AS gain FROM r WHERE a = 1 UNION ALL SELECT cutoff_view, 'largest_loss', event_key, round(gain, 6) FROM r WHERE b = 1
 UNION ALL SELECT cutoff_view, 'closest_to_median', event_key, round(gain, 6) FROM r WHERE c = 1"""))
 def case_studies(spark, sf_dir):
-    paired = _paired(spark, sf_dir).where("model_id = 'recent_adaptive' AND NOT is_provisional")
+    paired = materialise(_paired(spark, sf_dir).where("model_id = 'recent_adaptive' AND NOT is_provisional"))
     return rounded(me.case_studies(paired, ["cutoff_view"]))
 
 
@@ -524,7 +521,7 @@ h AS (SELECT *, 'highest' AS side, CAST(row_number() OVER (ORDER BY surprise DES
 l AS (SELECT *, 'lowest' AS side, CAST(row_number() OVER (ORDER BY surprise, event_key) AS INTEGER) AS rank FROM s QUALIFY rank <= 5)
 SELECT * FROM h UNION ALL SELECT * FROM l"""))
 def extreme_surprises(spark, sf_dir):
-    pool = _regime_pool(spark, sf_dir)
+    pool = bt.regime_pool(spark, sf_dir)
     out = su.walk_forward_surprise(pool, bt.folds(pool), P, "regime").withColumn("surprise", F.round("surprise", 7))
     return me.extremes(out, value="surprise", key="event_key", n=5, keep=["segment"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -43,10 +44,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut_lineage(df):
-    """Reliable checkpoint of a small derived table that several branches read."""
+def materialise(df):
+    """Write a derived table to the shared folder and read it back.
+
+    For tables that several branches of a plan read: the work above is done once, survives
+    lost executors, and later joins see real sizes. Rows and columns are unchanged.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(scratch_dir(spark) + "/lineage")
-    return df.checkpoint(eager=True)
+    path = f"{scratch_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
