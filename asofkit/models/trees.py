@@ -1,0 +1,83 @@
+"""Boosted trees and leaf quantiles on Spark ML."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..operators.quantiles import weighted_quantiles
+
+
+# Search grid (iterations, depth, step) and the fallback setting.
+TREE_GRID = tuple((i, d, s) for i in (50, 100) for d in (2, 3) for s in (0.05, 0.1))
+TREE_FALLBACK = (100, 3, 0.1)
+MIN_LEAF_ROWS = 20
+
+
+def _assembled(train: DataFrame, numeric: Sequence[str], category: str, values: Sequence[str]):
+    """Feature vector: value with an out-of-range mark for missing, and the category's index.
+    Categories unseen in the list share one extra index."""
+    from pyspark.ml.feature import VectorAssembler
+
+    mark = -1e9
+    names = [f"__{c}" for c in numeric] + ["__cat"]
+    index = F.lit(float(len(values)))
+    for i, v in enumerate(values):
+        index = F.when(F.col(category) == v, F.lit(float(i))).otherwise(index)
+    prepared = train.withColumns({f"__{c}": F.coalesce(F.col(c).cast("double"), F.lit(mark)) for c in numeric} | {"__cat": index})
+    return VectorAssembler(inputCols=names, outputCol="__features").transform(prepared).drop(*names)
+
+
+def fit_boosted(train: DataFrame, target: str, numeric: Sequence[str], category: str, values: Sequence[str],
+                setting: tuple[int, int, float] = TREE_FALLBACK, seed: int = 42):
+    from pyspark.ml.regression import GBTRegressor
+
+    iterations, depth, step = setting
+    gbt = GBTRegressor(featuresCol="__features", labelCol=target, maxIter=iterations, maxDepth=depth, stepSize=step,
+                       minInstancesPerNode=MIN_LEAF_ROWS, seed=seed)
+    return gbt.fit(_assembled(train.where(F.col(target).isNotNull()), numeric, category, values))
+
+
+def choose_setting(train: DataFrame, validation: DataFrame, target: str, numeric, category: str, values,
+                   grid: Sequence[tuple[int, int, float]] = TREE_GRID) -> tuple[int, int, float]:
+    """Lowest validation MAE; the first setting wins ties."""
+    best, best_score = TREE_FALLBACK, None
+    held = validation.where(F.col(target).isNotNull())
+    for setting in grid:
+        model = fit_boosted(train, target, numeric, category, values, setting)
+        score = boosted_forecasts(held, model, numeric, category, values, "__p").agg(
+            F.avg(F.abs(F.col("__p") - F.col(target))).alias("s")).first()["s"]
+        if score is not None and (best_score is None or score < best_score):
+            best, best_score = setting, score
+    return best
+
+
+def boosted_forecasts(rows: DataFrame, model, numeric, category: str, values, out: str) -> DataFrame:
+    scored = model.setPredictionCol(out).transform(_assembled(rows, numeric, category, values))
+    return scored.drop("__features")
+
+
+def leaf_quantiles(train: DataFrame, rows: DataFrame, target: str, key: str, numeric, category: str, values, *,
+                   levels: Sequence[float], trees: int = 20, depth: int = 4, seed: int = 42, value_chunks: int = 256) -> DataFrame:
+    """(key, quantiles): exact quantiles of the training targets that share leaves with a row,
+    pooled over the trees. Rows that fall into the same leaves share one computation."""
+    from pyspark.ml.regression import RandomForestRegressor
+
+    known = train.where(F.col(target).isNotNull())
+    forest = RandomForestRegressor(featuresCol="__features", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed,
+                                   minInstancesPerNode=MIN_LEAF_ROWS, leafCol="__leaves")
+    model = forest.fit(_assembled(known, numeric, category, values))
+    from pyspark.ml.functions import vector_to_array
+
+    leaves = vector_to_array("__leaves")
+    mates = model.transform(_assembled(known, numeric, category, values)).select(
+        F.col(target).alias("__y"), F.posexplode(leaves).alias("__tree", "__leaf"))
+    # distinct targets per leaf with counts
+    cells = mates.groupBy("__tree", "__leaf", "__y").agg(F.count("*").alias("__n"))
+    probe = model.transform(_assembled(rows, numeric, category, values)).select(key, leaves.alias("__path"))
+    paths = probe.groupBy("__path").agg(F.count("*").alias("__rows")).withColumn("__pid", F.xxhash64("__path"))
+    spread = paths.select("__pid", F.posexplode("__path").alias("__tree", "__leaf")).join(cells, ["__tree", "__leaf"])
+    pooled = spread.groupBy("__pid", "__y").agg(F.sum("__n").alias("__n"))
+    q = weighted_quantiles(pooled, by=["__pid"], value="__y", weight="__n", probs=levels, chunk=F.floor(F.col("__y") * value_chunks))
+    return probe.withColumn("__pid", F.xxhash64("__path")).join(q, "__pid").select(key, "quantiles")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _ACCURACY = 10_000
 # groups up to this many rows are ranked whole; above it brackets are wide enough
@@ -69,3 +69,29 @@ def exact_quantiles(
     return picked.select(*by, "pos", value_at.alias("__q")).groupBy(*by).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "__q"))), lambda s: s["__q"]).alias(out)
     )
+
+
+def weighted_quantiles(
+    df: DataFrame, *, by: Sequence[str], value: str, weight: str, probs: Sequence[float], chunk: Column, out: str = "quantiles",
+) -> DataFrame:
+    """Quantiles of values that each stand for `weight` equal rows.
+
+    Running weights are taken inside value chunks and the totals of lower chunks are carried,
+    so no task ranks a whole group. `chunk` must not decrease with the value.
+    """
+    cell = df.groupBy(*by, chunk.alias("__k"), F.col(value).cast("double").alias("__v")).agg(F.sum(weight).alias("__w"))
+    total = cell.groupBy(*by, "__k").agg(F.sum("__w").alias("__kw"))
+    below = Window.partitionBy(*by).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    carry = total.select(*by, "__k", F.coalesce(F.sum("__kw").over(below), F.lit(0)).alias("__from"),
+                         F.sum("__kw").over(Window.partitionBy(*by)).alias("__n"))
+    line = Window.partitionBy(*by, "__k").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cell.join(carry, [*by, "__k"]).withColumn("__to", F.col("__from") + F.sum("__w").over(line))
+    aggs = []
+    for i, p in enumerate(probs):
+        rank = F.lit(float(p)) * (F.col("__n") - 1)
+        aggs.append(F.min(F.when(F.col("__to") > F.floor(rank), F.col("__v"))).alias(f"__l{i}"))
+        aggs.append(F.min(F.when(F.col("__to") > F.ceil(rank), F.col("__v"))).alias(f"__h{i}"))
+    ends = ranked.groupBy(*by).agg(F.max("__n").alias("__n"), *aggs)
+    part = lambda p: F.lit(float(p)) * (F.col("__n") - 1) - F.floor(F.lit(float(p)) * (F.col("__n") - 1))
+    return ends.select(*by, F.array(*[
+        F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * part(p) for i, p in enumerate(probs)]).alias(out))

@@ -1,4 +1,4 @@
 import sys
 sys.path.insert(0, "/root/repo")
-from asofkit.plans import models_catalog as m
+from asofkit.plans import extra_catalog as m
 print(" ".join(m.QUERIES))
