@@ -6,9 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_ACCURACY = 10_000
-# groups up to this many rows are ranked whole; above it brackets are wide enough
-_SMALL = 100_000
+# value chunks per factor of two, and linear cells inside one chunk
+_PER_OCTAVE = 1024
+_CELLS = 4096
+
+
+def value_chunk(value: Column, per_octave: int = _PER_OCTAVE) -> Column:
+    """Order-preserving integer of a double: sign and scaled binary logarithm."""
+    size = F.floor(F.log2(F.abs(value)) * per_octave) + 1100 * per_octave
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0))
 
 
 def bounded_quantiles(df: DataFrame, *, by: Sequence[str], value: str, probs: Sequence[float], out: str = "quantiles") -> DataFrame:
@@ -18,57 +24,60 @@ def bounded_quantiles(df: DataFrame, *, by: Sequence[str], value: str, probs: Se
 
 
 def exact_quantiles(
-    df: DataFrame, *, by: Sequence[str], value: str, probs: Sequence[float], out: str = "quantiles", accuracy: int = _ACCURACY, small_group: int = _SMALL,
+    df: DataFrame, *, by: Sequence[str], value: str, probs: Sequence[float], out: str = "quantiles", per_octave: int = _PER_OCTAVE,
 ) -> DataFrame:
     """Linear-interpolated quantiles of every group, as an array in the order of `probs`.
 
-    A mergeable sketch first brackets each wanted rank; rows are then counted below the
-    bracket and only the distinct values inside it are ranked. The sketch's rank error is at
-    most n / accuracy and brackets reach twice that to both sides, so in a group of more than
-    _SMALL rows the wanted ranks lie inside with ranks to spare and the result is exact.
-    Smaller groups are bracketed by their minimum and maximum. One task sees at most _SMALL
-    rows, or about 4 / accuracy of a larger group per probability.
+    Pass one counts rows per (group, value chunk), which combines map-side. The counts tell
+    which chunks hold the wanted ranks; pass two reads only the rows of those chunks, reduces
+    them to distinct values and ranks them in linear cells, with the counts below carried.
+    The result is exact, and no task ranks more than one cell of one chunk of a group.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
-    width = 2.0 / accuracy
-    edges = [e for p in probs for e in (max(p - width, 0.0), min(p + width, 1.0))]
-    sketch = rows.groupBy(*by).agg(
-        F.count("*").alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
-        F.percentile_approx("__v", edges, accuracy).alias("__edges"),
-    )
-    small = F.col("__n") <= small_group
-    brackets = F.array(*[
-        F.struct(
-            F.lit(float(p)).alias("prob"), F.lit(i).alias("pos"),
-            (F.col("__min") if edges[2 * i] == 0.0 else F.when(small, F.col("__min")).otherwise(F.col("__edges")[2 * i])).alias("lo"),
-            (F.col("__max") if edges[2 * i + 1] == 1.0 else F.when(small, F.col("__max")).otherwise(F.col("__edges")[2 * i + 1])).alias("hi"),
-        ) for i, p in enumerate(probs)
-    ])
-    wanted = sketch.select(*by, "__n", F.inline(brackets))
-    condition = F.lit(True)
-    right = wanted.select(*[F.col(c).alias(f"__w_{c}") for c in by], "prob", "pos", "lo", "hi", "__n")
-    values = rows.groupBy(*by, "__v").agg(F.count("*").alias("__c"))
+    v = F.col("__v")
+    rows = df.select(*by, F.col(value).cast("double").alias("__v")).where(v.isNotNull() & ~F.isnan(v))
+    rows = rows.withColumn("__c", value_chunk(v, per_octave))
+    hist = rows.groupBy(*by, "__c").agg(F.count("*").alias("__h"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    line = Window.partitionBy(*by).orderBy("__c").rowsBetween(Window.unboundedPreceding, 0)
+    hist = hist.withColumns({"__end": F.sum("__h").over(line), "__n": F.sum("__h").over(Window.partitionBy(*by))})
+    holds = F.lit(False)
+    for p in probs:
+        rank = F.lit(float(p)) * (F.col("__n") - 1)
+        for r in (F.floor(rank), F.ceil(rank)):
+            holds = holds | ((r < F.col("__end")) & (r >= F.col("__end") - F.col("__h")))
+    kept = hist.where(holds).select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__c").alias("__kc"), "__lo", "__hi",
+                                    (F.col("__end") - F.col("__h")).alias("__from"), "__n")
+    condition = F.col("__c") == F.col("__kc")
     for c in by:
-        condition = condition & F.col(c).eqNullSafe(F.col(f"__w_{c}"))
-    keyed = values.join(right, condition) if by else values.join(F.broadcast(right), F.lit(True))
-    below = F.col("__v") < F.col("lo")
-    inside = keyed.where(F.col("__v") <= F.col("hi")).groupBy(
-        *by, "pos", "prob", "__n", F.when(~below, F.col("__v")).alias("__v")
-    ).agg(F.sum("__c").alias("__c"))
-    # the single NULL-valued row per bracket holds everything below it and sorts first
-    line = Window.partitionBy(*by, "pos").orderBy(F.col("__v").asc_nulls_first())
-    ranked = inside.withColumn("__to", F.sum("__c").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    rank = F.col("prob") * (F.col("__n") - 1)
-    floor_rank, ceil_rank = F.floor(rank), F.ceil(rank)
-    picked = ranked.where(F.col("__v").isNotNull()).groupBy(*by, "pos", "prob", "__n").agg(
-        F.min(F.when(F.col("__to") > floor_rank, F.col("__v"))).alias("__lo_v"),
-        F.min(F.when(F.col("__to") > ceil_rank, F.col("__v"))).alias("__hi_v"),
-    )
-    part = rank - floor_rank
-    value_at = F.col("__lo_v") + (F.col("__hi_v") - F.col("__lo_v")) * part
-    return picked.select(*by, "pos", value_at.alias("__q")).groupBy(*by).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "__q"))), lambda s: s["__q"]).alias(out)
-    )
+        condition = condition & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    near = rows.join(kept, condition)
+    cell = F.coalesce(F.floor(F.try_divide((v - F.col("__lo")) * _CELLS, F.col("__hi") - F.col("__lo"))), F.lit(0))
+    keys = [*by, "__c", "__from", "__n"]
+    values = near.groupBy(*keys, cell.alias("__s"), "__v").agg(F.count("*").alias("__w"))
+    total = values.groupBy(*keys, "__s").agg(F.sum("__w").alias("__sw"))
+    below = Window.partitionBy(*by, "__c").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    carry = total.select(*[F.col(c).alias(f"__b_{c}") for c in by], F.col("__c").alias("__bc"), F.col("__s").alias("__bs"),
+                         F.coalesce(F.sum("__sw").over(below), F.lit(0)).alias("__below"))
+    same = (F.col("__c") == F.col("__bc")) & (F.col("__s") == F.col("__bs"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__b_{c}"))
+    inside = Window.partitionBy(*by, "__c", "__s").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.join(carry, same).withColumn("__to", F.col("__from") + F.col("__below") + F.sum("__w").over(inside))
+    return _read_ranks(ranked, by, probs, out)
+
+
+def _read_ranks(ranked: DataFrame, by: Sequence[str], probs: Sequence[float], out: str) -> DataFrame:
+    """Interpolate from rows (value __v, running count __to, group size __n)."""
+    aggs = []
+    for i, p in enumerate(probs):
+        rank = F.lit(float(p)) * (F.col("__n") - 1)
+        aggs.append(F.min(F.when(F.col("__to") > F.floor(rank), F.col("__v"))).alias(f"__l{i}"))
+        aggs.append(F.min(F.when(F.col("__to") > F.ceil(rank), F.col("__v"))).alias(f"__h{i}"))
+    ends = ranked.groupBy(*by).agg(F.max("__n").alias("__n"), *aggs)
+    values = []
+    for i, p in enumerate(probs):
+        rank = F.lit(float(p)) * (F.col("__n") - 1)
+        values.append(F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * (rank - F.floor(rank)))
+    return ends.select(*by, F.array(*values).alias(out))
 
 
 def weighted_quantiles(
@@ -86,12 +95,4 @@ def weighted_quantiles(
                          F.sum("__kw").over(Window.partitionBy(*by)).alias("__n"))
     line = Window.partitionBy(*by, "__k").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = cell.join(carry, [*by, "__k"]).withColumn("__to", F.col("__from") + F.sum("__w").over(line))
-    aggs = []
-    for i, p in enumerate(probs):
-        rank = F.lit(float(p)) * (F.col("__n") - 1)
-        aggs.append(F.min(F.when(F.col("__to") > F.floor(rank), F.col("__v"))).alias(f"__l{i}"))
-        aggs.append(F.min(F.when(F.col("__to") > F.ceil(rank), F.col("__v"))).alias(f"__h{i}"))
-    ends = ranked.groupBy(*by).agg(F.max("__n").alias("__n"), *aggs)
-    part = lambda p: F.lit(float(p)) * (F.col("__n") - 1) - F.floor(F.lit(float(p)) * (F.col("__n") - 1))
-    return ends.select(*by, F.array(*[
-        F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * part(p) for i, p in enumerate(probs)]).alias(out))
+    return _read_ranks(ranked, by, probs, out)

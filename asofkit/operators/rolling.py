@@ -126,6 +126,20 @@ def trailing_days_mean(
 
 # ---------------------------------------------------------------- bounded history in row order
 
+def _carried_tails(marked: DataFrame, by: Sequence[str], order: Sequence[str], item: Column, n: int) -> DataFrame:
+    """(by, __chunk, __carry): the n rows before each chunk, oldest first. Every chunk sends
+    on at most n rows; the row limit is applied before the shuffle."""
+    newest = Window.partitionBy(*by, "__chunk").orderBy(*[F.col(c).desc() for c in order])
+    tails = (
+        marked.withColumn("__rn", F.row_number().over(newest)).where(F.col("__rn") <= n)
+        .groupBy(*by, "__chunk")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("__rn")).alias("__pos"), item.alias("item")))),
+                         lambda s: s["item"]).alias("__tail"))
+    )
+    earlier = Window.partitionBy(*by).orderBy("__chunk").rowsBetween(-n, -1)
+    return tails.select(*by, "__chunk", F.flatten(F.collect_list("__tail").over(earlier)).alias("__carry"))
+
+
 def preceding_rows(
     df: DataFrame, *, by: Sequence[str], order: Sequence[str], take: Sequence[str], n: int,
     chunk: Column | None = None, out: str = "history",
@@ -138,16 +152,7 @@ def preceding_rows(
     """
     marked = df.withColumn("__chunk", chunk if chunk is not None else F.col(order[0]))
     item = F.struct(*[F.col(c) for c in take])
-    newest = Window.partitionBy(*by, "__chunk").orderBy(*[F.col(c).desc() for c in order])
-    tails = (
-        marked.select(*dict.fromkeys([*by, "__chunk", *order, *take]))
-        .withColumn("__rn", F.row_number().over(newest)).where(F.col("__rn") <= n)
-        .groupBy(*by, "__chunk")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("__rn")).alias("__pos"), item.alias("item")))),
-                         lambda s: s["item"]).alias("__tail"))
-    )
-    earlier = Window.partitionBy(*by).orderBy("__chunk").rowsBetween(-n, -1)
-    carries = tails.select(*by, "__chunk", F.flatten(F.collect_list("__tail").over(earlier)).alias("__carry"))
+    carries = _carried_tails(marked.select(*dict.fromkeys([*by, "__chunk", *order, *take])), by, order, item, n)
     rows = _join_slots(marked, carries, [*by, "__chunk"], ["__carry"])
     local = Window.partitionBy(*by, "__chunk").orderBy(*order).rowsBetween(-n, -1)
     rows = rows.withColumn("__all", F.concat("__carry", F.collect_list(item).over(local)))
@@ -165,14 +170,29 @@ def array_mean(items: Column, field: str) -> Column:
 
 
 def order_trailing_mean(
-    df: DataFrame, *, by: Sequence[str], order: Sequence[str], value: str, out: str, window: int = 8
+    df: DataFrame, *, by: Sequence[str], order: Sequence[str], value: str, out: str, window: int = 8, chunk: Column | None = None,
 ) -> DataFrame:
-    """Mean of the `window` rows before this one in (date, key) order.
+    """Mean of the `window` rows before this one in (date, key) order, missing values skipped.
 
-    Order-safe only: it ignores when each earlier result became known.
+    Order-safe only: it ignores when each earlier result became known. Sums run inside date
+    chunks; the first rows of a chunk add sums of the rows carried from before it.
     """
-    held = preceding_rows(df, by=by, order=order, take=[value], n=window, out="__hist")
-    return held.withColumn(out, array_mean(F.col("__hist"), value)).drop("__hist")
+    marked = df.withColumn("__chunk", chunk if chunk is not None else F.col(order[0]))
+    narrow = marked.select(*dict.fromkeys([*by, "__chunk", *order, value]))
+    carries = _carried_tails(narrow, by, order, F.col(value), window)
+    # entry k: sum and count of the last k carried values
+    last = lambda k: F.filter(F.slice("__carry", F.greatest(F.size("__carry") - k + 1, F.lit(1)), k), lambda x: x.isNotNull())
+    steps = F.sequence(F.lit(0), F.lit(window))
+    sums = F.transform(steps, lambda k: F.aggregate(last(k), F.lit(0.0), lambda acc, x: acc + x))
+    counts = F.transform(steps, lambda k: F.size(last(k)))
+    carries = carries.select(*by, "__chunk", sums.alias("__cs"), counts.alias("__cn"))
+    rows = _join_slots(marked, carries, [*by, "__chunk"], ["__cs", "__cn"])
+    inside = Window.partitionBy(*by, "__chunk").orderBy(*order)
+    frame = inside.rowsBetween(-window, -1)
+    short = F.greatest(F.lit(window) - (F.row_number().over(inside) - 1), F.lit(0))
+    total = F.coalesce(F.sum(value).over(frame), F.lit(0.0)) + F.element_at("__cs", short + 1)
+    number = F.count(value).over(frame) + F.element_at("__cn", short + 1)
+    return rows.withColumn(out, F.try_divide(total, number)).drop("__chunk", "__cs", "__cn")
 
 
 def safe_trailing_means(

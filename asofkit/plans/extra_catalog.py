@@ -133,11 +133,18 @@ def model_config_json(spark, sf_dir):
     return ev.groupBy("segment").agg(F.array_join(F.array_sort(F.collect_list("y")), ";").alias("years")).select("segment", config.alias("config"), "years")
 
 
-@query("forbidden_field_scan", "SELECT * FROM (VALUES ('exact', 'public_total'), ('exact', 'tendered'), ('pattern', 'direct_accepted'), ('pattern', 'foreign_accepted'), ('pattern', 'indirect_accepted'), ('pattern', 'noncomp_accepted'), ('pattern', 'primary_accepted'), ('pattern', 'tendered')) t(kind, column_name)")
+@query("forbidden_field_scan", sql("outc", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{k}' AS kind, '{c}' AS column_name, count({c}) AS n_values FROM outc" for k, c in (
+        ("exact", "public_total"), ("exact", "tendered"), ("pattern", "direct_accepted"), ("pattern", "foreign_accepted"),
+        ("pattern", "indirect_accepted"), ("pattern", "noncomp_accepted"), ("pattern", "primary_accepted"), ("pattern", "tendered"))) + ")"))
 def forbidden_field_scan(spark, sf_dir):
-    """The scan works on column names; the table is the outcome frame itself."""
-    found = ga.forbidden_columns(an.outcomes(spark, sf_dir).columns, exact=["public_total", "tendered"], patterns=["accepted", "tendered"])
-    return spark.createDataFrame([(k, c) for k, cs in found.items() for c in cs], "kind string, column_name string")
+    """Outcome columns found by name in a frame, and how many values each would leak."""
+    frame = an.outcomes(spark, sf_dir)
+    found = ga.forbidden_columns(frame.columns, exact=["public_total", "tendered"], patterns=["accepted", "tendered"])
+    named = [(k, c) for k, cs in found.items() for c in cs]
+    counts = frame.agg(*[F.count(c).alias(c) for c in sorted({c for _, c in named})])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("kind"), F.lit(c).alias("column_name"), F.col(c).alias("n_values")) for k, c in named])))
 
 
 # ---------------------------------------------------------------- fitted models
