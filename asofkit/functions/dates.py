@@ -18,9 +18,11 @@ def _weekdays_since_monday(day: Column) -> Column:
 
 
 def weekday_count(start: Column | str, end: Column | str) -> Column:
-    """Monday-to-Friday days in [start, end), negative when end precedes start, NULL-safe."""
+    """Monday-to-Friday days in [start, end). For end before start, minus those in (end, start]."""
     s, e = _c(start), _c(end)
-    return (_weekdays_since_monday(e) - _weekdays_since_monday(s)).cast("int")
+    ahead = _weekdays_since_monday(e) - _weekdays_since_monday(s)
+    back = _weekdays_since_monday(F.date_add(e, 1)) - _weekdays_since_monday(F.date_add(s, 1))
+    return F.when(e >= s, ahead).otherwise(back).cast("int")
 
 
 def calendar_parts(day: Column | str, prefix: str) -> list[Column]:

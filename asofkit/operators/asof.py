@@ -163,9 +163,9 @@ def vintage_snapshot(vintages: DataFrame, *, by: Sequence[str], observed: str, v
     )
     latest = lagged.where(F.col(value).isNotNull()).groupBy(*by).agg(
         F.max_by(F.struct(F.col(observed).alias("current_observed"), F.col(value).alias("current_value"),
-                          F.col("__yoy_obs").alias("yoy_observed"), F.col("__yoy").alias("yoy_value")), F.col(observed)).alias("s")
+                          F.col("__yoy_obs").alias("yoy_observed"), F.col("__yoy").alias("yoy_value")), F.col(observed)).alias("__latest")
     )
-    return latest.select(*by, "s.*")
+    return latest.select(*by, "__latest.*")
 
 
 def vintage_asof_join(

@@ -274,8 +274,8 @@ def year_ranges(years: DataFrame, by: Sequence[str], year: str) -> DataFrame:
     runs = years.select(*by, year).distinct().withColumn("__run", F.col(year) - F.row_number().over(w)).groupBy(*by, "__run").agg(
         F.min(year).alias("__a"), F.max(year).alias("__b"))
     text = F.when(F.col("__a") == F.col("__b"), F.col("__a").cast("string")).otherwise(F.concat_ws("-", "__a", "__b"))
-    runs = runs.select(*by, F.struct("__a", text.alias("t")).alias("s"))
-    return runs.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), ", ").alias("years"))
+    runs = runs.select(*by, F.struct("__a", text.alias("t")).alias("__run"))
+    return runs.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list("__run")), lambda s: s["t"]), ", ").alias("years"))
 
 
 def win_pattern(paired: DataFrame, by: Sequence[str], year: str = "test_year") -> DataFrame:

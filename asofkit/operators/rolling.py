@@ -285,6 +285,6 @@ def largest_gap(df: DataFrame, *, by: Sequence[str], on: str, threshold: int) ->
     best = gaps.groupBy(*by).agg(
         F.max_by(F.struct(F.col("__gap").alias("max_gap_days"), F.col("__prev").alias("gap_start"),
                           F.col(on).alias("gap_end")),
-                 F.struct("__gap", (-F.unix_date(on)).alias("first"))).alias("g")
+                 F.struct("__gap", (-F.unix_date(on)).alias("first"))).alias("__best")
     )
-    return best.select(*by, "g.*").where(F.col("max_gap_days") > threshold)
+    return best.select(*by, "__best.*").where(F.col("max_gap_days") > threshold)
