@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -37,22 +37,35 @@ def with_scopes(pred: DataFrame, breakdowns: Sequence[str] = ()) -> DataFrame:
     return pred.select("*", F.inline(F.array_compact(F.array(*tags))))
 
 
-def error_metrics(pred: DataFrame, by: Sequence[str], *, scale: float = 100.0) -> DataFrame:
+def error_metrics(
+    pred: DataFrame, by: Sequence[str], *, scale: float = 100.0, fine: Sequence[str] | None = None,
+    expand: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """n, MAE, median AE, RMSE, bias and R2 against the group's own mean.
 
     R2 is NULL below two rows; for constant actuals it is 1 when the errors are all zero, else 0.
+    For rows that count in several groups see `exact_quantiles` on `fine` and `expand`.
     """
+    own = list(fine) if fine is not None else list(by)
     err = (F.col("forecast") - F.col("actual")) * scale
-    rows = scored(pred).select(*by, "actual", err.alias("__e"), F.abs(err).alias("__a"))
-    sse = F.sum(F.col("__e") * F.col("__e")) / (scale * scale)
-    sst = F.var_pop("actual") * F.count("*")
-    r2 = F.when(F.count("*") >= 2, F.when(F.min("actual") == F.max("actual"), F.when(sse == 0, 1.0).otherwise(0.0))
-                .otherwise(1 - F.try_divide(sse, sst)))
-    stats = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg("__a").alias("mae"), F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse"),
-        F.avg("__e").alias("bias"), r2.alias("r2_own_mean"))
-    med = exact_quantiles(rows, by=by, value="__a", probs=[0.5]).select(*by, F.col("quantiles")[0].alias("median_ae"))
-    return stats.join(med, list(by))
+    rows = scored(pred).select(*own, "actual", err.alias("__e"), F.abs(err).alias("__a"))
+    y = F.col("actual")
+    cells = rows.groupBy(*own).agg(
+        F.count("*").alias("__n"), F.sum("__a").alias("__sa"), F.sum("__e").alias("__se"), F.sum(F.col("__e") * F.col("__e")).alias("__see"),
+        F.sum(y).alias("__sy"), F.var_pop(y).alias("__vy"), F.min(y).alias("__lo"), F.max(y).alias("__hi"))
+    cells = cells.withColumn("__my", F.col("__sy") / F.col("__n"))
+    if expand is not None:
+        cells = expand(cells)
+    n, mean = F.sum("__n"), F.sum("__sy") / F.sum("__n")
+    within = F.sum(F.col("__vy") * F.col("__n"))
+    between = F.sum(F.col("__n") * F.col("__my") * F.col("__my")) - n * mean * mean
+    sse, sst = F.sum("__see") / (scale * scale), within + between
+    r2 = F.when(n >= 2, F.when(F.min("__lo") == F.max("__hi"), F.when(sse == 0, 1.0).otherwise(0.0)).otherwise(1 - F.try_divide(sse, sst)))
+    stats = cells.groupBy(*by).agg(
+        n.alias("n"), (F.sum("__sa") / n).alias("mae"), F.sqrt(F.sum("__see") / n).alias("rmse"), (F.sum("__se") / n).alias("bias"),
+        r2.alias("r2_own_mean"))
+    med = exact_quantiles(rows, by=by, value="__a", probs=[0.5], fine=fine, expand=expand)
+    return stats.join(med.select(*by, F.col("quantiles")[0].alias("median_ae")), list(by))
 
 
 def pair_with_benchmark(pred: DataFrame, benchmark: str, *, key: Sequence[str] = ("event_key", "cutoff_view", "test_year")) -> DataFrame:
@@ -124,7 +137,7 @@ def case_studies(paired: DataFrame, by: Sequence[str], *, scale: float = 100.0)
     # rounded so that equal gains stay equal whatever the order of summation above them
     rows = paired.where(F.col("actual").isNotNull()).select(*by, "event_key", F.round(gain, 9).alias("gain"))
     med = exact_quantiles(rows, by=by, value="gain", probs=[0.5]).select(*by, F.col("quantiles")[0].alias("__m"))
-    rows = rows.join(F.broadcast(med), list(by)) if by else rows.join(F.broadcast(med), F.lit(True))
+    rows = rows.join(med, list(by)) if by else rows.join(F.broadcast(med), F.lit(True))
     item = F.struct("event_key", "gain")
     picks = rows.groupBy(*by).agg(
         F.max_by(item, F.struct("gain", "event_key")).alias("largest_gain"),
@@ -231,8 +244,8 @@ def calibration_table(rows: DataFrame, by: Sequence[str], *, proba: str, label:
     cuts = F.array_distinct("__e")
     inner = F.slice(cuts, 2, F.greatest(F.size(cuts) - 2, F.lit(0)))
     edges = edges.select(*by, inner.alias("__cuts"))
-    t = known.join(F.broadcast(edges), list(by)) if by else known.join(F.broadcast(edges), F.lit(True))
-    t = t.join(F.broadcast(size.select(*by)), list(by), "left_semi") if by else t.join(F.broadcast(size), F.lit(True))
+    t = known.join(edges, list(by)) if by else known.join(F.broadcast(edges), F.lit(True))
+    t = t.join(size.select(*by), list(by), "left_semi") if by else t.join(F.broadcast(size), F.lit(True))
     at = F.size(F.filter("__cuts", lambda e: e < F.col(proba)))
     return t.groupBy(*by, at.alias("bin")).agg(
         F.count("*").alias("n"), F.avg(proba).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("observed_rate"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # value chunks per factor of two, and linear cells inside one chunk
-_PER_OCTAVE = 1024
+_PER_OCTAVE = 32
 _CELLS = 4096
 
 
@@ -25,6 +25,7 @@ def bounded_quantiles(df: DataFrame, *, by: Sequence[str], value: str, probs: Se
 
 def exact_quantiles(
     df: DataFrame, *, by: Sequence[str], value: str, probs: Sequence[float], out: str = "quantiles", per_octave: int = _PER_OCTAVE,
+    fine: Sequence[str] | None = None, expand: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles of every group, as an array in the order of `probs`.
 
@@ -32,11 +33,18 @@ def exact_quantiles(
     which chunks hold the wanted ranks; pass two reads only the rows of those chunks, reduces
     them to distinct values and ranks them in linear cells, with the counts below carried.
     The result is exact, and no task ranks more than one cell of one chunk of a group.
+
+    When a row counts in several groups, `fine` names the columns that decide which, and
+    `expand` turns one row into one per group (adding `by`). Counts are then taken once per
+    fine group and expanded, and only rows of wanted chunks are expanded themselves.
     """
     v = F.col("__v")
-    rows = df.select(*by, F.col(value).cast("double").alias("__v")).where(v.isNotNull() & ~F.isnan(v))
+    own = list(fine) if fine is not None else list(by)
+    rows = df.select(*own, F.col(value).cast("double").alias("__v")).where(v.isNotNull() & ~F.isnan(v))
     rows = rows.withColumn("__c", value_chunk(v, per_octave))
-    hist = rows.groupBy(*by, "__c").agg(F.count("*").alias("__h"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    hist = rows.groupBy(*own, "__c").agg(F.count("*").alias("__h"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    if expand is not None:
+        hist = expand(hist).groupBy(*by, "__c").agg(F.sum("__h").alias("__h"), F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
     line = Window.partitionBy(*by).orderBy("__c").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumns({"__end": F.sum("__h").over(line), "__n": F.sum("__h").over(Window.partitionBy(*by))})
     holds = F.lit(False)
@@ -49,6 +57,8 @@ def exact_quantiles(
     condition = F.col("__c") == F.col("__kc")
     for c in by:
         condition = condition & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    if expand is not None:
+        rows = expand(rows.join(kept.select(F.col("__kc").alias("__c")).distinct(), "__c", "left_semi"))
     near = rows.join(kept, condition)
     cell = F.coalesce(F.floor(F.try_divide((v - F.col("__lo")) * _CELLS, F.col("__hi") - F.col("__lo"))), F.lit(0))
     keys = [*by, "__c", "__from", "__n"]

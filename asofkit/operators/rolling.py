@@ -221,13 +221,16 @@ def safe_trailing_means(
     per_day = per_day.select(
         *by, F.col(safe).alias("__known"),
         F.slice("__all", F.greatest(F.size("__all") - n + 1, F.lit(1)), n).alias("last"))
-    joined = asof_join_cutoffs(pool, per_day, cutoffs=cutoffs, safe="__known", tie=["__known"], by=by, values=["last"])
-    used = {v: F.filter(F.col(f"{v}__last"), lambda s: s["k"] != F.col(key)).alias(f"{v}__used") for v in cutoffs}
-    joined = joined.select(*pool.columns, *used.values())
-    return joined.select(
-        *pool.columns,
-        *[c for v in cutoffs for c in (array_mean(F.col(f"{v}__used"), "v").alias(f"{v}__mean"),
-                                       F.coalesce(F.size(f"{v}__used"), F.lit(0)).alias(f"{v}__n"))])
+    per_day = per_day.select("*", array_mean(F.col("last"), "v").alias("mean"), F.size("last").alias("n"))
+    joined = asof_join_cutoffs(pool, per_day, cutoffs=cutoffs, safe="__known", tie=["__known"], by=by, values=["last", "mean", "n"])
+    outs = []
+    for view, cutoff in cutoffs.items():
+        # a row can only be among its own candidates when its result was safe at its cutoff
+        own = F.coalesce(F.col(value).isNotNull() & (F.col(safe) <= F.col(cutoff)), F.lit(False))
+        others = F.filter(F.col(f"{view}__last"), lambda s: s["k"] != F.col(key))
+        outs.append(F.when(own, array_mean(others, "v")).otherwise(F.col(f"{view}__mean")).alias(f"{view}__mean"))
+        outs.append(F.when(own, F.size(others)).otherwise(F.coalesce(f"{view}__n", F.lit(0))).alias(f"{view}__n"))
+    return joined.select(*pool.columns, *outs)
 
 
 def safe_trailing_mean(
@@ -257,14 +260,14 @@ def last_n_mean(
 
 def availability_violations(
     df: DataFrame, *, by: Sequence[str], order: Sequence[str], safe: str, cutoffs: dict[str, str],
-    key: str, window: int = 8, describe: Sequence[str] = (),
+    key: str, window: int = 8, describe: Sequence[str] = (), chunk: Column | None = None,
 ) -> DataFrame:
     """Earlier rows of the group whose result was not yet safe at this row's cutoff.
 
     One row per (event, cutoff view, lag) with the negative gap in days.
     """
     take = list(dict.fromkeys([safe, *order, *describe]))
-    held = preceding_rows(df, by=by, order=order, take=take, n=window, out="__hist")
+    held = preceding_rows(df, by=by, order=order, take=take, n=window, chunk=chunk, out="__hist")
     held = held.select("*", F.posexplode(F.reverse("__hist")).alias("__pos", "__prev"))
     pairs = F.array(*[F.struct(F.lit(n).alias("cutoff_view"), F.col(c).alias("cutoff")) for n, c in cutoffs.items()])
     held = held.select("*", F.inline(pairs))

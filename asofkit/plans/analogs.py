@@ -100,6 +100,12 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_chunk():
+    """Order-preserving pieces of (event date, key): one day of a hot segment splits further
+    as keys grow."""
+    return F.struct("event_date", F.floor(F.col("event_key") / 1_000_000))
+
+
 def weekly_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(flag, observed, value): weekly sums, observed on the Wednesday of the week."""
     week = F.date_add(F.date_trunc("week", "l_shipdate").cast("date"), 2)

@@ -193,7 +193,7 @@ SELECT event_key, round(avg(primary_share) OVER (PARTITION BY segment ORDER BY e
   ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), 8) AS trailing_mean FROM pool"""))
 def order_trailing_mean(spark, sf_dir):
     out = ro.order_trailing_mean(an.pool(spark, sf_dir), by=["segment"], order=["event_date", "event_key"],
-                                 value="primary_share", out="trailing_mean")
+                                 value="primary_share", out="trailing_mean", chunk=an.event_chunk())
     return out.select("event_key", F.round("trailing_mean", 8).alias("trailing_mean"))
 
 
@@ -239,7 +239,7 @@ SELECT segment, event_key, cutoff_view, n AS lag, CAST(cutoff - ps AS INTEGER) A
 def availability_violations(spark, sf_dir):
     return ro.availability_violations(
         an.pool(spark, sf_dir).drop("entity_id"), by=["segment"], order=["event_date", "event_key"], safe="result_safe_date",
-        cutoffs={"announcement": "announcement_cutoff", "pre_event": "pre_event_cutoff"}, key="event_key", window=8)
+        cutoffs={"announcement": "announcement_cutoff", "pre_event": "pre_event_cutoff"}, key="event_key", window=8, chunk=an.event_chunk())
 
 
 @query("availability_risk_summary", sql("pool", """

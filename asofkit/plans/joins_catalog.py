@@ -86,7 +86,7 @@ def asof_timestamps_by_user(spark, sf_dir):
     e = an.table(spark, sf_dir, "events")
     probes = e.where(F.col("event_type") == "purchase").select("event_id", "ts", "user_id")
     clicks = e.where(F.col("event_type") == "click").select("user_id", F.col("ts").alias("known"), "value", F.col("event_id").alias("rid"))
-    out = asof.asof_join_timestamps(probes, clicks, at="ts", safe="known", by=["user_id"], tie=["rid"], bucket="day", strict=True)
+    out = asof.asof_join_timestamps(probes, clicks, at="ts", safe="known", by=["user_id"], tie=["rid"], bucket="hour", strict=True)
     return out.select("event_id", "known", "value")
 
 

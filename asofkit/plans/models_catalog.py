@@ -256,7 +256,7 @@ _surprise_cte("3", "test_year", "dtr", "dte")
 
 @query("surprise_descriptive", sql("ss3", "SELECT event_key, test_year, round(primary_share - expected, 7) AS surprise FROM ss3"))
 def surprise_descriptive(spark, sf_dir):
-    pool = ro.order_trailing_mean(an.pool(spark, sf_dir), by=["segment"], order=["event_date", "event_key"], value="primary_share", out="regime")
+    pool = ro.order_trailing_mean(bt.staged_pool(spark, sf_dir), by=["segment"], order=["event_date", "event_key"], value="primary_share", out="regime", chunk=an.event_chunk())
     return rounded(su.descriptive_surprise(pool, P, "regime").select("event_key", "test_year", "surprise"), 7)
 
 
@@ -352,8 +352,9 @@ SELECT cutoff_view, model_id, tag.k AS scope, tag.v AS scope_value, count(*) AS
   round(median(abs(e)), 6) AS median_ae, round(1 - sum(e * e) / 10000 / nullif(var_pop(actual) * count(*), 0), 6) AS r2_own_mean
 FROM {_TAGS % 'sc'} WHERE tag IS NOT NULL GROUP BY 1, 2, 3, 4"""))
 def error_metric_tables(spark, sf_dir):
-    pred = me.with_scopes(me.scored(bt.predictions(spark, sf_dir)), BREAKDOWNS)
-    return rounded(me.error_metrics(pred, ["cutoff_view", "model_id", "scope", "scope_value"]))
+    fine = ["cutoff_view", "model_id", "is_provisional", *BREAKDOWNS]
+    return rounded(me.error_metrics(bt.predictions(spark, sf_dir), ["cutoff_view", "model_id", "scope", "scope_value"], fine=fine,
+                                    expand=lambda d: me.with_scopes(d, BREAKDOWNS)))
 
 
 @query("r2_versus_benchmark", sql("sc", """
