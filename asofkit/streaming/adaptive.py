@@ -20,6 +20,7 @@ def adaptive_stream(stream: DataFrame, *, n: int = 8, late_by: str = "0 seconds"
     holds the last n results and the rows still waiting.
     """
     marked = stream.withWatermark("at", late_by)
+    zone = stream.sparkSession.conf.get("spark.sql.session.timeZone")  # rows arrive as local times of this zone
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         (segment,) = key
@@ -31,7 +32,7 @@ def adaptive_stream(stream: DataFrame, *, n: int = 8, late_by: str = "0 seconds"
         waiting += [b[["at", "kind", "event_key", "day", "value"]] for b in batches]
         rows = pd.concat([w for w in waiting if len(w)], ignore_index=True) if any(len(w) for w in waiting) else waiting[0]
         rows["at"], rows["day"] = pd.to_datetime(rows["at"]), pd.to_datetime(rows["day"])
-        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms", tz="UTC").tz_convert(zone).tz_localize(None)
         ready = rows[rows["at"] < mark].sort_values(["at", "kind", "day", "event_key"], ascending=[True, False, True, True])
         rest = rows[rows["at"] >= mark]
         last = [tuple(x) for x in zip(held["lt"], held["ld"], held["lk"], held["lv"], strict=True)]
@@ -47,7 +48,8 @@ def adaptive_stream(stream: DataFrame, *, n: int = 8, late_by: str = "0 seconds"
             list(rest["at"]), list(rest["kind"]), [int(k) for k in rest["event_key"]], list(rest["day"]), [float(v) for v in rest["value"]],
             [k for _, _, k, _ in last], [d for _, d, _, _ in last], [v for _, _, _, v in last], [t for t, _, _, _ in last]))
         if len(rest):
-            state.setTimeoutTimestamp(max(int(rest["at"].min().timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+            due = int(rest["at"].min().tz_localize(zone, ambiguous=False, nonexistent="shift_forward").timestamp() * 1000)
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["event_key", "segment", "at", "trailing_mean", "n_used"])
 
