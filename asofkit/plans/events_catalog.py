@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import arithmetic as ar, dates as dt
+from ..functions import dates as dt
 from ..operators import asof, calendar as cal, rolling as ro
 from . import analogs as an
 from .oracle import sql

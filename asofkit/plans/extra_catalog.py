@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arithmetic as ar
 from ..models import linear as li, trees as tr
-from ..operators import asof, folds as fo, gates as ga, metrics as me, rolling as ro, textscan as ts
+from ..operators import asof, folds as fo, gates as ga, metrics as me, textscan as ts
 from ..session import materialise, scratch_dir
 from ..streaming.adaptive import adaptive_stream
 from . import analogs as an, backtest as bt, matrix as mx, models_catalog as mc

@@ -154,14 +154,12 @@ def test_average_precision_calibration_and_gate(spark):
     s = np.round(rng.random(200), 2)
     y = (rng.random(200) < s).astype(int)
     df = spark.createDataFrame(pd.DataFrame({"g": 1, "s": s, "y": y}))
-    order = np.argsort(-s, kind="stable")
     ap, tp, last = 0.0, 0, 0.0
     for v in np.unique(s)[::-1]:
         take = s >= v
         tp, rec = y[take].sum(), y[take].sum() / y.sum()
         ap, last = ap + (rec - last) * tp / take.sum(), rec
     assert me.average_precision(df, ["g"], proba="s", label="y").first()["average_precision"] == pytest.approx(ap)
-    assert order is not None
     one = df.withColumn("y", F.lit(1))
     assert me.average_precision(one, ["g"], proba="s", label="y").first()["average_precision"] is None
     want = pd.Series(s).groupby(pd.qcut(s, 5, duplicates="drop"), observed=True).agg(["size", "mean"])
@@ -204,7 +202,7 @@ def test_text_scan_redacts_and_counts_lines(spark):
     text = "first line\r\nmail bob@example.org and eve@example.org password = hunter2hunter2\nip 10.0.0.1"
     found = ts.scan_text(spark.createDataFrame([(1, text), (2, "clean text")], "k long, t string"), key="k", text="t").collect()
     got = {(r["line_no"], r["category"]): (r["severity"], r["redacted"]) for r in found}
-    assert got[(2, "identifying_info:email_address")] == ("hard_block", "bo***********rg"[:2] + "*" * 11 + "rg")
+    assert got[(2, "identifying_info:email_address")] == ("hard_block", "bo" + "*" * 11 + "rg")
     assert got[(3, "secret:generic_assignment")][0] == "hard_block" and got[(4, "identifying_info:ipv4_address")][0] == "review"
     assert len(got) == 3 and all("example" not in r["redacted"] for r in found)
     allow = spark.createDataFrame([(r["k"], r["fingerprint"]) for r in found if r["severity"] == "hard_block"], "k long, fingerprint string")
