@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import ascii_lower, materialise, row_key
 
 BITS_PER_ROW = 16
-MAX_FILTER_BITS = 1 << 27  # at most 2 M words of 64 bits (32 MB as rows) are ever broadcast
+MAX_FILTER_WORDS = 1 << 22  # most filter words ever broadcast: 64 MB as (word, mask) rows
 _LANES = ("__a", "__b")
 
 
@@ -54,11 +54,12 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", bits_
     n = docs.count()
     bits = 1 << max(12, math.ceil(math.log2(max(1, n) * bits_per_row)))
     rows = materialise(docs.select(row_key(key).alias("__id"), F.sha2(normalised(text).cast("binary"), 256).alias("__sha")))
-    if bits > MAX_FILTER_BITS:  # beyond the broadcast bound every digest is grouped
+    marked = rows.select("*", *_cells(F.col("__sha"), bits))
+    found = materialise(repeat_filter(marked, bits))
+    if found.count() > MAX_FILTER_WORDS:  # beyond the broadcast bound every (id, digest) row is grouped
         maybe, single = rows, None
     else:
-        marked = rows.select("*", *_cells(F.col("__sha"), bits))
-        tested = _possibly_repeated(marked, materialise(repeat_filter(marked, bits)))
+        tested = _possibly_repeated(marked, found)
         maybe, single = tested.where("__maybe").drop("__maybe"), tested.where(~F.col("__maybe")).drop("__maybe")
     groups = materialise(maybe.groupBy(F.col("__sha").alias("__g")).agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__n")))
     # Read back from storage, both sides of this join are plain exchanges, so AQE can split a hot digest.
