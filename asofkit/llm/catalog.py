@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import digests, expand_targets
 from .common import materialise, table
 from .exact_dedup import exact_groups
+from .jaccard import similar_groups
 from .quality import quality_scores
 from .secrets import scan_secrets, secret_digest
 from .substrings import repeat_digests
@@ -69,3 +70,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"))
