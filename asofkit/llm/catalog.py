@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import digests, expand_targets
 from .common import materialise, table
+from .decontaminate import contamination, contamination_digest
 from .exact_dedup import exact_groups
 from .jaccard import similar_groups
 from .quality import quality_scores
@@ -75,3 +76,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
