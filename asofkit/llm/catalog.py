@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import digests, expand_targets
-from .common import materialise, table
+from .common import fresh_path, materialise, table
 from .decontaminate import contamination, contamination_digest
 from .exact_dedup import exact_groups
 from .jaccard import similar_groups
 from .quality import quality_scores
 from .secrets import scan_secrets, secret_digest
 from .substrings import repeat_digests
+from .tokenfile import read_documents, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +82,12 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query()
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = fresh_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1, vocabulary=49408)
+    return read_documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
