@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chat import digests, expand_targets
 from .common import fresh_path, materialise, table
@@ -13,6 +13,7 @@ from .exact_dedup import exact_groups
 from .jaccard import similar_groups
 from .quality import quality_scores
 from .secrets import scan_secrets, secret_digest
+from .sentencepieces import decode_documents, encode_documents
 from .substrings import repeat_digests
 from .tokenfile import read_documents, write_tokens
 
@@ -91,3 +92,13 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1, vocabulary=49408)
     return read_documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query()
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and the digest of the text that they decode to."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    back = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"), "ids")
