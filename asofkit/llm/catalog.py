@@ -11,6 +11,7 @@ from .common import fresh_path, materialise, table
 from .decontaminate import contamination, contamination_digest
 from .exact_dedup import exact_groups
 from .jaccard import similar_groups
+from .licences import licence_scan
 from .quality import quality_scores
 from .secrets import scan_secrets, secret_digest
 from .sentencepieces import decode_documents, encode_documents
@@ -102,3 +103,8 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     back = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"), "ids")
+
+
+@query()
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(table(spark, sf_dir, "documents"))
