@@ -3,9 +3,10 @@
 The document by n-gram incidence matrix is never multiplied out. Its columns (n-gram hashes) are cut into blocks whose number
 follows from the size of a document: sets of a and b n-grams that link differ in at most (a + b) / 19 columns, so with one
 block more than that, at least one block of both rows is identical. Rows with no identical block are below that bound and
-are discarded together. Blocks are compared by a hash of their content; overlap counts are accumulated only for pairs of
-classes that meet in a block. Classes already joined by a link are not compared again, so a group of n near copies costs a
-number of comparisons in proportion to n, not to its square.
+are discarded together. Blocks are compared by a hash of their content. Pairs of classes that meet in a block face a second
+bound of the same kind: each row also keeps the parity of its n-gram count in 1,024 buckets, and two rows differ in at least
+as many n-grams as buckets of unlike parity. Overlap counts are accumulated for the pairs that are left. Classes already
+joined by a link are not compared again.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import SPACE, bytes_of, hash_words, materialise, mix, ngram_hash, row_key, slices, word_bounds
 from .components import components
 
 SHINGLE = 3
 SHARE = 90           # links: 100 * intersection >= SHARE * union
+PARITY_BITS = 1024
 MAX_WANTED = 1 << 21  # ids of texts to fetch are broadcast up to this many (16 MB), joined beyond
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -95,13 +97,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(o):
                 total[o[at]] = np.add.reduceat(mix(h ^ mix(np.array([salt]))[0]), at)
             sums.append(pa.array(mix(total + n.astype(np.uint64)).view(np.int64)))
+        odd = (np.bincount(o * PARITY_BITS + (h & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=rows * PARITY_BITS) & 1).astype(np.uint8)
+        lanes = PARITY_BITS // 64
+        parity = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * lanes), pa.array(np.packbits(odd).view(np.int64)))
         group = np.where(n > 0, np.searchsorted(BOUNDS, n, side="right") - 1, -1)
         (own, k_own), (below, k_below) = _block_names(o, h, n, group), _block_names(o, h, n, np.where(group > 0, group - 1, -1))
         owner = np.concatenate([np.repeat(np.arange(rows), k_own), np.repeat(np.arange(rows), k_below)])
         values = np.concatenate([own, below])[np.argsort(owner, kind="stable")]
         ends = np.concatenate([[0], np.cumsum(k_own + k_below)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), *sums, pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))],
-                                         ["id", "n", "d1", "d2", "blocks"])
+        yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), *sums, parity, pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))],
+                                         ["id", "n", "d1", "d2", "parity", "blocks"])
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,6 +120,15 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield piece.select(["a", "b"]).filter(pa.array(100 * both >= SHARE * union))
 
 
+def _may_link(n_a: Column, n_b: Column, parity_a: Column, parity_b: Column) -> Column:
+    """False only for sets that can not link, by their sizes and by the buckets of unlike parity."""
+    unlike = F.bit_count(parity_a[0].bitwiseXOR(parity_b[0]))
+    for k in range(1, PARITY_BITS // 64):
+        unlike = unlike + F.bit_count(parity_a[k].bitwiseXOR(parity_b[k]))
+    near = 100 * F.least(n_a, n_b) >= SHARE * F.greatest(n_a, n_b)
+    return near & ((100 + SHARE) * unlike <= (100 - SHARE) * (n_a + n_b))
+
+
 def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids whose whole texts link, by their exact overlap count."""
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct())
@@ -135,32 +149,34 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     not read. An empty table gives an empty result.
     """
     docs = docs.select(row_key(key).alias("id"), F.col(text).alias("text"))
-    sketch = materialise(docs.mapInArrow(_sketch, "id long, n long, d1 long, d2 long, blocks array<long>"))
+    sketch = materialise(docs.mapInArrow(_sketch, "id long, n long, d1 long, d2 long, parity array<long>, blocks array<long>"))
     # Equal sets form a class, represented by its smallest id. Classes, not documents, are joined from here on.
     classes = materialise(sketch.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")))
     filled = sketch.where("n > 0").select(F.explode("blocks").alias("block"), F.col("d1").alias("class"))
     met = materialise(filled.groupBy("block").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi"))
     names = classes.groupBy(F.col("d1").alias("class")).agg(F.min("rep").alias("rep"))
+    facts = sketch.select(F.col("id").alias("rep"), F.col("d1").alias("class"), "n", "parity").dropDuplicates(["rep", "class"])
+    names = materialise(names.join(facts, ["rep", "class"]))
 
-    def as_ids(pairs: DataFrame) -> DataFrame:
-        lo, hi = names.select(F.col("class").alias("lo"), F.col("rep").alias("ra")), names.select(F.col("class").alias("hi"), F.col("rep").alias("rb"))
-        return pairs.join(lo, "lo").join(hi, "hi").select("lo", "hi", F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+    def side(s: str) -> DataFrame:
+        return names.select(F.col("class").alias(f"class_{s}"), F.col("rep").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), F.col("parity").alias(f"parity_{s}"))
 
+    open_pair = _may_link(F.col("n_x"), F.col("n_y"), F.col("parity_x"), F.col("parity_y"))
+    as_pair = (F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
     # First one pair per block: enough to join most near copies.
-    tried = materialise(as_ids(met.select("lo", "hi").distinct()))
-    links = _linked(docs, tried.select("a", "b"))
+    tried = met.select(F.col("lo").alias("class_x"), F.col("hi").alias("class_y")).distinct().join(side("x"), "class_x").join(side("y"), "class_y")
+    tried = materialise(tried.where(open_pair).select(*as_pair))
+    links = _linked(docs, tried)
     known = components(links)
-    # Then all pairs of classes that share a block and are in different components: no link is missed.
-    member = materialise(filled.join(met.select("block"), "block").distinct())
-    ids = member.join(names, "class").withColumnRenamed("rep", "id").join(known, "id", "left")
-    ids = materialise(ids.select("block", "id", F.coalesce("component", "id").alias("component")))
-    mixed = materialise(ids.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("block"))
-    open_ids = materialise(ids.join(mixed, "block"))
-    other = open_ids.select("block", F.col("id").alias("b"), F.col("component").alias("component_b"))
-    pairs = open_ids.withColumnRenamed("id", "a").join(other, "block").where("component < component_b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialise(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    found = components(links.unionByName(_linked(docs, pairs)))
+    # Then all pairs of classes that share a block, are in different components and within the bounds: no link is missed.
+    member = filled.join(met.select("block"), "block").distinct().join(names, "class").withColumnRenamed("rep", "id").join(known, "id", "left")
+    member = materialise(member.select("block", "id", "n", "parity", F.coalesce("component", "id").alias("component")))
+    mixed = materialise(member.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("block"))
+    spread = member.join(mixed, "block")
+    x, y = (spread.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "parity", "component")]) for s in "xy")
+    pairs = materialise(x.join(y, "block").where((F.col("component_x") < F.col("component_y")) & open_pair).select(*as_pair).distinct())
+    more = _linked(docs, pairs.join(tried, ["a", "b"], "left_anti"))
+    found = components(links.unionByName(more))
     homes = classes.join(found, F.col("rep") == F.col("id"), "left").select(
         F.col("n").alias("cn"), F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("component", "rep").alias("component"))
     homes = materialise(homes)
