@@ -15,6 +15,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,8 @@ from .common import row_key, slices
 MAGIC = b"TKB1"
 BLOCK_TOKENS = 4096
 SHARD_TOKENS = 1 << 21   # a shard is closed when it has so many
-MEMO_WORDS = 200_000     # words whose ids a task remembers; it is emptied when full
+MEMO_WORDS = 1_000_000   # words whose ids a worker remembers (some 40 MB); emptied when full
+LEARN_WORDS = 20_000     # new words that go to the tokenizer at once
 _HEAD = struct.Struct("<4sqqqqq")
 
 
@@ -83,37 +85,63 @@ class Shard:
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that drops white space and never looks across it.
+    """Ids of whole texts by a tokenizer that lower-cases, drops white space and never looks across it.
 
-    Every distinct word of a batch is encoded once and looked up after that; the ids of a text are those of its words.
+    Distinct words of a batch are encoded once and looked up after that; the ids of a text are those of its words. New words go
+    to the tokenizer in long strings, parted by blanks; the place of an id in the string tells its word.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, np.ndarray] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.flat, self.ends = pa.array([], pa.string()), np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, words: pa.Array) -> None:
+        odd = np.zeros(len(words), bool)  # words with an added token inside go alone
+        for token in self.special:
+            odd |= pc.match_substring(words, token).to_numpy(zero_copy_only=False)
+        plain, own = words.filter(pa.array(~odd)), words.filter(pa.array(odd))
+        flats, sizes = [self.flat], [np.diff(self.ends)]
+        for k in range(0, len(plain), LEARN_WORDS):
+            part = plain.slice(k, LEARN_WORDS)
+            got = self.tokenizer.encode(" ".join(part.to_pylist()), add_special_tokens=False)
+            length = pc.utf8_length(part).to_numpy().astype(np.int64) + 1
+            place = np.fromiter((start for start, _ in got.offsets), np.int64, len(got.ids))
+            owner = np.searchsorted(np.cumsum(length) - length, place, side="right") - 1
+            flats.append(np.array(got.ids, np.uint32))
+            sizes.append(np.bincount(owner, minlength=len(part)))
+        for word in own.to_pylist():
+            flats.append(np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32))
+            sizes.append(np.array([len(flats[-1])]))
+        self.words = pa.concat_arrays([self.words, plain, own])
+        self.flat, self.ends = np.concatenate(flats), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, ids per text)."""
-        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         parts = pc.dictionary_encode(words.flatten())
-        names, code = parts.dictionary.to_pylist(), parts.indices.to_numpy()
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        new = [w for w in names if w not in self.memo]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.memo[w] = np.array(e.ids, np.uint32)
-        held = [self.memo[w] for w in names]
-        size = np.fromiter(map(len, held), np.int64, len(held))
-        flat = np.concatenate([np.empty(0, np.uint32), *held])
-        first = np.cumsum(size) - size
-        count = size[code]
+        if len(self.words) > MEMO_WORDS:
+            self._forget()
+        known = pc.index_in(parts.dictionary, value_set=self.words)
+        if known.null_count:
+            self._learn(parts.dictionary.filter(pc.is_null(known)))
+            known = pc.index_in(parts.dictionary, value_set=self.words)
+        code = known.to_numpy()[parts.indices.to_numpy()]
+        count = np.diff(self.ends)[code]
         ends = np.cumsum(count)
-        place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - count, count)
-        ids = flat[np.repeat(first[code], count) + place]
+        place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - count - self.ends[code], count)
         bounds = np.concatenate([[0], ends])[words.offsets.to_numpy() - words.offsets[0].as_py()]
-        return ids, np.diff(bounds)
+        return self.flat[place], np.diff(bounds)
+
+
+@lru_cache(maxsize=1)
+def encoder_at(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int, text: str = "text", key: str = "doc_id") -> None:
@@ -131,7 +159,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabu
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, encoder = TaskContext.get().partitionId(), 0, WordEncoder(tokenizer)
+        part, seq, encoder = TaskContext.get().partitionId(), 0, encoder_at(tokenizer)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def shard() -> pa.RecordBatch:
