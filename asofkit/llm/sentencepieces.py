@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialise, row_key, slices
@@ -26,7 +27,7 @@ from .common import materialise, row_key, slices
 MARK = "▁"          # fixed value: stands for a blank
 GIANT_CHARS = 1 << 15    # texts beyond this are cut into chunks
 CHUNK_CHARS = 1 << 13
-MEMO_WORDS = 150_000     # words whose pieces a task remembers; emptied when full
+MEMO_WORDS = 1_000_000   # words whose pieces a worker remembers (some 40 MB); emptied when full
 UNIT = 1024              # scores are held as whole numbers of this part, so that sums do not depend on their order
 UNKNOWN_PENALTY = 10.0   # fixed value: an unknown character scores this less than the worst piece
 NEVER = -(1 << 60)
@@ -80,22 +81,21 @@ class Model:
                       for k, (p, s, t) in enumerate(pieces) if t in (_NORMAL, _USER)}
         self.unknown = round((worst - UNKNOWN_PENALTY) * UNIT)
         self.longest = max(map(len, self.score))
-        self.openings = {p[:n] for p in self.score for n in range(1, len(p) + 1)}
+        self.table: dict[str, tuple] = {p[:n]: () for p in self.score for n in range(1, len(p))}
+        self.table.update(self.score)
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece holds a word mark after another character: texts can not be cut before words")
-        lone = "" if any("\n" in p for p in self.score) else "\n"
-        # Words with the marks before them; a line break that no piece holds stands alone.
-        self.words = re.compile(f"{MARK}*[^{MARK}{lone}]+|{MARK}+" + (f"|{lone}" if lone else ""))
+        self.lone_break = not any("\n" in p for p in self.score)  # then a line break always stands alone
 
     def starting(self, text: str, at: int) -> list[tuple[int, int, int]]:
         """(length, score, id) of the pieces that start at a position, shortest first; id -1 for an unknown character."""
         found = []
         for n in range(1, min(self.longest, len(text) - at) + 1):
-            part = text[at:at + n]
-            if part not in self.openings:
+            hit = self.table.get(text[at:at + n])
+            if hit is None:
                 break
-            if part in self.score:
-                found.append((n, *self.score[part]))
+            if hit:
+                found.append((n, *hit))
         return found if found and found[0][0] == 1 else [(1, self.unknown, -1), *found]
 
     def forward(self, text: str, own: int, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,18 +118,27 @@ class Model:
         return score, back
 
     def segment(self, text: str) -> tuple[list[int], int]:
-        """Ids of a whole short text, and its score: the same in one lane, without arrays."""
-        n = len(text)
-        score, back = [0] + [NEVER] * n, [None] * (n + 1)
+        """Ids of a whole short text, and its score: `forward` in one lane, without arrays."""
+        n, table, longest = len(text), self.table, self.longest
+        score, start, piece = [0] + [NEVER] * n, [0] * (n + 1), [-1] * (n + 1)
         for at in range(n):
-            for size, value, piece in self.starting(text, at):
-                if score[at] + value > score[at + size]:
-                    score[at + size], back[at + size] = score[at] + value, (at, piece)
-        spans, at = [], n
+            base, single = score[at], False
+            for end in range(at + 1, min(n, at + longest) + 1):
+                hit = table.get(text[at:end])
+                if hit is None:
+                    break
+                if hit:
+                    single = single or end == at + 1
+                    if base + hit[0] > score[end]:
+                        score[end], start[end], piece[end] = base + hit[0], at, hit[1]
+            if not single and base + self.unknown > score[at + 1]:
+                score[at + 1], start[at + 1], piece[at + 1] = base + self.unknown, at, -1
+        ids, at = [], n
         while at:
-            spans.append((at, *back[at]))
-            at = back[at][0]
-        return [i for end, start, piece in reversed(spans) for i in self.ids(text, start, end, piece)], score[n]
+            own = [piece[at]] if piece[at] >= 0 else self.ids(text, start[at], at, -1)
+            ids.extend(reversed(own))
+            at = start[at]
+        return ids[::-1], score[n]
 
     def ids(self, text: str, start: int, end: int, piece: int) -> list[int]:
         return [piece] if piece >= 0 else [self.bytes.get(b, 0) for b in text[start:end].encode()]
@@ -149,37 +158,75 @@ def model_at(path: str) -> Model:
     return Model(path)
 
 
-class Memo:
-    """Ids and scores of words, encoded once each."""
-
-    def __init__(self, model: Model):
-        self.model, self.known = model, {}
-
-    def __call__(self, words: list[str]) -> list[tuple[list[int], int]]:
-        if len(self.known) > MEMO_WORDS:
-            self.known.clear()
-        for w in set(words).difference(self.known):
-            self.known[w] = self.model.segment(w)
-        return [self.known[w] for w in words]
+class WordMemo:
+    """Ids of texts word by word. Each distinct word is encoded once; a batch is looked up with array operations.
 
+    Texts come as bytes, with blanks for marks and the first mark in front. A word is a run of blanks and what follows it.
+    """
 
-def encode_texts(model: Model, memo: Memo, texts: list[str | None]) -> list[np.ndarray]:
-    out = []
-    for text in texts:
-        parts = memo(model.words.findall(marked(text or "")))
-        out.append(np.fromiter(chain.from_iterable(p for p, _ in parts), np.int32))
-    return out
+    def __init__(self, model: Model):
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.flat, self.ends = pa.array([], pa.binary()), np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def _learn(self, words: pa.Array) -> None:
+        found = [self.model.segment(w.decode("utf-8", "replace").replace(" ", MARK))[0] for w in words.to_pylist()]
+        self.words = pa.concat_arrays([self.words, words])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in found])]).astype(np.int64)
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, bounds of the texts in them)."""
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        if not len(data):
+            return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        blank = data == 32
+        opens = blank.copy()
+        opens[1:] &= ~blank[:-1]
+        if self.model.lone_break:
+            line = data == 10
+            opens |= line
+            opens[1:] |= line[:-1]
+        opens[at[:-1][at[:-1] < len(data)]] = True
+        first = np.flatnonzero(opens)
+        offsets = np.append(first, len(data)).astype(np.int32)
+        words = pc.dictionary_encode(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
+        if len(self.words) > MEMO_WORDS:
+            self._forget()
+        known = pc.index_in(words.dictionary, value_set=self.words)
+        if known.null_count:
+            self._learn(words.dictionary.filter(pc.is_null(known)))
+            known = pc.index_in(words.dictionary, value_set=self.words)
+        code = known.to_numpy()[words.indices.to_numpy()]
+        count = np.diff(self.ends)[code]
+        ends = np.cumsum(count)
+        place = np.arange(int(ends[-1])) - np.repeat(ends - count - self.ends[code], count)
+        return self.flat[place], np.concatenate([[0], ends])[np.searchsorted(first, at)]
+
+
+@lru_cache(maxsize=1)
+def memo_at(path: str) -> WordMemo:
+    return WordMemo(model_at(path))
+
+
+def blank_bytes(text: str | None) -> bytes:
+    return (" " + text.replace(MARK, " ")).encode() if text else b""
 
 
 class Chunk:
-    """A stretch of a giant text: `own` characters and as many after them as a piece can reach."""
+    """A stretch of a giant text: `own` characters and as many after them as a piece can reach.
 
-    def __init__(self, model: Model, memo: Memo, text: str, own: int):
+    With the start of a new word inside, every path passes there: the matrix is the sum of the way in and the way out, and what
+    lies between the first and the last such cut adds the same to all paths. It is left out of the scores.
+    """
+
+    def __init__(self, model: Model, text: str, own: int):
         self.model, self.text, self.own = model, text, own
         marks = [m.start() for m in re.finditer(f"(?<=[^{MARK}]){MARK}", text[:own])]
-        # Pieces that start before the first cut stand alone, then whole words, then those from the last cut on.
         self.cut = (marks[0], marks[-1]) if marks else None
-        self.middle = memo(model.words.findall(text[marks[0]:marks[-1]])) if marks else []
 
     def reach(self, entry: np.ndarray) -> tuple:
         """Exit scores per lane (states x lanes) for the entry scores, with what a trace needs."""
@@ -188,13 +235,10 @@ class Chunk:
             score, back = self.model.forward(self.text, self.own, entry)
             return score[self.own:self.own + size], (score, back), None
         first, last = self.cut
-        head = self.model.forward(self.text[:first], first, entry[:first + 1] if len(entry) > first + 1 else entry)
-        zero = np.zeros((1, 1), np.int64)
-        tail = self.model.forward(self.text[last:], self.own - last, zero)
-        at_cut = head[0][first]
-        total = at_cut + sum(s for _, s in self.middle)
+        head = self.model.forward(self.text[:first], first, entry[:first + 1])
+        tail = self.model.forward(self.text[last:], self.own - last, np.zeros((1, 1), np.int64))
         exits = tail[0][self.own - last:self.own - last + size, 0][:, None]
-        return np.where((exits > NEVER) & (at_cut > NEVER), exits + total, NEVER), head, tail
+        return np.where((exits > NEVER) & (head[0][first] > NEVER), exits + head[0][first], NEVER), head, tail
 
     def matrix(self) -> np.ndarray:
         """entry state x exit state."""
@@ -203,32 +247,38 @@ class Chunk:
         np.fill_diagonal(entry, 0)
         return self.reach(entry)[0].T.copy()
 
-    def _walk(self, text: str, back: np.ndarray, at: int) -> tuple[list[tuple[int, int]], int]:
-        spans = []
+    def _walk(self, text: str, back: np.ndarray, at: int) -> tuple[list[int], int]:
+        """(ids, where the trace ends) of the best path to a position."""
+        known, ids = self.model.score, []
         while back[at, 0] >= 0:
-            spans.append((int(back[at, 0]), at))
-            at = int(back[at, 0])
-        return spans[::-1], at
-
-    def _ids(self, text: str, spans: list[tuple[int, int]]) -> list[int]:
-        own = self.model.score
-        return [i for s, e in spans for i in self.model.ids(text, s, e, own[text[s:e]][1] if text[s:e] in own else -1)]
-
-    def trace(self, entry: np.ndarray, exit_state: int) -> tuple[int, list[int]]:
-        """(entry state, ids) of the best path that leaves at `exit_state`."""
+            start = int(back[at, 0])
+            own = text[start:at]
+            ids.append(self.model.ids(text, start, at, known[own][1] if own in known else -1))
+            at = start
+        return [i for part in reversed(ids) for i in part], at
+
+    def trace(self, entry: np.ndarray, exit_state: int) -> tuple[int, list[int], str, list[int]]:
+        """(entry state, ids up to the first cut, text between the cuts, ids after it) of the best path out at `exit_state`."""
         _, head, tail = self.reach(entry[:, None])
         if tail is None:
-            spans, at = self._walk(self.text, head[1], self.own + exit_state)
-            return at, self._ids(self.text, spans)
+            ids, at = self._walk(self.text, head[1], self.own + exit_state)
+            return at, ids, "", []
         first, last = self.cut
-        spans, at = self._walk(self.text, head[1], first)
-        end, _ = self._walk(self.text[last:], tail[1], self.own - last + exit_state)
-        return at, self._ids(self.text, spans) + [i for ids, _ in self.middle for i in ids] + self._ids(self.text[last:], end)
+        ids, at = self._walk(self.text, head[1], first)
+        return at, ids, self.text[first:last], self._walk(self.text[last:], tail[1], self.own - last + exit_state)[0]
 
     def entries(self, entry: np.ndarray) -> np.ndarray:
         """Entry state of the best path for every exit state, -1 where there is none."""
-        reached = self.reach(entry[:, None])[0][:, 0]
-        return np.array([self.trace(entry, e)[0] if reached[e] > NEVER else -1 for e in range(self.model.longest)], np.int64)
+        exits, head, tail = self.reach(entry[:, None])
+        ends = [self.own + e if tail is None else self.cut[0] for e in range(self.model.longest)]
+        where = {end: self._walk(self.text, head[1], end)[1] for end in set(ends)}
+        return np.array([where[end] if exits[e, 0] > NEVER else -1 for e, end in enumerate(ends)], np.int64)
+
+
+def whole_ids(memo: WordMemo, traced: list[tuple[int, list[int], str, list[int]]]) -> list[np.ndarray]:
+    """Ids of traced chunks: way in, words between the cuts, way out."""
+    flat, at = memo([t.replace(MARK, " ").encode() for _, _, t, _ in traced])
+    return [np.concatenate([np.array(head, np.int32), flat[a:b], np.array(tail, np.int32)]) for (_, head, _, tail), a, b in zip(traced, at[:-1], at[1:])]
 
 
 def entry_scores(matrices: list[np.ndarray]) -> list[np.ndarray]:
@@ -272,16 +322,15 @@ def _giant_ids(giants: DataFrame, path: str) -> DataFrame:
     def per_chunk(work, out: str, names: list[str], kind):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = model_at(path)
-            memo = Memo(model)
             for part in slices(batches):
                 rows = part.to_pylist()
-                values = [work(Chunk(model, memo, r["text"], r["own"]), r) for r in rows]
+                values = work([Chunk(model, r["text"], r["own"]) for r in rows], rows)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "h", "k")), pa.array(values, kind)], names)
         return run, out
 
     longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
     keys = "id long, h long, k long"
-    run, out = per_chunk(lambda c, r: c.matrix().ravel(), f"{keys}, m array<long>", ["id", "h", "k", "m"], longs)
+    run, out = per_chunk(lambda cs, rs: [c.matrix().ravel() for c in cs], f"{keys}, m array<long>", ["id", "h", "k", "m"], longs)
     matrices = chunks.mapInArrow(run, out)
 
     def scan(merge, kind):
@@ -300,9 +349,9 @@ def _giant_ids(giants: DataFrame, path: str) -> DataFrame:
     size = reach + 1
     entry = materialise(by_text(matrices).mapInArrow(scan(lambda ms: entry_scores([m.reshape(size, size) for m in ms]), longs), f"{keys}, v array<long>"))
     known = chunks.join(entry.withColumnRenamed("v", "entry"), ["id", "h", "k"])
-    run, out = per_chunk(lambda c, r: c.entries(np.array(r["entry"], np.int64)), f"{keys}, m array<long>", ["id", "h", "k", "m"], longs)
+    run, out = per_chunk(lambda cs, rs: [c.entries(np.array(r["entry"], np.int64)) for c, r in zip(cs, rs)], f"{keys}, m array<long>", ["id", "h", "k", "m"], longs)
     exits = materialise(by_text(known.mapInArrow(run, out)).mapInArrow(scan(exit_states, pa.int64()), f"{keys}, v long"))
-    run, out = per_chunk(lambda c, r: c.trace(np.array(r["entry"], np.int64), r["exit"])[1], f"{keys}, ids array<int>", ["id", "h", "k", "ids"], ints)
+    run, out = per_chunk(lambda cs, rs: whole_ids(memo_at(path), [c.trace(np.array(r["entry"], np.int64), r["exit"]) for c, r in zip(cs, rs)]), f"{keys}, ids array<int>", ["id", "h", "k", "ids"], ints)
     traced = known.join(exits.withColumnRenamed("v", "exit"), ["id", "h", "k"]).mapInArrow(run, out)
     return traced.groupBy("id", "h").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
 
@@ -317,13 +366,10 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
     giant = F.char_length("text") > GIANT_CHARS
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_at(path)
-        memo = Memo(model)
+        memo = memo_at(path)
         for part in slices(batches):
-            ids = encode_texts(model, memo, part.column("text").to_pylist())
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.concatenate([np.empty(0, np.int32), *ids])
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "ids"])
+            flat, ends = memo([blank_bytes(t) for t in part.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["id", "ids"])
 
     short = rows.where(~giant).mapInArrow(encode, "id long, ids array<int>")
     giants = rows.where(giant).withColumn("h", F.xxhash64("text"))

@@ -21,7 +21,7 @@ from asofkit.llm.jaccard import similar_groups
 from asofkit.llm.licences import licence_scan
 from asofkit.llm.quality import quality_scores
 from asofkit.llm.secrets import scan_secrets, secret_digest
-from asofkit.llm.sentencepieces import Chunk, Memo, Model, decode_documents, encode_documents, entry_scores, exit_states, marked
+from asofkit.llm.sentencepieces import Chunk, Model, WordMemo, decode_documents, encode_documents, entry_scores, exit_states, marked, whole_ids
 from asofkit.llm.substrings import remove_repeats, repeat_digests
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -374,14 +374,14 @@ def test_sentencepiece_documents(docs, corpus, no_docs, monkeypatch):
 
 def test_max_plus_chunks_give_the_whole_text_path():
     model = Model(PIECES)
-    memo, r = Memo(model), random.Random(3)
+    memo, r = WordMemo(model), random.Random(3)
     for size in (16, 20, 33):
         for letters in ("ab teh日onrsing", "tehonrsing", "the  ", " "):
             text = marked("".join(r.choice(letters) for _ in range(300)))
-            chunks = [Chunk(model, memo, text[a:a + size + model.longest - 1], min(size, len(text) - a)) for a in range(0, len(text), size)]
+            chunks = [Chunk(model, text[a:a + size + model.longest - 1], min(size, len(text) - a)) for a in range(0, len(text), size)]
             entry = entry_scores([c.matrix() for c in chunks])
             out = exit_states([c.entries(p) for c, p in zip(chunks, entry)])
-            ids = [i for c, p, e in zip(chunks, entry, out) for i in c.trace(p, e)[1]]
+            ids = np.concatenate(whole_ids(memo, [c.trace(p, e) for c, p, e in zip(chunks, entry, out)])).tolist()
             whole, score = model.segment(text)
             assert ids == whole and score == best_path(model, text)
 
