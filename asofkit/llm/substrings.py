@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACE, bytes_of, hash_words, mix, ngram_hash, row_key, slices, word_bounds
+from .common import SPACE, bytes_of, hash_words, materialise, mix, ngram_hash, row_key, slices, word_bounds
 
 WINDOW = 20
 RUN = 4      # equal words in a row that make a run symbol
@@ -174,7 +174,8 @@ def _with_copies(docs: DataFrame, text: str, key: str) -> DataFrame:
     """(id, text, copy): copy marks rows whose whole text a smaller id has. Dealt by id; all later steps use that exchange."""
     rows = docs.select(row_key(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     named = rows.select("id", F.md5(F.col("text").cast("binary")).alias("name"))
-    heads = named.groupBy("name").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head <> tail")
+    # Read back from storage, both sides of the next join are plain exchanges, so AQE can split a hot text.
+    heads = materialise(named.groupBy("name").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head <> tail"))
     later = named.join(heads, "name").where("id <> head").groupBy("id").agg(F.collect_set("name").alias("names"))
     marked = rows.join(later, "id", "left")
     copy = F.when(F.col("names").isNotNull(), F.array_contains("names", F.md5(F.col("text").cast("binary")))).otherwise(F.lit(False))
