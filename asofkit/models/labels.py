@@ -66,9 +66,11 @@ def inner_holdout_labels(df: DataFrame, holdouts: DataFrame, folds: DataFrame, p
 def percentile_thresholds(df: DataFrame, *, value: str, percentiles: Sequence[float] = (0.75, 0.80, 0.90, 0.95)) -> DataFrame:
     """(percentile, threshold, n_train, n_flagged, fraction_flagged) of one sample."""
     q = exact_quantiles(df, by=[], value=value, probs=list(percentiles))
-    wanted = q.select(F.posexplode("quantiles").alias("pos", "threshold")).withColumn(
-        "percentile", F.element_at(F.array(*[F.lit(float(x)) for x in percentiles]), F.col("pos") + 1))
-    rows = df.where(F.col(value).isNotNull()).select(value).join(F.broadcast(wanted), F.lit(True))
-    flagged = F.count_if(F.col(value) >= F.col("threshold"))
-    return rows.groupBy("percentile", "threshold").agg(
-        F.count("*").alias("n_train"), flagged.alias("n_flagged"), (flagged / F.count("*")).alias("fraction_flagged"))
+    # One row with all thresholds beside every value, counted in one pass.
+    rows = df.where(F.col(value).isNotNull()).select(value).join(F.broadcast(q), F.lit(True))
+    counts = rows.agg(F.count("*").alias("n_train"), F.first("quantiles").alias("quantiles"), F.array(*[
+        F.count_if(F.col(value) >= F.col("quantiles")[i]) for i in range(len(percentiles))]).alias("flagged"))
+    each = counts.select("n_train", F.inline(F.array(*[
+        F.struct(F.lit(float(x)).alias("percentile"), F.col("quantiles")[i].alias("threshold"), F.col("flagged")[i].alias("n_flagged"))
+        for i, x in enumerate(percentiles)])))
+    return each.where("n_train > 0").select("percentile", "threshold", "n_train", "n_flagged", (F.col("n_flagged") / F.col("n_train")).alias("fraction_flagged"))

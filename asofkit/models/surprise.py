@@ -84,7 +84,7 @@ def fit_surprise(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
 def apply_surprise(rows: DataFrame, sums: DataFrame, params: DataFrame, p: Pool, regime: str, keys: Sequence[str]) -> DataFrame:
     """Rows with `expected` and `surprise`. Parameter tables hold one row per fold or fold x group."""
     means = sums.select(*keys, p.segment, p.repeat, (F.col("sy") / F.col("n")).alias("__gm"))
-    out = rows.join(params, list(keys)).join(means, [*keys, p.segment, p.repeat], "left")
+    out = rows.join(params, list(keys), "left").join(means, [*keys, p.segment, p.repeat], "left")
     expected = (
         F.coalesce("__gm", "global_mean") + F.col("amount_slope") * (F.ln(p.amount) - F.col("amount_center"))
         + F.col("regime_slope") * (F.coalesce(F.col(regime), F.col("regime_fallback")) - F.col("regime_center"))

@@ -13,19 +13,22 @@ from ..operators.quantiles import weighted_quantiles
 TREE_GRID = tuple((i, d, s) for i in (50, 100) for d in (2, 3) for s in (0.05, 0.1))
 TREE_FALLBACK = (100, 3, 0.1)
 MIN_LEAF_ROWS = 20
+LEVELS = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
 
 
 def _assembled(train: DataFrame, numeric: Sequence[str], category: str, values: Sequence[str]):
-    """Feature vector: value with an out-of-range mark for missing, and the category's index.
-    Categories unseen in the list share one extra index."""
+    """Feature vector: values, a flag per value that is missing, and the category as an unordered
+    class. Categories unseen in the list share one extra class."""
     from pyspark.ml.feature import VectorAssembler
 
-    mark = -1e9
-    names = [f"__{c}" for c in numeric] + ["__cat"]
+    names = [f"__{c}" for c in numeric] + [f"__no_{c}" for c in numeric] + ["__cat"]
     index = F.lit(float(len(values)))
     for i, v in enumerate(values):
         index = F.when(F.col(category) == v, F.lit(float(i))).otherwise(index)
-    prepared = train.withColumns({f"__{c}": F.coalesce(F.col(c).cast("double"), F.lit(mark)) for c in numeric} | {"__cat": index})
+    nominal = {"ml_attr": {"type": "nominal", "name": "__cat", "vals": [*map(str, values), "other"]}}
+    prepared = train.withColumns({f"__{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in numeric}
+                                 | {f"__no_{c}": F.col(c).isNull().cast("double") for c in numeric})
+    prepared = prepared.select("*", index.alias("__cat", metadata=nominal))
     return VectorAssembler(inputCols=names, outputCol="__features").transform(prepared).drop(*names)
 
 
@@ -75,9 +78,8 @@ def leaf_quantiles(train: DataFrame, rows: DataFrame, target: str, key: str, num
         F.col(target).alias("__y"), F.posexplode(leaves).alias("__tree", "__leaf"))
     # distinct targets per leaf with counts
     cells = mates.groupBy("__tree", "__leaf", "__y").agg(F.count("*").alias("__n"))
-    probe = model.transform(_assembled(rows, numeric, category, values)).select(key, leaves.alias("__path"))
-    paths = probe.groupBy("__path").agg(F.count("*").alias("__rows")).withColumn("__pid", F.xxhash64("__path"))
-    spread = paths.select("__pid", F.posexplode("__path").alias("__tree", "__leaf")).join(cells, ["__tree", "__leaf"])
+    probe = model.transform(_assembled(rows, numeric, category, values)).select(key, leaves.alias("__pid"))
+    spread = probe.select("__pid").distinct().select("__pid", F.posexplode("__pid").alias("__tree", "__leaf")).join(cells, ["__tree", "__leaf"])
     pooled = spread.groupBy("__pid", "__y").agg(F.sum("__n").alias("__n"))
     q = weighted_quantiles(pooled, by=["__pid"], value="__y", weight="__n", probs=levels, chunk=F.floor(F.col("__y") * value_chunks))
-    return probe.withColumn("__pid", F.xxhash64("__path")).join(q, "__pid").select(key, "quantiles")
+    return probe.join(q, "__pid").select(key, "quantiles")

@@ -110,7 +110,11 @@ def asof_join_timestamps(
     left = events.select(
         *by, F.col(at).alias("__t"), F.struct(*[F.col(c) for c in events.columns]).alias("__event"),
     ).withColumn("__bucket", F.date_trunc(bucket, F.col("__t")))
-    left = left.join(carry, [*by, "__bucket"], "left")
+    carry = carry.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__bucket").alias("__kb"), "__carry")
+    same = F.col("__bucket") == F.col("__kb")
+    for c in by:  # a missing key is a key, as in the windows
+        same = same & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    left = left.join(carry, same, "left").drop("__kb", *[f"__k_{c}" for c in by])
     release_side, probe_side = (1, 0) if strict else (0, 1)
     merged = left.withColumn("__side", F.lit(probe_side)).unionByName(
         packed.withColumn("__side", F.lit(release_side)), allowMissingColumns=True

@@ -26,8 +26,8 @@ _KNOWN: dict[tuple, DataFrame] = {}
 
 
 def computed_calendar(spark: SparkSession, first: str, last: str, extra_closures: DataFrame | None = None) -> DataFrame:
-    """The calendar as a plan. Neighbours lie within two weeks, so they come from a window of
-    14 rows over this one small table."""
+    """The calendar as a plan. The neighbours of a day come from two running windows over this one
+    small table, however long the stretch of closed days."""
     days = spark.sql(f"SELECT explode(sequence(DATE '{first}', DATE '{last}')) AS day").selectExpr(
         "day", f"({_HOLIDAY}) AS is_holiday")
     if extra_closures is not None:
@@ -35,12 +35,13 @@ def computed_calendar(spark: SparkSession, first: str, last: str, extra_closures
         days = days.join(F.broadcast(closed), "day", "left").selectExpr(
             "day", "is_holiday OR coalesce(__closed, false) AS is_holiday")
     days = days.selectExpr("day", "is_holiday", "weekday(day) < 5 AND NOT is_holiday AS is_business_day")
-    line = Window.orderBy("day")
+    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
     open_day = F.when(F.col("is_business_day"), F.col("day"))
     return days.select(
         "day", "is_holiday", "is_business_day",
-        F.min(open_day).over(line.rowsBetween(1, 14)).alias("next_business_day"),
-        F.max(open_day).over(line.rowsBetween(-14, -1)).alias("previous_business_day"),
+        F.min(open_day).over(after).alias("next_business_day"),
+        F.max(open_day).over(before).alias("previous_business_day"),
     )
 
 
@@ -63,7 +64,14 @@ def business_calendar(
 
 def _attach(df: DataFrame, calendar: DataFrame, on: Column, source: str, out: str) -> DataFrame:
     lookup = F.broadcast(calendar.select(F.col("day").alias("__cal_day"), F.col(source).alias(out)))
-    return df.join(lookup, on == F.col("__cal_day"), "left").drop("__cal_day")
+    return _covered(df.join(lookup, on == F.col("__cal_day"), "left"), on, out)
+
+
+def _covered(joined: DataFrame, on: Column, out: str) -> DataFrame:
+    """Fails on a day beyond the calendar, which would otherwise pass as one without a neighbour."""
+    outside = on.isNotNull() & F.col("__cal_day").isNull()
+    text = F.concat(F.lit("day outside the calendar: "), on.cast("string"))
+    return joined.withColumn(out, F.when(outside, F.raise_error(text)).otherwise(F.col(out))).drop("__cal_day")
 
 
 def with_next_business_day(df: DataFrame, calendar: DataFrame, day: str, out: str) -> DataFrame:
@@ -99,7 +107,7 @@ def _shifted(df: DataFrame, calendar: DataFrame, nominal: Column, out: str) -> D
     cal = F.broadcast(calendar.select(
         F.col("day").alias("__cal_day"),
         F.when(F.col("is_holiday"), F.col("next_business_day")).otherwise(F.col("day")).alias(out)))
-    return df.join(cal, nominal == F.col("__cal_day"), "left").drop("__cal_day")
+    return _covered(df.join(cal, nominal == F.col("__cal_day"), "left"), nominal, out)
 
 
 def with_overridden_release_dates(

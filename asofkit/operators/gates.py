@@ -14,8 +14,8 @@ def forbidden_columns(columns: Sequence[str], *, exact: Sequence[str], patterns:
     return {"exact": sorted(set(columns) & set(exact)), "pattern": hits}
 
 
-def availability_summary(joined: DataFrame, *, cutoff: str, by: str, sources: dict[str, str], key: str = "event_key", examples: int = 10) -> DataFrame:
-    """(view, source, n_matched, n_violations, max_lag_days, example_keys) in one pass.
+def availability_summary(joined: DataFrame, *, cutoff: str, by: str, sources: dict[str, str], key: str = "event_key") -> DataFrame:
+    """(view, source, n_matched, n_violations, max_lag_days) in one pass; `late_keys` names the offenders.
 
     A violation is a release whose safe date lies after the cutoff it was joined at.
     """
@@ -25,15 +25,28 @@ def availability_summary(joined: DataFrame, *, cutoff: str, by: str, sources: di
     return long.groupBy(by, "source").agg(
         F.count("__safe").alias("n_matched"), F.count_if(late).alias("n_violations"),
         F.max(F.date_diff("__cutoff", "__safe")).alias("max_lag_days"),
-        F.min(F.when(late, F.col(key))).alias("example_keys"),
     )
 
 
-def monotonicity(table: DataFrame, *, earlier: str, later: str) -> DataFrame:
-    """A later cutoff must never select an earlier release, nor lose one."""
+def late_keys(joined: DataFrame, *, cutoff: str, by: str, sources: dict[str, str], key: str = "event_key") -> DataFrame:
+    """(view, source, key, days_late): one row per release that was joined before it was safe."""
+    items = F.array(*[F.struct(F.lit(n).alias("source"), F.col(c).alias("__safe")) for n, c in sources.items()])
+    long = joined.select(by, key, F.col(cutoff).alias("__cutoff"), F.inline(items))
+    return long.where(F.col("__safe") > F.col("__cutoff")).select(by, "source", key, F.date_diff("__safe", "__cutoff").alias("days_late"))
+
+
+def monotonicity(table: DataFrame, *, cutoffs: Sequence[str], earlier: str, later: str) -> DataFrame:
+    """A later cutoff must never select an earlier release, nor lose one.
+
+    `cutoffs` names the two cutoffs in order. Rows whose later cutoff lies before the earlier one are
+    counted as reversed: nothing can be said about their releases, so the other counts leave them out.
+    """
+    first, second = (F.col(c) for c in cutoffs)
+    ordered = F.coalesce(second >= first, F.lit(False))
     return table.agg(
-        F.count("*").alias("n_events"), F.count_if(F.col(later) < F.col(earlier)).alias("n_earlier"),
-        F.count_if(F.col(earlier).isNotNull() & F.col(later).isNull()).alias("n_lost"))
+        F.count("*").alias("n_events"), F.count_if(second < first).alias("n_cutoffs_reversed"),
+        F.count_if(ordered & (F.col(later) < F.col(earlier))).alias("n_earlier"),
+        F.count_if(ordered & F.col(earlier).isNotNull() & F.col(later).isNull()).alias("n_lost"))
 
 
 def key_audit(table: DataFrame, canonical: DataFrame, *, key: Sequence[str], unique: Sequence[str]) -> DataFrame:
@@ -49,7 +62,10 @@ def key_audit(table: DataFrame, canonical: DataFrame, *, key: Sequence[str], uni
 
 
 def one_to_one(left: DataFrame, right: DataFrame, *, key: str) -> DataFrame:
-    """Inner join whose right side must be unique by key; a repeat fails the job."""
+    """Inner join whose right side must be unique by key and whose sides must hold the same keys; anything else raises."""
+    audit = key_audit(left, right, key=[key], unique=[key]).first()
+    if audit["n_extra"] or audit["n_missing"]:
+        raise ValueError(f"key sets differ: {audit['n_extra']} keys without a partner, {audit['n_missing']} missing")
     once = F.assert_true(F.count("*") == 1, F.concat(F.lit("repeated key "), F.col(key).cast("string")))
     values = [c for c in right.columns if c != key]
     checked = right.groupBy(key).agg(*[F.first(c).alias(c) for c in values], once.alias("__ok"))

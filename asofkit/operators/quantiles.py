@@ -14,7 +14,8 @@ _CELLS = 4096
 def value_chunk(value: Column, per_octave: int = _PER_OCTAVE) -> Column:
     """Order-preserving integer of a double: sign and scaled binary logarithm."""
     size = F.floor(F.log2(F.abs(value)) * per_octave) + 1100 * per_octave
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0))
+    end = 4096 * per_octave  # beyond every finite value
+    return F.when(value == float("inf"), F.lit(end)).when(value == float("-inf"), F.lit(-end)).when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0))
 
 
 def bounded_quantiles(df: DataFrame, *, by: Sequence[str], value: str, probs: Sequence[float], out: str = "quantiles") -> DataFrame:
@@ -60,7 +61,8 @@ def exact_quantiles(
     if expand is not None:
         rows = expand(rows.join(kept.select(F.col("__kc").alias("__c")).distinct(), "__c", "left_semi"))
     near = rows.join(kept, condition)
-    cell = F.coalesce(F.floor(F.try_divide((v - F.col("__lo")) * _CELLS, F.col("__hi") - F.col("__lo"))), F.lit(0))
+    spread = F.when(F.col("__hi") > F.col("__lo"), F.floor((v - F.col("__lo")) * _CELLS / (F.col("__hi") - F.col("__lo"))))
+    cell = F.coalesce(spread, F.lit(0))
     keys = [*by, "__c", "__from", "__n"]
     values = near.groupBy(*keys, cell.alias("__s"), "__v").agg(F.count("*").alias("__w"))
     total = values.groupBy(*keys, "__s").agg(F.sum("__w").alias("__sw"))
@@ -86,7 +88,8 @@ def _read_ranks(ranked: DataFrame, by: Sequence[str], probs: Sequence[float], ou
     values = []
     for i, p in enumerate(probs):
         rank = F.lit(float(p)) * (F.col("__n") - 1)
-        values.append(F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * (rank - F.floor(rank)))
+        lo, hi = F.col(f"__l{i}"), F.col(f"__h{i}")
+        values.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (rank - F.floor(rank))))
     return ends.select(*by, F.array(*values).alias(out))
 
 

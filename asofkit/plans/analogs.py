@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def calendar(spark: SparkSession) -> DataFrame:
-    return cal.business_calendar(spark, "1990-01-01", "2004-12-31")
+    return cal.business_calendar(spark)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

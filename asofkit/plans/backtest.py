@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..models import baselines as bl, intervals as iv, labels as la, shrinkage as sh
 from ..operators import folds as fo
-from ..session import materialise
+from ..session import materialise, staged
 from . import analogs as an
 
 POOL = fo.Pool()
@@ -22,12 +22,12 @@ def folds(pool: DataFrame) -> DataFrame:
 
 def staged_pool(spark, sf_dir) -> DataFrame:
     """The modelling pool, written once: folds, fits and test rows all read it."""
-    return materialise(an.pool(spark, sf_dir))
+    return staged(spark, "pool", sf_dir, lambda: an.pool(spark, sf_dir))
 
 
 def regime_pool(spark, sf_dir) -> DataFrame:
     """The pool with each row's safe trailing mean, written once."""
-    return materialise(la.with_safe_regime(staged_pool(spark, sf_dir), POOL))
+    return staged(spark, "regime_pool", sf_dir, lambda: la.with_safe_regime(staged_pool(spark, sf_dir), POOL))
 
 
 def forecast_rows(spark, sf_dir) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import dates as dt
 from ..operators import asof, calendar as cal, rolling as ro
 from . import analogs as an
-from .oracle import sql
+from .oracle import sql, weekdays_to
 
 QUERIES = {}
 ORACLES = {}
@@ -74,7 +74,7 @@ SELECT event_date AS day, count(*) AS n_events, bool_or(is_h) AS is_holiday, boo
 FROM ev JOIN cal ON day = event_date GROUP BY 1"""))
 def business_calendar(spark, sf_dir):
     days = an.events(spark, sf_dir).groupBy(F.col("event_date").alias("day")).agg(F.count("*").alias("n_events"))
-    return days.join(F.broadcast(an.calendar(spark)), "day")
+    return days.join(F.broadcast(an.calendar(spark)), "day", "left")
 
 
 @query("event_cutoffs", sql("evc", """
@@ -118,12 +118,11 @@ def release_calendar_overrides(spark, sf_dir):
     return cal.with_overridden_release_dates(days, an.calendar(spark), "observed", overrides=overrides, windows=windows)
 
 
-@query("event_ages_and_parts", sql("evc", """
+@query("event_ages_and_parts", sql("evc", f"""
 SELECT event_key, CAST(month(event_date) AS INTEGER) AS event_month, CAST(quarter(event_date) AS INTEGER) AS event_quarter,
   CAST(isodow(event_date) - 1 AS INTEGER) AS event_weekday, CAST(isodow(announce_date) - 1 AS INTEGER) AS announce_weekday,
   CAST(event_date - announce_date AS INTEGER) AS gap_days,
-  CAST((SELECT count(*) FROM range(0, 40) r(i) WHERE i < result_safe_date - announce_date
-        AND isodow(announce_date + CAST(i AS INTEGER)) < 6) AS INTEGER) AS age_weekdays
+  CAST(greatest({weekdays_to('result_safe_date')} - {weekdays_to('announce_date')}, 0) AS INTEGER) AS age_weekdays
 FROM evc"""))
 def event_ages_and_parts(spark, sf_dir):
     ev = an.events_with_cutoffs(spark, sf_dir)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import arithmetic as ar
 from ..models import linear as li, trees as tr
 from ..operators import asof, folds as fo, gates as ga, metrics as me, textscan as ts
-from ..session import materialise, scratch_dir
+from ..session import materialise, scratch_dir, staged
 from ..streaming.adaptive import adaptive_stream
 from . import analogs as an, backtest as bt, matrix as mx, models_catalog as mc
 from .oracle import cte, sql
@@ -154,12 +154,16 @@ DESIGN = li.Design(numeric=("log_amount", "regime", "gap_days", "event_month", "
 
 def feature_pool(spark, sf_dir):
     """The pool with predictors known at the announcement cutoff, written once."""
+    return staged(spark, "feature_pool", sf_dir, lambda: _feature_pool(spark, sf_dir))
+
+
+def _feature_pool(spark, sf_dir):
     pool = bt.regime_pool(spark, sf_dir)
     w = mx.weekly(spark, sf_dir).select("observed", "safe_date", (F.col("value_A") / (F.col("value_A") + F.col("value_N") + F.col("value_R"))).alias("weekly_share"))
     out = asof.asof_join(pool, w, cutoff="announcement_cutoff", safe="safe_date", tie=["observed"], keep=["weekly_share"])
-    return materialise(out.withColumns({
+    return out.withColumns({
         "log_amount": F.log1p("amount"), "gap_days": F.date_diff("event_date", "announce_date"), "event_month": F.month("event_date"),
-        "never_known": F.lit(None).cast("double")}))
+        "never_known": F.lit(None).cast("double")})
 
 
 def _splits(pool):
@@ -205,7 +209,7 @@ def logistic_classifier(spark, sf_dir):
     feats = pool.select("event_key", *DESIGN.numeric, "segment", "is_repeat")
     known = labels.where(F.col("label").isNotNull()).withColumn("label", F.col("label").cast("int"))
     train = materialise(known.where("role = 'train'").join(feats, "event_key"))
-    test = known.where("role = 'test'").join(feats, "event_key")
+    test = labels.where("role = 'test'").withColumn("label", F.col("label").cast("int")).join(feats, "event_key")  # pending events too
     inner = nested.where(F.col("label").isNotNull()).withColumn("label", F.col("label").cast("int")).withColumnRenamed("outer_year", "test_year").join(feats, "event_key")
     inner = materialise(inner)
     tuned = li.coefficients_table(spark, li.fit_logistic(inner.where("role = 'train'"), "test_year", "label", DESIGN, li.LOGISTIC_CS))
@@ -213,19 +217,24 @@ def logistic_classifier(spark, sf_dir):
     fits = li.coefficients_table(spark, li.fit_logistic(train, "test_year", "label", DESIGN, li.LOGISTIC_CS))
     prevalence = train.groupBy(F.col("test_year").alias("fold")).agg(F.avg("label").alias("train_prevalence"))
     out = li.logistic_forecasts(test, fits, chosen, prevalence, "test_year", DESIGN)
-    return out.select("event_key", "test_year", "segment", F.col("label").alias("actual_label"), "predicted_proba", "predicted_label", "train_prevalence", "selected_c")
+    return out.select("event_key", "test_year", "segment", F.col("label").alias("actual_label"), "predicted_proba", "predicted_label", "train_prevalence", "selected_c", "missing_reason")
 
 
 @query("stress_classifier_metrics")
 def stress_classifier_metrics(spark, sf_dir):
-    rows = materialise(logistic_classifier(spark, sf_dir))
+    rows = materialise(logistic_classifier(spark, sf_dir).where("actual_label IS NOT NULL AND predicted_proba IS NOT NULL"))
     stats = me.classifier_metrics(rows, ["test_year"], proba="predicted_proba", label="actual_label", baseline="train_prevalence", decided="predicted_label")
     return stats.join(me.average_precision(rows, ["test_year"], proba="predicted_proba", label="actual_label"), "test_year")
 
 
-def _last_fold(pool):
-    f = bt.folds(pool).where(F.col("test_year") == an.PROVISIONAL_YEAR)
-    return materialise(fo.train_rows(pool, f, P)), fo.test_rows(pool, f, P)
+def _each_fold(pool, forecasts):
+    """`forecasts(train, test)` of every fold, one below the other. There is one fold per year."""
+    f, out = bt.folds(pool), None
+    for (year,) in f.select("test_year").distinct().orderBy("test_year").collect():
+        one = f.where(F.col("test_year") == year)
+        rows = forecasts(materialise(fo.train_rows(pool, one, P)), fo.test_rows(pool, one, P))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 TREE_COLUMNS = ["log_amount", "regime", "gap_days", "event_month", "weekly_share"]
@@ -233,17 +242,21 @@ TREE_COLUMNS = ["log_amount", "regime", "gap_days", "event_month", "weekly_share
 
 @query("boosted_tree_forecasts")
 def boosted_tree_forecasts(spark, sf_dir):
-    """Latest fold; the fit reads every earlier year."""
-    train, test = _last_fold(feature_pool(spark, sf_dir))
-    model = tr.fit_boosted(train, "primary_share", TREE_COLUMNS, "segment", an.SEGMENTS, (20, 2, 0.1))
-    return tr.boosted_forecasts(test, model, TREE_COLUMNS, "segment", an.SEGMENTS, "forecast").select(
-        "event_key", "test_year", F.col("primary_share").alias("actual"), "forecast")
+    """All folds; each fit reads every earlier year."""
+    def fold(train, test):
+        model = tr.fit_boosted(train, "primary_share", TREE_COLUMNS, "segment", an.SEGMENTS, (20, 2, 0.1))
+        return tr.boosted_forecasts(test, model, TREE_COLUMNS, "segment", an.SEGMENTS, "forecast").select(
+            "event_key", "test_year", F.col("primary_share").alias("actual"), "forecast")
+
+    return _each_fold(feature_pool(spark, sf_dir), fold)
 
 
 @query("leaf_quantile_forecasts")
 def leaf_quantile_forecasts(spark, sf_dir):
-    train, test = _last_fold(feature_pool(spark, sf_dir))
-    return tr.leaf_quantiles(train, test, "primary_share", "event_key", TREE_COLUMNS, "segment", an.SEGMENTS, levels=[0.05, 0.5, 0.95], trees=10, depth=3)
+    def fold(train, test):
+        return tr.leaf_quantiles(train, test, "primary_share", "event_key", TREE_COLUMNS, "segment", an.SEGMENTS, levels=tr.LEVELS, trees=10, depth=3)
+
+    return _each_fold(feature_pool(spark, sf_dir), fold)
 
 
 # ---------------------------------------------------------------- evaluation runner
@@ -270,8 +283,8 @@ def metric_bundle(spark, sf_dir):
                        (F.abs(F.col("forecast") - F.col("actual")) * 100).alias("ae"))
     base = ["cutoff_view", "model_id"]
     t = pred.groupingSets([[*base, "y"], [*base, "segment"], [*base, "r"], base], *base, "y", "segment", "r").agg(
-        F.count("*").alias("n"), F.avg("ae").alias("mae"), F.grouping_id().alias("__g"))
-    name = F.when(F.col("y").isNotNull(), "by_year").when(F.col("segment").isNotNull(), "by_segment").when(F.col("r").isNotNull(), "by_repeat").otherwise("pooled")
+        F.count("*").alias("n"), F.avg("ae").alias("mae"), *[F.grouping(c).alias(f"__{c}") for c in ("y", "segment", "r")])
+    name = F.when(F.col("__y") == 0, "by_year").when(F.col("__segment") == 0, "by_segment").when(F.col("__r") == 0, "by_repeat").otherwise("pooled")
     return t.select(name.alias("table_name"), *base, F.coalesce("y", "segment", "r").alias("group_value"), "n", F.round("mae", 6).alias("mae"))
 
 
@@ -288,8 +301,10 @@ def adaptive_stream_query(spark, sf_dir):
     probes = pool.select(F.col("announcement_cutoff").cast("timestamp").alias("at"), F.lit("probe").alias("kind"), *common, F.lit(None).cast("double").alias("value"))
     found = pool.where(F.col("primary_share").isNotNull()).select(
         F.col("result_safe_date").cast("timestamp").alias("at"), F.lit("result").alias("kind"), *common, F.col("primary_share").alias("value"))
-    end = pool.select(F.lit("2010-01-01").cast("timestamp").alias("at"), F.lit("end").alias("kind"), "segment", F.lit(-1).cast("long").alias("event_key"),
-                      F.lit("2010-01-01").cast("timestamp").alias("day"), F.lit(None).cast("double").alias("value")).distinct()
+    # An end mark per segment, later than every row, lets the watermark pass all of them.
+    close = pool.agg((F.greatest(F.max("announcement_cutoff"), F.max("result_safe_date")) + F.expr("INTERVAL 2 DAYS")).cast("timestamp").alias("t")).first()["t"]
+    end = pool.select(F.lit(close).alias("at"), F.lit("end").alias("kind"), "segment", F.lit(-1).cast("long").alias("event_key"),
+                      F.lit(close).alias("day"), F.lit(None).cast("double").alias("value")).distinct()
     feed = materialise(probes.unionByName(found).unionByName(end))
     root = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(feed.schema).parquet(feed.inputFiles()[0].rsplit("/", 1)[0])

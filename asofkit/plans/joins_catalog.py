@@ -9,7 +9,7 @@ from ..operators import asof, calendar as cal, features as fe, gates as ga, qual
 from ..session import materialise
 from ..sources import normalize as no
 from . import analogs as an, matrix as mx
-from .oracle import cte, sql
+from .oracle import cte, sql, weekdays_to
 
 QUERIES = {}
 ORACLES = {}
@@ -47,20 +47,20 @@ def asof_release_join(spark, sf_dir):
                       F.date_diff("announcement_cutoff", "observed").alias("age_days"), "asof_matched", reason.alias("reason_n"))
 
 
-@query("asof_daily_join", sql("evc dy cal", """
+@query("asof_daily_join", sql("evc dy cal", f"""
 , d AS (SELECT dy.*, nbd AS safe_date FROM dy JOIN cal ON day = observed),
 w AS (SELECT observed, max(safe_date) AS safe_date, max(CASE WHEN series = 'A' THEN value END) AS a, max(CASE WHEN series = 'R' THEN value END) AS r FROM d GROUP BY 1),
 u AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY safe_date ORDER BY observed DESC) = 1)
 SELECT event_key, observed, a AS value_A, r AS value_R, CAST(pre_event_cutoff - observed AS INTEGER) AS age_days,
-  CASE WHEN observed IS NOT NULL THEN CAST((SELECT count(*) FROM range(0, 60) q(i) WHERE i < pre_event_cutoff - observed AND isodow(observed + CAST(i AS INTEGER)) < 6) AS INTEGER) END AS age_weekdays
-FROM evc ASOF LEFT JOIN u ON u.safe_date <= pre_event_cutoff WHERE observed IS NULL OR pre_event_cutoff - observed < 60"""))
+  CASE WHEN observed IS NOT NULL THEN CAST(greatest({weekdays_to('pre_event_cutoff')} - {weekdays_to('observed')}, 0) AS INTEGER) END AS age_weekdays
+FROM evc ASOF LEFT JOIN u ON u.safe_date <= pre_event_cutoff """))
 def asof_daily_join(spark, sf_dir):
     wide = no.pivot_first(an.daily_long(spark, sf_dir), index=["observed"], entity="series", entities=an.FLAGS, value="value", prefix="value_")
     daily = cal.with_next_business_day(wide, an.calendar(spark), "observed", "safe_date")
     ev = an.events_with_cutoffs(spark, sf_dir).select("event_key", "pre_event_cutoff")
     out = asof.asof_join(ev, daily, cutoff="pre_event_cutoff", safe="safe_date", tie=["observed"])
     age = F.date_diff("pre_event_cutoff", "observed")
-    return out.where(F.col("observed").isNull() | (age < 60)).select(
+    return out.select(
         "event_key", "observed", "value_A", "value_R", age.alias("age_days"),
         F.when(F.col("asof_matched"), dt.weekday_count("observed", "pre_event_cutoff")).alias("age_weekdays"))
 
@@ -332,7 +332,10 @@ def target_table(spark, sf_dir):
 @query("modelling_frame", sql("mtx outc", """
 SELECT m.event_key, cutoff_view, log_amount, weekly_a, round(primary_share, 9) AS primary_share FROM mtx m JOIN outc o ON o.event_key = m.event_key WHERE results_available"""))
 def modelling_frame(spark, sf_dir):
-    return ga.one_to_one(mx.predictor_matrix(mx.joined(spark, sf_dir)), target_table(spark, sf_dir), key="event_key").select(
+    """Pending events are set apart first; what is left must have the same keys on both sides."""
+    done = an.outcomes(spark, sf_dir).where("results_available").select("event_key")
+    matrix = mx.predictor_matrix(mx.joined(spark, sf_dir)).join(done, "event_key", "left_semi")
+    return ga.one_to_one(matrix, target_table(spark, sf_dir), key="event_key").select(
         "event_key", "cutoff_view", "log_amount", "weekly_a", "primary_share")
 
 
@@ -341,17 +344,27 @@ SELECT cutoff_view, 'weekly' AS source, count(weekly_safe) AS n_matched, count_i
 UNION ALL SELECT cutoff_view, 'macro', count(macro_safe), count_if(macro_safe > cutoff), CAST(max(cutoff - macro_safe) AS INTEGER) FROM mtx GROUP BY 1"""))
 def availability_audit(spark, sf_dir):
     return ga.availability_summary(mx.joined(spark, sf_dir), cutoff="cutoff", by="cutoff_view",
-                                   sources={"weekly": "weekly__safe_date", "macro": "macro__safe_date"}).drop("example_keys")
+                                   sources={"weekly": "weekly__safe_date", "macro": "macro__safe_date"})
+
+
+@query("availability_late_keys", sql("mtx", """
+SELECT cutoff_view, 'weekly' AS source, event_key, CAST(weekly_safe - (cutoff - 9) AS INTEGER) AS days_late FROM mtx WHERE event_key % 97 = 0 AND weekly_safe > cutoff - 9
+UNION ALL SELECT cutoff_view, 'macro', event_key, CAST(macro_safe - (cutoff - 9) AS INTEGER) FROM mtx WHERE event_key % 97 = 0 AND macro_safe > cutoff - 9"""))
+def availability_late_keys(spark, sf_dir):
+    """The same audit on a table spoiled on purpose: every 97th event was joined nine days too late."""
+    spoiled = mx.joined(spark, sf_dir).withColumn("cutoff", F.when(F.expr("event_key % 97 = 0"), F.date_sub("cutoff", 9)).otherwise(F.col("cutoff")))
+    return ga.late_keys(spoiled, cutoff="cutoff", by="cutoff_view", sources={"weekly": "weekly__safe_date", "macro": "macro__safe_date"})
 
 
 @query("cutoff_monotonicity", sql("evc wkrel", """
-SELECT count(*) AS n_events, count_if(p.observed < a.observed) AS n_earlier, count_if(a.observed IS NOT NULL AND p.observed IS NULL) AS n_lost
-FROM evc ASOF LEFT JOIN wkrel a ON a.safe_date <= announcement_cutoff ASOF LEFT JOIN wkrel p ON p.safe_date <= pre_event_cutoff
-WHERE pre_event_cutoff >= announcement_cutoff"""))
+SELECT count(*) AS n_events, count_if(pre_event_cutoff < announcement_cutoff) AS n_cutoffs_reversed,
+  count_if(pre_event_cutoff >= announcement_cutoff AND p.observed < a.observed) AS n_earlier,
+  count_if(pre_event_cutoff >= announcement_cutoff AND a.observed IS NOT NULL AND p.observed IS NULL) AS n_lost
+FROM evc ASOF LEFT JOIN wkrel a ON a.safe_date <= announcement_cutoff ASOF LEFT JOIN wkrel p ON p.safe_date <= pre_event_cutoff"""))
 def cutoff_monotonicity(spark, sf_dir):
-    ev = an.events_with_cutoffs(spark, sf_dir).where("pre_event_cutoff >= announcement_cutoff").select("event_key", *CUTOFFS.values())
+    ev = an.events_with_cutoffs(spark, sf_dir).select("event_key", *CUTOFFS.values())
     t = asof.asof_join_cutoffs(ev, mx.weekly(spark, sf_dir), cutoffs=CUTOFFS, safe="safe_date", tie=["observed"], values=["observed"])
-    return ga.monotonicity(t, earlier="announcement__observed", later="pre_event__observed")
+    return ga.monotonicity(t, cutoffs=CUTOFFS.values(), earlier="announcement__observed", later="pre_event__observed")
 
 
 @query("key_set_audit", sql("mtx outc", """

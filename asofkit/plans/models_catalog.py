@@ -285,7 +285,7 @@ SELECT CAST(percentile AS DOUBLE) AS percentile, round(threshold, 7) AS threshol
   round(count_if(x >= threshold) / count(*), 7) AS fraction_flagged FROM t, s GROUP BY 1, 2"""))
 def percentile_thresholds(spark, sf_dir):
     pool = bt.regime_pool(spark, sf_dir)
-    out = su.walk_forward_surprise(pool, bt.folds(pool), P, "regime")
+    out = materialise(su.walk_forward_surprise(pool, bt.folds(pool), P, "regime").select("surprise"))
     return rounded(la.percentile_thresholds(out, value="surprise"), 7)
 
 

@@ -31,6 +31,12 @@ def sql(reads: str, body: str) -> str:
     return f"WITH {head}{joint}{body}"
 
 
+def weekdays_to(day: str) -> str:
+    """Weekdays from Monday 1900-01-01 up to a day, that day left out; differences count any span."""
+    n = f"({day} - DATE '1900-01-01')"
+    return f"({n} // 7 * 5 + least({n} % 7, 5))"
+
+
 cte("yrs", "", "SELECT CAST(range AS BIGINT) AS y FROM range(1989, 2006)")
 cte("hol", "yrs", """
 SELECT CASE isodow(f) WHEN 6 THEN f - 1 WHEN 7 THEN f + 1 ELSE f END AS h

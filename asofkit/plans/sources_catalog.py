@@ -328,14 +328,15 @@ def contracts_to_wide(spark, sf_dir):
 
 def vintage_matrix(spark, sf_dir):
     v = an.vintages_long(spark, sf_dir)
-    labels = [f"GDP{y % 100:02d}M{m}" for y in range(1995, 2002) for m in range(1, 13)]
+    first, last = v.agg(F.min(F.year("vintage")), F.max(F.year("vintage"))).first()  # one column per month of the data's years
+    labels = [f"GDP{y % 100:02d}M{m}" for y in range(first, last + 1) for m in range(1, 13)] if first else []
     wide = v.withColumn("label", F.concat(F.lit("GDP"), F.date_format("vintage", "yy"), F.lit("M"), F.month("vintage")))
     return wide.groupBy(F.date_format("observed", "yyyy:MM").alias("DATE")).pivot("label", labels).agg(
         F.first("value")).withColumn("XYZ95M1", F.lit(0.0))
 
 
 @query("vintage_matrix_melt", sql("vint cal", """
-, vv AS (SELECT DISTINCT CAST(make_date(y, m, 1) AS DATE) AS vintage FROM (SELECT range AS y FROM range(1995, 2002)) a, (SELECT range AS m FROM range(1, 13)) b),
+, vv AS (SELECT DISTINCT CAST(make_date(y, m, 1) AS DATE) AS vintage FROM (SELECT unnest(range(min(year(vintage)), max(year(vintage)) + 1)) AS y FROM vint) a, (SELECT range AS m FROM range(1, 13)) b),
 g AS (SELECT * FROM (SELECT DISTINCT observed FROM vint) o CROSS JOIN vv LEFT JOIN vint USING (observed, vintage)),
 n AS (SELECT vintage, least(vintage + 24, last_day(vintage)) AS nominal FROM vv)
 SELECT 'GDP' AS variable, strftime(observed, '%Y:%m') AS observation_period, observed, strftime(vintage, '%y') || 'M' || month(vintage) AS vintage_label,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on. Partition counts are left to the caller and to AQE:
 # a cluster sets spark.sql.shuffle.partitions high and lets AQE coalesce.
@@ -19,6 +21,10 @@ SETTINGS = {
 }
 
 
+_FOLDERS: list[tempfile.TemporaryDirectory] = []
+_STAGED: dict[tuple, DataFrame] = {}
+
+
 def build_session(master: str | None = None, app: str = "asofkit", **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -33,15 +39,28 @@ def build_session(master: str | None = None, app: str = "asofkit", **extra: str)
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for staged tables and checkpoints.
 
-    The cluster names it in spark.checkpoint.dir. Only when that is unset (tests, one
-    machine) is a temporary folder made, and it is remembered for the session.
+    The cluster names it in spark.checkpoint.dir. Only in local mode (tests, one machine) may
+    that be unset: a temporary folder then serves the session and goes with this process. On a
+    cluster every executor would write to a disk of its own, so there it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    made = tempfile.mkdtemp(prefix="asofkit-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
+    made = tempfile.TemporaryDirectory(prefix="asofkit-", ignore_cleanup_errors=True)
+    _FOLDERS.append(made)
+    spark.conf.set("spark.checkpoint.dir", made.name)
+    return made.name
+
+
+def staged(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """`build()` written once per session and source folder; later calls read the same table."""
+    key = (spark.sparkContext.applicationId, scratch_dir(spark), name, source)
+    if key not in _STAGED:
+        _STAGED[key] = materialise(build())
+    return _STAGED[key]
 
 
 def materialise(df):
