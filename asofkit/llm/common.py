@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialise, scratch_dir
 
-__all__ = ["materialise", "table", "slices", "bytes_of", "word_bounds", "hash_words", "mix", "ngram_hash", "SPACE", "fresh_path",
+__all__ = ["materialise", "in_few_files", "table", "slices", "bytes_of", "word_bounds", "hash_words", "mix", "ngram_hash", "SPACE", "fresh_path",
            "ascii_lower", "row_key"]
 
 SLICE_BYTES = 2 << 20
@@ -30,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_few_files(df: DataFrame, rows: int, per_file: int = 50_000) -> DataFrame:
+    """A written table of about `rows` rows, in as many files as they fill; for small tables of iterative work."""
+    return materialise(df.coalesce(rows // per_file + 1))
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A new folder below the shared folder of the cluster."""
     return f"{scratch_dir(spark)}/{what}/{uuid.uuid4().hex}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise
+from .common import in_few_files
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -18,16 +18,17 @@ def components(links: DataFrame) -> DataFrame:
     smaller neighbours there; when nothing changes, each edge leads to its component. Rounds grow as the logarithm of the
     longest chain. The least neighbours are read back from storage, so AQE can split a hub in the join. No links: no rows.
     """
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    size = links.count()
+    edges = in_few_files(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), size)
     seen = _mark(edges)
     while seen[0]:
         both = edges.union(edges.select("v", "u"))
-        least = materialise(both.groupBy(F.col("u").alias("w")).agg(F.least("w", F.min("v")).alias("m")))
+        least = in_few_files(both.groupBy(F.col("u").alias("w")).agg(F.least("w", F.min("v")).alias("m")), size)
         large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(large.where("u <> v").distinct())
-        least = materialise(edges.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")))
+        edges = in_few_files(large.where("u <> v").distinct(), size)
+        least = in_few_files(edges.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), size)
         small = edges.join(least, F.col("u") == F.col("w"))
-        edges = materialise(small.select("v", "m").union(small.select("u", "m")).toDF("u", "v").where("u <> v").distinct())
+        edges = in_few_files(small.select("v", "m").union(small.select("u", "m")).toDF("u", "v").where("u <> v").distinct(), size)
         now = _mark(edges)
         if now == seen:
             break

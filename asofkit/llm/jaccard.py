@@ -163,16 +163,19 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     open_pair = _may_link(F.col("n_x"), F.col("n_y"), F.col("parity_x"), F.col("parity_y"))
     as_pair = (F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
-    # First one pair per block: enough to join most near copies.
-    tried = met.select(F.col("lo").alias("class_x"), F.col("hi").alias("class_y")).distinct().join(side("x"), "class_x").join(side("y"), "class_y")
-    tried = materialise(tried.where(open_pair).select(*as_pair))
+    # First every class of a block against two of them, the least and the largest: enough to join most near copies.
+    member = materialise(filled.join(met, "block").select("block", "class", "lo", "hi").distinct())
+    spokes = F.explode(F.array(*[F.struct(F.least("class", c).alias("class_x"), F.greatest("class", c).alias("class_y")) for c in ("lo", "hi")]))
+    tried = member.select(spokes.alias("p")).select("p.*").where("class_x <> class_y").distinct()
+    tried = materialise(tried.join(side("x"), "class_x").join(side("y"), "class_y").where(open_pair).select(*as_pair))
     links = _linked(docs, tried)
     known = components(links)
     # Then all pairs of classes that share a block, are in different components and within the bounds: no link is missed.
-    member = filled.join(met.select("block"), "block").distinct().join(names, "class").withColumnRenamed("rep", "id").join(known, "id", "left")
-    member = materialise(member.select("block", "id", "n", "parity", F.coalesce("component", "id").alias("component")))
-    mixed = materialise(member.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("block"))
-    spread = member.join(mixed, "block")
+    homes = materialise(names.join(known, F.col("rep") == F.col("id"), "left").select(
+        "class", F.col("rep").alias("id"), "n", "parity", F.coalesce("component", "rep").alias("component")))
+    placed = member.join(homes.select("class", "component"), "class").select("block", "class", "component")
+    mixed = materialise(placed.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("block"))
+    spread = materialise(member.join(mixed, "block").select("block", "class").join(homes, "class"))
     x, y = (spread.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "parity", "component")]) for s in "xy")
     pairs = materialise(x.join(y, "block").where((F.col("component_x") < F.col("component_y")) & open_pair).select(*as_pair).distinct())
     more = _linked(docs, pairs.join(tried, ["a", "b"], "left_anti"))
