@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialise, scratch_dir
 
-__all__ = ["materialise", "in_few_files", "table", "slices", "bytes_of", "word_bounds", "hash_words", "mix", "ngram_hash", "SPACE", "fresh_path",
+__all__ = ["materialise", "in_few_files", "broadcast_if_small", "table", "slices", "bytes_of", "word_bounds", "hash_words", "mix", "ngram_hash", "SPACE", "fresh_path",
            "ascii_lower", "row_key"]
 
 SLICE_BYTES = 2 << 20
+MAX_BROADCAST_ROWS = 1 << 21  # 32 MB as two longs a row
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Byte classes: True marks a separator.
@@ -35,6 +36,11 @@ def in_few_files(df: DataFrame, rows: int, per_file: int = 50_000) -> DataFrame:
     return materialise(df.coalesce(rows // per_file + 1))
 
 
+def broadcast_if_small(rows: DataFrame) -> DataFrame:
+    """A written table of a few numbers per row, with a broadcast hint while its counted rows stay below MAX_BROADCAST_ROWS."""
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST_ROWS else rows
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A new folder below the shared folder of the cluster."""
     return f"{scratch_dir(spark)}/{what}/{uuid.uuid4().hex}"

@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, materialise, row_key
+from .common import ascii_lower, broadcast_if_small, materialise, row_key
 
 BITS_PER_ROW = 16
 MAX_FILTER_WORDS = 1 << 22  # most filter words ever broadcast: 64 MB as (word, mask) rows
@@ -76,8 +76,10 @@ def first_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
     Dropped ids are few against the rows, and only they are joined. Rows that repeat an id with the same text collapse too.
     """
-    groups = exact_groups(docs, text, key)
-    gone = groups.where(~F.col("kept")).select(F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("__gone"), F.col("text_sha256").alias("__sha")).distinct()
+    groups = materialise(exact_groups(docs, text, key))
+    named = F.xxhash64(F.col("text_sha256"))
+    gone = broadcast_if_small(materialise(groups.where(~F.col("kept")).select(row_key().alias("__gone"), named.alias("__name")).distinct()))
     twice = groups.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty()
-    out = docs.join(gone, (row_key(key) == F.col("__gone")) & (F.sha2(normalised(text).cast("binary"), 256) == F.col("__sha")), "left_anti")
+    own = F.xxhash64(F.sha2(normalised(text).cast("binary"), 256))
+    out = docs.join(gone, (row_key(key) == F.col("__gone")) & (own == F.col("__name")), "left_anti")
     return out if twice else out.dropDuplicates([key, text])

@@ -17,13 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, bytes_of, hash_words, materialise, mix, ngram_hash, row_key, slices, word_bounds
+from .common import SPACE, broadcast_if_small, bytes_of, hash_words, materialise, mix, ngram_hash, row_key, slices, word_bounds
 from .components import components
 
 SHINGLE = 3
 SHARE = 90           # links: 100 * intersection >= SHARE * union
 PARITY_BITS = 1024
-MAX_WANTED = 1 << 21  # ids of texts to fetch are broadcast up to this many (16 MB), joined beyond
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -132,8 +131,7 @@ def _may_link(n_a: Column, n_b: Column, parity_a: Column, parity_b: Column) -> C
 def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids whose whole texts link, by their exact overlap count."""
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct())
-    few = wanted.count() <= MAX_WANTED
-    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("w"), "left_semi").dropDuplicates(["id"])
+    texts = docs.join(broadcast_if_small(wanted), F.col("id") == F.col("w"), "left_semi").dropDuplicates(["id"])
     texts = materialise(texts)
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     rows = rows.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from asofkit.llm.common import materialise, row_key, table
+from asofkit.llm.common import broadcast_if_small, materialise, row_key, table
 from asofkit.llm.decontaminate import contamination, with_verdict
 from asofkit.llm.exact_dedup import first_rows
 from asofkit.llm.jaccard import similar_groups
@@ -21,8 +21,8 @@ ORACLE_SQL = None  # a trained classifier and a tokenizer have no SQL; tests hol
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """`docs` less the rows with one of the ids; NULL ids match NULL."""
-    gone = ids.select(row_key().alias("__gone")).distinct()
-    return docs.join(materialise(gone), row_key() == F.col("__gone"), "left_anti")
+    gone = materialise(ids.select(row_key().alias("__gone")).distinct())
+    return docs.join(broadcast_if_small(gone), row_key() == F.col("__gone"), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
