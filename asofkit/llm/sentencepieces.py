@@ -28,6 +28,7 @@ MARK = "▁"          # fixed value: stands for a blank
 GIANT_CHARS = 1 << 15    # texts beyond this are cut into chunks
 CHUNK_CHARS = 1 << 13
 MEMO_WORDS = 1_000_000   # words whose pieces a worker remembers (some 40 MB); emptied when full
+SLICE_BYTES = 8 << 20    # text encoded at once: few, large lookups
 UNIT = 1024              # scores are held as whole numbers of this part, so that sums do not depend on their order
 UNKNOWN_PENALTY = 10.0   # fixed value: an unknown character scores this less than the worst piece
 NEVER = -(1 << 60)
@@ -196,11 +197,12 @@ class WordMemo:
         words = pc.dictionary_encode(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
         if len(self.words) > MEMO_WORDS:
             self._forget()
-        known = pc.index_in(words.dictionary, value_set=self.words)
-        if known.null_count:
-            self._learn(words.dictionary.filter(pc.is_null(known)))
-            known = pc.index_in(words.dictionary, value_set=self.words)
-        code = known.to_numpy()[words.indices.to_numpy()]
+        found = pc.index_in(words.dictionary, value_set=self.words)
+        known = found.fill_null(-1).to_numpy().astype(np.int64)
+        if found.null_count:
+            known[known < 0] = len(self.words) + np.arange(found.null_count)
+            self._learn(words.dictionary.filter(pc.is_null(found)))
+        code = known[words.indices.to_numpy()]
         count = np.diff(self.ends)[code]
         ends = np.cumsum(count)
         place = np.arange(int(ends[-1])) - np.repeat(ends - count - self.ends[code], count)
@@ -367,7 +369,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = memo_at(path)
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE_BYTES):
             flat, ends = memo([blank_bytes(t) for t in part.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["id", "ids"])
 

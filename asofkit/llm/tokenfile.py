@@ -28,6 +28,7 @@ MAGIC = b"TKB1"
 BLOCK_TOKENS = 4096
 SHARD_TOKENS = 1 << 21   # a shard is closed when it has so many
 MEMO_WORDS = 1_000_000   # words whose ids a worker remembers (some 40 MB); emptied when full
+SLICE_BYTES = 8 << 20     # text encoded at once: few, large lookups
 LEARN_WORDS = 20_000     # new words that go to the tokenizer at once
 _HEAD = struct.Struct("<4sqqqqq")
 
@@ -101,7 +102,8 @@ class WordEncoder:
     def _forget(self) -> None:
         self.words, self.flat, self.ends = pa.array([], pa.string()), np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, words: pa.Array) -> None:
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Encodes new words and returns their places in the memo."""
         odd = np.zeros(len(words), bool)  # words with an added token inside go alone
         for token in self.special:
             odd |= pc.match_substring(words, token).to_numpy(zero_copy_only=False)
@@ -118,8 +120,12 @@ class WordEncoder:
         for word in own.to_pylist():
             flats.append(np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32))
             sizes.append(np.array([len(flats[-1])]))
+        order = np.argsort(odd, kind="stable")
+        places = np.empty(len(words), np.int64)
+        places[order] = len(self.words) + np.arange(len(words))
         self.words = pa.concat_arrays([self.words, plain, own])
         self.flat, self.ends = np.concatenate(flats), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        return places
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, ids per text)."""
@@ -127,11 +133,11 @@ class WordEncoder:
         parts = pc.dictionary_encode(words.flatten())
         if len(self.words) > MEMO_WORDS:
             self._forget()
-        known = pc.index_in(parts.dictionary, value_set=self.words)
-        if known.null_count:
-            self._learn(parts.dictionary.filter(pc.is_null(known)))
-            known = pc.index_in(parts.dictionary, value_set=self.words)
-        code = known.to_numpy()[parts.indices.to_numpy()]
+        found = pc.index_in(parts.dictionary, value_set=self.words)
+        known = found.fill_null(-1).to_numpy().astype(np.int64)
+        if found.null_count:
+            known[known < 0] = self._learn(parts.dictionary.filter(pc.is_null(found)))
+        code = known[parts.indices.to_numpy()]
         count = np.diff(self.ends)[code]
         ends = np.cumsum(count)
         place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - count - self.ends[code], count)
@@ -168,7 +174,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabu
                 [pa.array([part]), pa.array([seq]), pa.array([docs_[0]]), pa.array([len(ids)]), pa.array([write_shard(docs_, sizes, ids, bits)], pa.binary())],
                 ["part", "seq", "first_id", "tokens", "shard"])
 
-        for piece in slices(batches):
+        for piece in slices(batches, limit=SLICE_BYTES):
             ids, sizes = encoder.encode(piece.column("text"))
             out = np.insert(ids, np.cumsum(sizes), end_id)  # after the last id of each text
             held.append((piece.column("id").to_numpy(), sizes + 1, out))
