@@ -84,8 +84,11 @@ def baseline_forecasts(df: DataFrame, folds: DataFrame, p: Pool, *, cutoffs: dic
     adaptive forecast per cutoff view (`{view}__adaptive`).
 
     The adaptive candidate pool is every row; each row takes the latest n results safe at its
-    own cutoff, and falls back to its fold's training mean.
+    own cutoff, and falls back to its fold's training mean. A repeated key raises: its forecasts
+    could not be told apart.
     """
+    if not df.groupBy(p.key).count().where("count > 1").isEmpty():
+        raise ValueError(f"{p.key} is not unique")
     adaptive = safe_trailing_means(df, by=[p.segment], value=p.value, key=p.key, cutoffs=cutoffs, safe=p.safe, on=p.on, n=n)
     rows = mean_forecasts(adaptive, folds, p)
     rows = rows.join(recent_means(df, folds, p, n), ["test_year", p.segment], "left")

@@ -50,8 +50,10 @@ def scan_text(df: DataFrame, *, key: str, text: str) -> DataFrame:
         # a leading run of word characters does not decide whether there is a match
         anywhere = anywhere | (cheap & F.col(text).rlike(_UNICODE + p.replace(r"(?i)\w*", "(?i)")))
     lines = df.withColumn("__lower", F.lower(text)).where(anywhere).select(key, F.posexplode(F.split(text, _LINE_BREAK)).alias("__at", "__line"))
+    # A leading run of word characters starts where a word starts: looking there only gives the same first match in linear time.
     hits = F.array(*[
-        F.struct(F.lit(c).alias("category"), F.regexp_extract("__line", _UNICODE + p, 0).alias("__match")) for c, p in patterns.items()])
+        F.struct(F.lit(c).alias("category"), F.regexp_extract("__line", _UNICODE + p.replace(r"(?i)\w*", r"(?i)(?<!\w)\w*"), 0).alias("__match"))
+        for c, p in patterns.items()])
     found = lines.select(key, (F.col("__at") + 1).alias("line_no"), F.inline(hits)).where(F.col("__match") != "")
     name = F.substring_index("category", ":", -1)
     severity = F.when(F.col("category").startswith("secret:") | name.isin(*BLOCKING), "hard_block").when(
