@@ -549,7 +549,12 @@ def annual_mae_chart(spark, sf_dir):
     return rounded(t)
 
 
-@query("dashboard_documents")
+@query("dashboard_documents", sql("prd", f"""
+SELECT cutoff_view, model_id, '{{"records":[' || string_agg('{{"test_year":' || test_year || ',"n":' || n || ',"mae_model_millionths":' || CAST(round(mae_model * 1000000) AS BIGINT)
+  || ',"mae_benchmark_millionths":' || CAST(round(mae_benchmark * 1000000) AS BIGINT) || '}}', ',' ORDER BY test_year) || ']}}' AS document
+FROM (SELECT cutoff_view, model_id, test_year, {_PAIR} FROM prd WHERE NOT is_provisional GROUP BY 1, 2, 3) GROUP BY 1, 2"""))
 def dashboard_documents(spark, sf_dir):
+    """Whole millionths, so that the text does not depend on how an engine prints a double."""
     t = rounded(me.paired_comparison(_paired(spark, sf_dir).where("NOT is_provisional"), ["cutoff_view", "model_id", "test_year"]))
-    return nested_records(t, by=["cutoff_view", "model_id"], records=["test_year", "n", "mae_model", "mae_benchmark"], order=["test_year"])
+    t = t.withColumns({f"{c}_millionths": F.round(F.col(c) * 1_000_000).cast("long") for c in ("mae_model", "mae_benchmark")})
+    return nested_records(t, by=["cutoff_view", "model_id"], records=["test_year", "n", "mae_model_millionths", "mae_benchmark_millionths"], order=["test_year"])
