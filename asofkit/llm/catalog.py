@@ -101,7 +101,8 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    back = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
+    # Written in between, so that one Python worker a core encodes and then decodes.
+    back = decode_documents(materialise(encode_documents(table(spark, sf_dir, "documents"), path)), path)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"), "ids")
 
 

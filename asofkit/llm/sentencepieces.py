@@ -27,8 +27,8 @@ from .common import materialise, row_key, slices
 MARK = "▁"          # fixed value: stands for a blank
 GIANT_CHARS = 1 << 15    # texts beyond this are cut into chunks
 CHUNK_CHARS = 1 << 13
-MEMO_WORDS = 1_000_000   # words whose pieces a worker remembers (some 40 MB); emptied when full
-SLICE_BYTES = 8 << 20    # text encoded at once: few, large lookups
+MEMO_WORDS = 500_000     # words whose pieces a worker remembers (some 20 MB); emptied when full
+SLICE_BYTES = 4 << 20    # text encoded at once: few, large lookups
 UNIT = 1024              # scores are held as whole numbers of this part, so that sums do not depend on their order
 UNKNOWN_PENALTY = 10.0   # fixed value: an unknown character scores this less than the worst piece
 NEVER = -(1 << 60)

@@ -49,7 +49,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return decode_documents(encode_documents(docs, path), path)
+    return decode_documents(materialise(encode_documents(docs, path)), path)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", decontaminated), ("sentencepiece", encoded)]
