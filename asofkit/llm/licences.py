@@ -1,6 +1,7 @@
 """Operator 3: licence scan by a trained paragraph classifier, DataFrame functions and Spark ML only.
 
-A text is cut into lines and sentences ("paragraphs" below). A multinomial logistic regression over hashed word uni- and
+A text is cut into lines and sentences ("paragraphs" below). Those with a word stem that licence notices use are candidates;
+each template holds one, and a paragraph without any counts as prose. A multinomial logistic regression over hashed word uni- and
 bigrams tells the licence families and ordinary prose apart. It is trained on fixed notice templates, whole, clipped and
 mixed into prose, against the prose of at most NEGATIVE_DOCS documents. Its probabilities are calibrated by a temperature
 chosen on held-out training rows. A paragraph that is no prose but has no family of at least LEAST_PROBABILITY is
@@ -36,6 +37,9 @@ TEMPLATES = {
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "proprietary": ["All rights reserved.", "Proprietary and confidential.", "Unauthorized copying of this file, via any medium, is strictly prohibited."],
 }
+# Stems of licence notices, in lower case.
+STEMS = ("licen", "copyright", "rights reserved", "permission", "permitted", "redistribut", "spdx", "proprietary", "confidential",
+         "unauthorized", "general public", "creative commons")
 FAMILIES = sorted(TEMPLATES)
 PROSE = len(FAMILIES)          # class number of ordinary text
 NEGATIVE_DOCS = 200            # bound of the training sample: documents whose prose is the other class
@@ -50,6 +54,13 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, r"\n+|(?<=[.;!?])[ \t\r]+"), lambda p: F.length(p) > 0)
 
 
+def has_stem(text: Column) -> Column:
+    lower, found = F.lower(text), F.lit(False)
+    for stem in STEMS:
+        found = found | F.contains(lower, F.lit(stem))
+    return found
+
+
 def words_of(paragraph: Column) -> Column:
     """Words and numbers; dots and dashes inside them stay, as in 2.0 or BY-NC."""
     return F.filter(F.split(F.lower(paragraph), r"[^\p{L}\p{N}.-]+|\.+$|\.+(?=[^\p{L}\p{N}])"), lambda w: F.length(w) > 0)
@@ -123,7 +134,8 @@ def licence_findings(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     `family` is `unknown` where no family is likely enough or the templates do not confirm it.
     """
     model, temperature = train(docs, text, key)
-    rows = docs.select(row_key(key).alias("id"), F.posexplode(paragraphs(F.col(text))).alias("place", "paragraph"))
+    rows = docs.where(has_stem(F.col(text))).select(row_key(key).alias("id"), F.posexplode(paragraphs(F.col(text))).alias("place", "paragraph"))
+    rows = rows.where(has_stem(F.col("paragraph")))
     scored = model.transform(_featured(rows)).where(F.col("prediction") != PROSE)
     chance = _softmax(vector_to_array("rawPrediction"), temperature)
     named = scored.select("id", "place", "paragraph", "pairs", F.col("prediction").cast("int").alias("guess"), F.array_max(chance).alias("probability"))

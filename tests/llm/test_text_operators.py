@@ -386,6 +386,11 @@ def test_max_plus_chunks_give_the_whole_text_path():
             assert ids == whole and score == best_path(model, text)
 
 
+def test_every_template_is_a_candidate():
+    from asofkit.llm.licences import STEMS, TEMPLATES
+    assert all(any(s in t.lower() for s in STEMS) for ts in TEMPLATES.values() for t in ts)
+
+
 def test_licences(spark, docs, no_docs):
     plain = [(k, " ".join(prose(k, 60)) + ".\n" + " ".join(prose(k + 500, 30)) + ".") for k in range(40)]
     notes = [(100, plain[0][1] + "\nReleased under the MIT License."), (101, "Licensed under the Apache License, Version 2.0. " + plain[1][1]),
