@@ -1,9 +1,10 @@
 """Operator 9: n-gram Jaccard join as a blocked sparse matrix product.
 
 The document by n-gram incidence matrix is never multiplied out. Its columns (n-gram hashes) are cut into blocks whose number
-follows from the size of a document: sets of a and b n-grams that link differ in at most (a + b) / 19 columns, so with one
-block more than that, at least one block of both rows is identical. Rows with no identical block are below that bound and
-are discarded together. Blocks are compared by a hash of their content. Pairs of classes that meet in a block face a second
+follows from the size of a document: sets of a and b n-grams that link with a share of s in a hundred differ in at most
+(a + b) (100 - s) / (100 + s) columns, so with one block more than that, at least one block of both rows is identical. Rows
+with no identical block are below that bound and are discarded together. A row leaves out its lightest blocks, empty ones
+first, while they are fewer than the identical blocks that any link of it has. Blocks are compared by a hash of their content. Pairs of classes that meet in a block face a second
 bound of the same kind: each row also keeps the parity of its n-gram count in 1,024 buckets, and two rows differ in at least
 as many n-grams as buckets of unlike parity. Overlap counts are accumulated for the pairs that are left. Classes already
 joined by a link are not compared again.
@@ -11,7 +12,7 @@ joined by a link are not compared again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import SPACE, broadcast_if_small, bytes_of, hash_words, materialise, mix, ngram_hash, row_key, slices, word_bounds
 from .components import components
 
-SHINGLE = 3
-SHARE = 90           # links: 100 * intersection >= SHARE * union
+SHINGLE = 3          # the contract of op9; other callers give their own
+SHARE = 90           # links: 100 * intersection >= share * union
 PARITY_BITS = 1024
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -38,12 +39,12 @@ def _bounds(share: int) -> np.ndarray:
 BOUNDS = _bounds(SHARE)
 
 
-def blocks_of(group: np.ndarray) -> np.ndarray:
+def blocks_of(group: np.ndarray, share: int = SHARE, bounds: np.ndarray = BOUNDS) -> np.ndarray:
     """Blocks for sets of the size groups `group` and the next: one more than the columns in which a linked pair may differ."""
-    return 2 * (BOUNDS[group + 2] - 1) * (100 - SHARE) // (100 + SHARE) + 1
+    return 2 * (bounds[group + 2] - 1) * (100 - share) // (100 + share) + 1
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, int]:
     """(text, hash) of the distinct shingles of every text, by text, then hash; and the number of texts.
 
     A text of fewer words than a shingle has its whole sequence as one; a text without words has none.
@@ -54,14 +55,15 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     words, first = hash_words(data, starts, ends), np.searchsorted(starts, at)
     size = np.diff(first)
     left = np.repeat(first[1:], size) - np.arange(len(words))
-    full = np.flatnonzero(left >= SHINGLE)
+    full = np.flatnonzero(left >= shingle)
     owner = np.repeat(np.arange(len(size)), size)
-    h, o = ngram_hash(words, SHINGLE)[full] if len(full) else np.empty(0, np.uint64), owner[full]
-    short = np.flatnonzero((size > 0) & (size < SHINGLE))
+    h, o = ngram_hash(words, shingle)[full] if len(full) else np.empty(0, np.uint64), owner[full]
+    short = np.flatnonzero((size > 0) & (size < shingle))
     if len(short):
         whole = words[first[short]].copy()
-        two = size[short] == 2
-        whole[two] = mix(whole[two] + mix(words[first[short[two]] + 1] + np.uint64(2)))
+        for k in range(1, shingle - 1):
+            more = size[short] > k
+            whole[more] = mix(whole[more] + mix(words[first[short[more]] + k] + np.uint64(k + 1)))
         h, o = np.concatenate([h, mix(whole + size[short].astype(np.uint64))]), np.concatenate([o, short])
     order = np.lexsort((h, o))
     h, o = h[order], o[order]
@@ -70,9 +72,15 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return o[fresh], h[fresh], len(size)
 
 
-def _block_names(o: np.ndarray, h: np.ndarray, n: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(block names, how many per text) for the matrix of size group `group` per text; texts with a negative group have none."""
-    k = np.where(group >= 0, blocks_of(np.maximum(group, 0)), 0)
+def _block_names(o: np.ndarray, h: np.ndarray, n: np.ndarray, group: np.ndarray, most: np.ndarray, share: int,
+                 bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(block names, how many per text) for the matrix of size group `group` per text; texts with a negative group have none.
+
+    `most` is the largest size of a set that a text has to meet here. At least `sure` of its blocks equal those of any link. With L
+    the largest number so that fewer than `sure` blocks have up to L columns, those are left out. A linked pair still meets: by
+    the text with the larger L, one of the equal blocks has more columns than that, and both texts name it.
+    """
+    k = np.where(group >= 0, blocks_of(np.maximum(group, 0), share, bounds), 0)
     base = np.cumsum(k) - k
     use = group[o] >= 0
     o, h = o[use], h[use]
@@ -81,73 +89,94 @@ def _block_names(o: np.ndarray, h: np.ndarray, n: np.ndarray, group: np.ndarray)
     if len(place):
         at = np.flatnonzero(np.diff(place, prepend=-1))
         names[place[at]] = np.add.reduceat(mix(h + np.uint64(77)), at)
-    number = np.arange(len(names)) - np.repeat(base, k)
-    return mix(names ^ mix(number.astype(np.uint64) + (np.repeat(group, k).astype(np.uint64) << np.uint64(40)))), k
-
-
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches):
-        o, h, rows = shingle_sets(part.column("text"))
-        n = np.bincount(o, minlength=rows)
-        sums = []
-        for salt in (np.uint64(1), np.uint64(2)):
-            total = np.zeros(rows, np.uint64)
-            at = np.flatnonzero(np.diff(o, prepend=-1))
-            if len(o):
-                total[o[at]] = np.add.reduceat(mix(h ^ mix(np.array([salt]))[0]), at)
-            sums.append(pa.array(mix(total + n.astype(np.uint64)).view(np.int64)))
-        odd = (np.bincount(o * PARITY_BITS + (h & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=rows * PARITY_BITS) & 1).astype(np.uint8)
-        lanes = PARITY_BITS // 64
-        parity = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * lanes), pa.array(np.packbits(odd).view(np.int64)))
-        group = np.where(n > 0, np.searchsorted(BOUNDS, n, side="right") - 1, -1)
-        (own, k_own), (below, k_below) = _block_names(o, h, n, group), _block_names(o, h, n, np.where(group > 0, group - 1, -1))
-        owner = np.concatenate([np.repeat(np.arange(rows), k_own), np.repeat(np.arange(rows), k_below)])
-        values = np.concatenate([own, below])[np.argsort(owner, kind="stable")]
-        ends = np.concatenate([[0], np.cumsum(k_own + k_below)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), *sums, parity, pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))],
-                                         ["id", "n", "d1", "d2", "parity", "blocks"])
-
-
-def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text_a"):
-        for piece in slices(iter([part]), "text_b"):
-            oa, ha, rows = shingle_sets(piece.column("text_a"))
-            ob, hb, _ = shingle_sets(piece.column("text_b"))
-            tag = lambda o, h: mix(h ^ mix(o.astype(np.uint64) + np.uint64(5)))
-            both = np.bincount(oa[np.isin(tag(oa, ha), tag(ob, hb))], minlength=rows)
-            union = np.bincount(oa, minlength=rows) + np.bincount(ob, minlength=rows) - both
-            yield piece.select(["a", "b"]).filter(pa.array(100 * both >= SHARE * union))
-
-
-def _may_link(n_a: Column, n_b: Column, parity_a: Column, parity_b: Column) -> Column:
+    owner = np.repeat(np.arange(len(k)), k)
+    number = np.arange(len(names)) - base[owner]
+    names = mix(names ^ mix(number.astype(np.uint64) + (group[owner].astype(np.uint64) << np.uint64(40))))
+    weight, sure = np.bincount(place, minlength=len(names)), k - (n + most) * (100 - share) // (100 + share)
+    order = np.lexsort((weight, owner))  # by text, lightest first
+    # The block with the number `sure` - 1 of this order is the first that stays, with all of its weight.
+    least = np.zeros(len(k), np.int64)
+    some = k > 0
+    least[some] = weight[order[(base + np.clip(sure, 1, np.maximum(k, 1)) - 1)[some]]]
+    stays = weight >= least[owner]
+    return names[stays], np.bincount(owner[stays], minlength=len(k))
+
+
+def _sketch(shingle: int, share: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    bounds = _bounds(share)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            o, h, rows = shingle_sets(part.column("text"), shingle)
+            n = np.bincount(o, minlength=rows)
+            sums = []
+            for salt in (np.uint64(1), np.uint64(2)):
+                total = np.zeros(rows, np.uint64)
+                at = np.flatnonzero(np.diff(o, prepend=-1))
+                if len(o):
+                    total[o[at]] = np.add.reduceat(mix(h ^ mix(np.array([salt]))[0]), at)
+                sums.append(pa.array(mix(total + n.astype(np.uint64)).view(np.int64)))
+            odd = (np.bincount(o * PARITY_BITS + (h & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=rows * PARITY_BITS) & 1).astype(np.uint8)
+            lanes = PARITY_BITS // 64
+            parity = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * lanes), pa.array(np.packbits(odd).view(np.int64)))
+            group = np.where(n > 0, np.searchsorted(bounds, n, side="right") - 1, -1)
+            at = np.maximum(group, 0)
+            own, k_own = _block_names(o, h, n, group, np.minimum(n * 100 // share, bounds[at + 2] - 1), share, bounds)
+            below, k_below = _block_names(o, h, n, np.where(group > 0, group - 1, -1), bounds[at] - 1, share, bounds)
+            owner = np.concatenate([np.repeat(np.arange(rows), k_own), np.repeat(np.arange(rows), k_below)])
+            values = np.concatenate([own, below])[np.argsort(owner, kind="stable")]
+            ends = np.concatenate([[0], np.cumsum(k_own + k_below)]).astype(np.int32)
+            blocks = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), *sums, parity, blocks],
+                                             ["id", "n", "d1", "d2", "parity", "blocks"])
+
+    return sketch
+
+
+def _overlap(shingle: int, share: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text_a"):
+            for piece in slices(iter([part]), "text_b"):
+                oa, ha, rows = shingle_sets(piece.column("text_a"), shingle)
+                ob, hb, _ = shingle_sets(piece.column("text_b"), shingle)
+                tag = lambda o, h: mix(h ^ mix(o.astype(np.uint64) + np.uint64(5)))
+                both = np.bincount(oa[np.isin(tag(oa, ha), tag(ob, hb))], minlength=rows)
+                union = np.bincount(oa, minlength=rows) + np.bincount(ob, minlength=rows) - both
+                yield piece.select(["a", "b"]).filter(pa.array(100 * both >= share * union))
+
+    return overlap
+
+
+def _may_link(n_a: Column, n_b: Column, parity_a: Column, parity_b: Column, share: int) -> Column:
     """False only for sets that can not link, by their sizes and by the buckets of unlike parity."""
     unlike = F.bit_count(parity_a[0].bitwiseXOR(parity_b[0]))
     for k in range(1, PARITY_BITS // 64):
         unlike = unlike + F.bit_count(parity_a[k].bitwiseXOR(parity_b[k]))
-    near = 100 * F.least(n_a, n_b) >= SHARE * F.greatest(n_a, n_b)
-    return near & ((100 + SHARE) * unlike <= (100 - SHARE) * (n_a + n_b))
+    near = 100 * F.least(n_a, n_b) >= share * F.greatest(n_a, n_b)
+    return near & ((100 + share) * unlike <= (100 - share) * (n_a + n_b))
 
 
-def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _linked(docs: DataFrame, pairs: DataFrame, shingle: int, share: int) -> DataFrame:
     """The pairs (a, b) of ids whose whole texts link, by their exact overlap count."""
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct())
     texts = docs.join(broadcast_if_small(wanted), F.col("id") == F.col("w"), "left_semi").dropDuplicates(["id"])
     texts = materialise(texts)
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     rows = rows.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return materialise(rows.select("a", "b", "text_a", "text_b").mapInArrow(_overlap, "a long, b long"))
+    return materialise(rows.select("a", "b", "text_a", "text_b").mapInArrow(_overlap(shingle, share), "a long, b long"))
 
 
-def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", *, shingle: int = SHINGLE, share: int = SHARE) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (smallest id reachable by links, itself included).
 
+    Texts link when their sets of `shingle` consecutive words have at least `share` hundredths of their union in common.
     Words are runs of anything but ASCII white space, lower-cased A-Z. A NULL or wordless text has no shingles and links with
     nothing. A NULL id is smaller than any other; a component that holds it has a NULL component_id. Of rows that repeat an
     id with different texts each is compared by its own blocks, but overlaps are counted on one of them. Other columns are
     not read. An empty table gives an empty result.
     """
     docs = docs.select(row_key(key).alias("id"), F.col(text).alias("text"))
-    sketch = materialise(docs.mapInArrow(_sketch, "id long, n long, d1 long, d2 long, parity array<long>, blocks array<long>"))
+    sketch = materialise(docs.mapInArrow(_sketch(shingle, share), "id long, n long, d1 long, d2 long, parity array<long>, blocks array<long>"))
     # Equal sets form a class, represented by its smallest id. Classes, not documents, are joined from here on.
     classes = materialise(sketch.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")))
     filled = sketch.where("n > 0").select(F.explode("blocks").alias("block"), F.col("d1").alias("class"))
@@ -159,14 +188,14 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     def side(s: str) -> DataFrame:
         return names.select(F.col("class").alias(f"class_{s}"), F.col("rep").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), F.col("parity").alias(f"parity_{s}"))
 
-    open_pair = _may_link(F.col("n_x"), F.col("n_y"), F.col("parity_x"), F.col("parity_y"))
+    open_pair = _may_link(F.col("n_x"), F.col("n_y"), F.col("parity_x"), F.col("parity_y"), share)
     as_pair = (F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
     # First every class of a block against two of them, the least and the largest: enough to join most near copies.
     member = materialise(filled.join(met, "block").select("block", "class", "lo", "hi").distinct())
     spokes = F.explode(F.array(*[F.struct(F.least("class", c).alias("class_x"), F.greatest("class", c).alias("class_y")) for c in ("lo", "hi")]))
     tried = member.select(spokes.alias("p")).select("p.*").where("class_x <> class_y").distinct()
     tried = materialise(tried.join(side("x"), "class_x").join(side("y"), "class_y").where(open_pair).select(*as_pair))
-    links = _linked(docs, tried)
+    links = _linked(docs, tried, shingle, share)
     known = components(links)
     # Then all pairs of classes that share a block, are in different components and within the bounds: no link is missed.
     homes = materialise(names.join(known, F.col("rep") == F.col("id"), "left").select(
@@ -176,7 +205,7 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     spread = materialise(member.join(mixed, "block").select("block", "class").join(homes, "class"))
     x, y = (spread.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "parity", "component")]) for s in "xy")
     pairs = materialise(x.join(y, "block").where((F.col("component_x") < F.col("component_y")) & open_pair).select(*as_pair).distinct())
-    more = _linked(docs, pairs.join(tried, ["a", "b"], "left_anti"))
+    more = _linked(docs, pairs.join(tried, ["a", "b"], "left_anti"), shingle, share)
     found = components(links.unionByName(more))
     homes = classes.join(found, F.col("rep") == F.col("id"), "left").select(
         F.col("n").alias("cn"), F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("component", "rep").alias("component"))

@@ -16,6 +16,9 @@ from asofkit.llm.jaccard import similar_groups
 from asofkit.llm.quality import quality_scores
 from asofkit.llm.sentencepieces import decode_documents, encode_documents
 
+# The near stage links texts by five-word shingles and a similarity of 0.8 or more; op9's contract (3 words, 0.9) is its own.
+NEAR_SHINGLE, NEAR_SHARE = 5, 80
+
 ORACLE_SQL = None  # a trained classifier and a tokenizer have no SQL; tests hold the stages against brute force
 
 
@@ -37,7 +40,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked texts the one with the smallest id stays."""
-    return _without(docs, similar_groups(docs).where("not (doc_id <=> component_id)"))
+    return _without(docs, similar_groups(docs, shingle=NEAR_SHINGLE, share=NEAR_SHARE).where("not (doc_id <=> component_id)"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -243,6 +243,48 @@ def test_similar_groups_near_the_threshold(spark):
     assert collected(similar_groups(df)) == brute_similar(rows)
 
 
+def linked_pairs(rows, shingle, share):
+    sets = {i: {tuple(w[k:k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if (w := ascii_lower(t).encode().split()) else set() for i, t in rows}
+    ids = sorted(i for i in sets if sets[i])
+    return [(a, b) for k, a in enumerate(ids) for b in ids[k + 1:] if 100 * len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b])]
+
+
+def between_the_thresholds():
+    """Bases of 1 to 260 words, each with copies that differ in some words."""
+    r, rows = random.Random(11), []
+    for g, size in enumerate([1, 2, 3, 4, 5, 6, 9, 14, 30, 55, 90, 100, 140, 200, 260] * 3):
+        base = prose(500 + g, size)
+        for changes in (0, size // 100, size // 60 + 1, size // 40 + 1, size // 30 + 1, size // 20 + 1):
+            w = list(base)
+            for _ in range(changes):
+                w[r.randrange(size)] = "n%d" % r.randrange(50)
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+def test_near_stage_links_what_lies_between_the_thresholds(spark):
+    import corpus_pipeline
+    rows = between_the_thresholds()
+    links, strict = linked_pairs(rows, 5, 80), set(linked_pairs(rows, 3, 90))
+    assert sum(pair not in strict for pair in links) >= 10
+    home = {i: i for i, _ in rows}
+    for a, b in links:
+        x, y = sorted((home[a], home[b]))
+        home = {i: x if h == y else h for i, h in home.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = similar_groups(df, shingle=5, share=80)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == home
+    assert {r["doc_id"] for r in corpus_pipeline.near(spark, df, "").collect()} == set(home.values())
+
+
+@pytest.mark.parametrize("shingle, share", [(3, 90), (5, 80), (2, 50)])
+def test_every_link_has_a_common_block(shingle, share):
+    rows = between_the_thresholds()
+    batch = pa.record_batch([pa.array([i for i, _ in rows]), pa.array([0] * len(rows)), pa.array([t for _, t in rows])], ["id", "h", "text"])
+    blocks = {i: set(b) for part in jaccard._sketch(shingle, share)(iter([batch])) for i, b in zip(part.column("id").to_pylist(), part.column("blocks").to_pylist())}
+    assert all(blocks[a] & blocks[b] for a, b in linked_pairs(rows, shingle, share))
+
+
 def test_blocks_cover_the_bound():
     for n in list(range(1, 400)) + [999, 12345]:
         group = int(np.searchsorted(jaccard.BOUNDS, n, side="right")) - 1
