@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import materialise, scratch_dir
 
 __all__ = ["materialise", "in_few_files", "broadcast_if_small", "table", "slices", "bytes_of", "word_bounds", "hash_words", "mix", "ngram_hash", "SPACE", "fresh_path",
-           "ascii_lower", "row_key"]
+           "ascii_lower", "row_key", "text_name"]
 
 SLICE_BYTES = 2 << 20
-MAX_BROADCAST_ROWS = 1 << 21  # 32 MB as two longs a row
+MAX_BROADCAST_ROWS = 1 << 21  # 32 MB as two longs a row, 48 MB as three
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Byte classes: True marks a separator.
@@ -59,6 +59,11 @@ def row_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(-(2**63)).cast("long"))
 
 
+def text_name(name: str = "text") -> Column:
+    """Hash of a text, NULL as empty; with the id it names a row where ids are NULL or repeated."""
+    return F.xxhash64(F.coalesce(F.col(name), F.lit("")))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches into runs of rows with about `limit` bytes of text, at least one row each."""
     for batch in batches:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bytes_of, hash_words, row_key, slices, word_bounds
+from .common import bytes_of, hash_words, row_key, slices, text_name, word_bounds
 
 PHRASE = 13            # words of a window; an item of fewer words is one window
 SHARD_BYTES = 4 << 20
@@ -204,15 +204,16 @@ def _merged(spans):
     return F.aggregate(F.array_sort(spans), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), add)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", *, named: bool = False) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, n_hit, items (names of the items found, sorted as strings), spans (hit words).
 
     Words are runs of digits, letters and anything beyond ASCII, lower-cased A-Z. A window is 13 words of an item; an item of
     fewer, but not none, is one window. NULL texts have no words; a NULL item id is named "null", items of equal id are one.
-    An empty benchmark hits nothing. Other columns are not read. Repeated rows are judged row by row.
+    An empty benchmark hits nothing. Other columns are not read. Repeated rows are judged row by row; `named` adds
+    text_name, the hash of the text.
     """
     rows = docs.select(row_key(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select("id", "text", F.xxhash64("text").alias("h"))
+    rows = rows.select("id", "text", text_name().alias("h"))
     tests = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), F.col("text")).where("text is not null")
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = size // BLOCK_BYTES + 1
@@ -227,7 +228,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / blocks).cast("int").alias("times"))
         found = found.withColumn("_", F.explode(F.sequence(F.lit(1), "times")))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return found.select(F.when(F.col("id") != -(2**63), F.col("id")).alias("doc_id"), "n_words", hit.alias("n_hit"), "items", "spans")
+    return found.select(F.when(F.col("id") != -(2**63), F.col("id")).alias("doc_id"), *[F.col("h").alias("text_name")] * named, "n_words", hit.alias("n_hit"), "items", "spans")
 
 
 def with_verdict(found: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, broadcast_if_small, bytes_of, hash_words, materialise, mix, ngram_hash, row_key, slices, word_bounds
+from .common import SPACE, broadcast_if_small, bytes_of, hash_words, materialise, mix, ngram_hash, row_key, slices, text_name, word_bounds
 from .components import components
 
 SHINGLE = 3          # the contract of op9; other callers give their own
@@ -127,8 +127,8 @@ def _sketch(shingle: int, share: int) -> Callable[[Iterator[pa.RecordBatch]], It
             values = np.concatenate([own, below])[np.argsort(owner, kind="stable")]
             ends = np.concatenate([[0], np.cumsum(k_own + k_below)]).astype(np.int32)
             blocks = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), *sums, parity, blocks],
-                                             ["id", "n", "d1", "d2", "parity", "blocks"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array(n), *sums, parity, blocks],
+                                             ["id", "h", "n", "d1", "d2", "parity", "blocks"])
 
     return sketch
 
@@ -156,60 +156,67 @@ def _may_link(n_a: Column, n_b: Column, parity_a: Column, parity_b: Column, shar
     return near & ((100 + share) * unlike <= (100 - share) * (n_a + n_b))
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, shingle: int, share: int) -> DataFrame:
-    """The pairs (a, b) of ids whose whole texts link, by their exact overlap count."""
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct())
-    texts = docs.join(broadcast_if_small(wanted), F.col("id") == F.col("w"), "left_semi").dropDuplicates(["id"])
-    texts = materialise(texts)
-    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    rows = rows.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+def _linked(docs: DataFrame, names: DataFrame, pairs: DataFrame, shingle: int, share: int) -> DataFrame:
+    """The pairs (a, b) of classes whose texts link, by their exact overlap count on one text of each class."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    wanted = materialise(names.join(wanted, "class", "left_semi").select("class", F.col("id").alias("__id"), F.col("h").alias("__h")))
+    texts = docs.join(broadcast_if_small(wanted), (F.col("id") == F.col("__id")) & (F.col("h") == F.col("__h")))
+    texts = materialise(texts.select("class", "text").dropDuplicates(["class"]))
+    rows = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
+    rows = rows.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
     return materialise(rows.select("a", "b", "text_a", "text_b").mapInArrow(_overlap(shingle, share), "a long, b long"))
 
 
-def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", *, shingle: int = SHINGLE, share: int = SHARE) -> DataFrame:
+def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", *, shingle: int = SHINGLE, share: int = SHARE,
+                   named: bool = False) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (smallest id reachable by links, itself included).
 
     Texts link when their sets of `shingle` consecutive words have at least `share` hundredths of their union in common.
     Words are runs of anything but ASCII white space, lower-cased A-Z. A NULL or wordless text has no shingles and links with
-    nothing. A NULL id is smaller than any other; a component that holds it has a NULL component_id. Of rows that repeat an
-    id with different texts each is compared by its own blocks, but overlaps are counted on one of them. Other columns are
-    not read. An empty table gives an empty result.
+    nothing. A NULL id is smaller than any other; a component that holds it has a NULL component_id. Rows that repeat an id
+    with different texts are compared each by its own text. `named` adds text_name, the hash of the text, and first: whether
+    the row has the smallest id of its component and, of that id, the smallest hash. Other columns are not read. An empty table
+    gives an empty result.
     """
-    docs = docs.select(row_key(key).alias("id"), F.col(text).alias("text"))
-    sketch = materialise(docs.mapInArrow(_sketch(shingle, share), "id long, n long, d1 long, d2 long, parity array<long>, blocks array<long>"))
-    # Equal sets form a class, represented by its smallest id. Classes, not documents, are joined from here on.
-    classes = materialise(sketch.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")))
+    docs = docs.select(row_key(key).alias("id"), text_name(text).alias("h"), F.col(text).alias("text"))
+    sketch = materialise(docs.mapInArrow(_sketch(shingle, share), "id long, h long, n long, d1 long, d2 long, parity array<long>, blocks array<long>"))
+    # Equal sets form a class, represented by its smallest row (id, h). Classes, not rows, are joined from here on.
+    smallest = lambda c: F.min(c).alias("rep")
+    classes = materialise(sketch.where("n > 0").groupBy("n", "d1", "d2").agg(smallest(F.struct("id", "h"))))
     filled = sketch.where("n > 0").select(F.explode("blocks").alias("block"), F.col("d1").alias("class"))
     met = materialise(filled.groupBy("block").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi"))
-    names = classes.groupBy(F.col("d1").alias("class")).agg(F.min("rep").alias("rep"))
-    facts = sketch.select(F.col("id").alias("rep"), F.col("d1").alias("class"), "n", "parity").dropDuplicates(["rep", "class"])
-    names = materialise(names.join(facts, ["rep", "class"]))
+    names = classes.groupBy(F.col("d1").alias("class")).agg(smallest("rep")).select("class", "rep.*")
+    facts = sketch.select("id", "h", F.col("d1").alias("class"), "n", "parity").dropDuplicates(["id", "h", "class"])
+    names = materialise(names.join(facts, ["id", "h", "class"]))
 
     def side(s: str) -> DataFrame:
-        return names.select(F.col("class").alias(f"class_{s}"), F.col("rep").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), F.col("parity").alias(f"parity_{s}"))
+        return names.select(F.col("class").alias(f"class_{s}"), F.col("n").alias(f"n_{s}"), F.col("parity").alias(f"parity_{s}"))
 
     open_pair = _may_link(F.col("n_x"), F.col("n_y"), F.col("parity_x"), F.col("parity_y"), share)
-    as_pair = (F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+    as_pair = (F.least("class_x", "class_y").alias("a"), F.greatest("class_x", "class_y").alias("b"))
     # First every class of a block against two of them, the least and the largest: enough to join most near copies.
     member = materialise(filled.join(met, "block").select("block", "class", "lo", "hi").distinct())
     spokes = F.explode(F.array(*[F.struct(F.least("class", c).alias("class_x"), F.greatest("class", c).alias("class_y")) for c in ("lo", "hi")]))
     tried = member.select(spokes.alias("p")).select("p.*").where("class_x <> class_y").distinct()
     tried = materialise(tried.join(side("x"), "class_x").join(side("y"), "class_y").where(open_pair).select(*as_pair))
-    links = _linked(docs, tried, shingle, share)
+    links = _linked(docs, names, tried, shingle, share)
     known = components(links)
     # Then all pairs of classes that share a block, are in different components and within the bounds: no link is missed.
-    homes = materialise(names.join(known, F.col("rep") == F.col("id"), "left").select(
-        "class", F.col("rep").alias("id"), "n", "parity", F.coalesce("component", "rep").alias("component")))
+    homes = materialise(names.join(known.withColumnRenamed("id", "__class"), F.col("class") == F.col("__class"), "left").select(
+        "class", "n", "parity", F.coalesce("component", "class").alias("component")))
     placed = member.join(homes.select("class", "component"), "class").select("block", "class", "component")
     mixed = materialise(placed.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("block"))
     spread = materialise(member.join(mixed, "block").select("block", "class").join(homes, "class"))
-    x, y = (spread.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "parity", "component")]) for s in "xy")
+    x, y = (spread.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "parity", "component")]) for s in "xy")
     pairs = materialise(x.join(y, "block").where((F.col("component_x") < F.col("component_y")) & open_pair).select(*as_pair).distinct())
-    more = _linked(docs, pairs.join(tried, ["a", "b"], "left_anti"), shingle, share)
+    more = _linked(docs, names, pairs.join(tried, ["a", "b"], "left_anti"), shingle, share)
     found = components(links.unionByName(more))
-    homes = classes.join(found, F.col("rep") == F.col("id"), "left").select(
-        F.col("n").alias("cn"), F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("component", "rep").alias("component"))
-    homes = materialise(homes)
-    out = sketch.select("id", "n", "d1", "d2").join(homes, F.expr("n = cn and d1 = c1 and d2 = c2"), "left")
+    placed = materialise(classes.join(found, F.col("d1") == F.col("id"), "left").select(
+        F.col("n").alias("cn"), F.col("d1").alias("c1"), F.col("d2").alias("c2"), "rep", F.coalesce("component", "d1").alias("component")))
+    # Read back from storage, so AQE can split a large component.
+    least = materialise(placed.groupBy("component").agg(smallest("rep")))
+    homes = materialise(placed.drop("rep").join(least, "component").drop("component"))
+    out = sketch.select("id", "h", "n", "d1", "d2").join(homes, F.expr("n = cn and d1 = c1 and d2 = c2"), "left")
     null_id = lambda c: F.when(c != -(2**63), c)
-    return out.select(null_id(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), null_id(F.coalesce("component", "id")).alias("component_id"))
+    extra = [F.col("h").alias("text_name"), F.expr("rep is null or (id = rep.id and h = rep.h)").alias("first")] if named else []
+    return out.select(null_id(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), null_id(F.coalesce("rep.id", "id")).alias("component_id"), *extra)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, bytes_of, hash_words, materialise, row_key, slices, word_bounds
+from .common import SPACE, bytes_of, hash_words, materialise, row_key, slices, text_name, word_bounds
 
 FEATURES = ("log_words", "upper", "symbols", "digits", "log_word_size", "word_spread", "bare_symbols", "distinct",
             "stops", "commas", "wide", "lines")
@@ -32,8 +32,7 @@ _STOP, _COMMA, _WIDE, _LINE = np.isin(_B, [46, 63]), _B == 44, _B >= 192, _B ==
 _SYMBOL = ~(_LETTER | _DIGIT | SPACE | _STOP | _COMMA)
 _ALNUM = (_LETTER | _DIGIT).astype(np.uint8)
 
-SCHEMA = "doc_id long, x array<double>"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
+SCHEMA = "doc_id long, text_name long, x array<double>"
 
 
 def _distinct_share(owner: np.ndarray, hashes: np.ndarray, n: int, total: np.ndarray) -> np.ndarray:
@@ -75,11 +74,11 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         x = features(part.column("text"))
         values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), values], schema=_ARROW)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_name"), values], ["doc_id", "text_name", "x"])
 
 
 def text_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_measure, SCHEMA)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), text_name(text).alias("text_name"), F.col(text).alias("text")).mapInArrow(_measure, SCHEMA)
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -134,11 +133,11 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Discrimi
     return Discriminant(means, np.array(inverses), np.array(offsets))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", *, named: bool = False) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= 0.7).
 
     NULL texts count as empty; an empty text gets the score of its zero vector. Ids, languages, sources and labels are no
-    inputs of a score. Rows of `labels` without a 0/1 label or id are ignored, repeated ones count each time.
+    inputs of a score. `named` adds text_name, the hash of the text. Rows of `labels` without a 0/1 label or id are ignored, repeated ones count each time.
     """
     stats = materialise(text_statistics(docs, text, key))
     model = fit(stats, labels)
@@ -146,7 +145,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", key:
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("x").flatten().to_numpy().reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_name"), pa.array(model.score(x))], ["doc_id", "text_name", "score"])
 
-    scored = stats.mapInArrow(rate, "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = stats.mapInArrow(rate, "doc_id long, text_name long, score double")
+    return scored.select("doc_id", *["text_name"] * named, held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from asofkit.llm.common import broadcast_if_small, materialise, row_key, table
+from asofkit.llm.common import broadcast_if_small, materialise, row_key, table, text_name
 from asofkit.llm.decontaminate import contamination, with_verdict
 from asofkit.llm.exact_dedup import first_rows
 from asofkit.llm.jaccard import similar_groups
@@ -22,15 +22,15 @@ NEAR_SHINGLE, NEAR_SHARE = 5, 80
 ORACLE_SQL = None  # a trained classifier and a tokenizer have no SQL; tests hold the stages against brute force
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """`docs` less the rows with one of the ids; NULL ids match NULL."""
-    gone = materialise(ids.select(row_key().alias("__gone")).distinct())
-    return docs.join(broadcast_if_small(gone), row_key() == F.col("__gone"), "left_anti")
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """`docs` less the rows with the id and the text of one of `rows`; NULL ids match NULL."""
+    gone = materialise(rows.select(row_key().alias("__gone"), F.col("text_name").alias("__name")).distinct())
+    return docs.join(broadcast_if_small(gone), (row_key() == F.col("__gone")) & (text_name() == F.col("__name")), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return _without(docs, quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 0"))
+    return _without(docs, quality_scores(docs, table(spark, sf_dir, "labels"), named=True).where("predicted = 0"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +39,13 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked texts the one with the smallest id stays."""
-    return _without(docs, similar_groups(docs, shingle=NEAR_SHINGLE, share=NEAR_SHARE).where("not (doc_id <=> component_id)"))
+    """Of each group of linked texts the one with the smallest id stays; of NULL or repeated ids, the one with the smallest hash."""
+    return _without(docs, similar_groups(docs, shingle=NEAR_SHINGLE, share=NEAR_SHARE, named=True).where("not first"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with at least a twentieth of their words inside benchmark windows go."""
-    return _without(docs, with_verdict(contamination(docs, table(spark, sf_dir, "benchmark"))).where("contaminated"))
+    return _without(docs, with_verdict(contamination(docs, table(spark, sf_dir, "benchmark"), named=True)).where("contaminated"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -277,6 +277,36 @@ def test_near_stage_links_what_lies_between_the_thresholds(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near(spark, df, "").collect()} == set(home.values())
 
 
+def test_repeated_ids_link_by_each_text(spark):
+    base, other = prose(61, 80), prose(62, 80)
+    near = lambda w: " ".join([*w[:40], "changed", *w[41:]])
+    rows = [(5, " ".join(base)), (5, " ".join(other)), (6, near(base)), (7, near(other)), (None, "some words of their own"),
+            (None, " ".join(prose(63, 80))), (None, near(prose(63, 80))), (9, "One two"), (9, "three")]
+    got = similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, share=80)
+    assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in got.collect()) == [(-1, -1)] * 3 + [(5, 5), (5, 5), (6, 5), (7, 5), (9, 9), (9, 9)]
+
+
+def test_stages_judge_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline
+    base, item = prose(71, 80), prose(72, 30)
+    near = " ".join([*base[:40], "changed", *base[41:]])
+    good = [" ".join(prose(80 + k, 60)) for k in range(40)]
+    bad = [" ".join(["$$$ 00 ###"] * (20 + k)) for k in range(40)]
+    labelled = [(k, t) for k, t in enumerate(good)] + [(100 + k, t) for k, t in enumerate(bad)]
+    labels = [(i, int(i < 100)) for i, _ in labelled]
+    spark.createDataFrame(labels, "doc_id long, quality long").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = lambda stage, rows: sorted(
+        (r["doc_id"] or -1, r["text"]) for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect())
+    clean, junk = " ".join(prose(90, 60)), " ".join(["$$$ 00 ###"] * 33)
+    kept = texts(corpus_pipeline.quality, [*labelled, (None, clean), (None, junk), (200, clean), (200, junk)])
+    assert (-1, clean) in kept and (200, clean) in kept and not any(t == junk for _, t in kept)
+    hit = " ".join(item)
+    assert texts(corpus_pipeline.decontaminated, [(None, clean), (None, hit), (3, clean), (3, hit)]) == [(-1, clean), (3, clean)]
+    got = texts(corpus_pipeline.near, [(None, " ".join(base)), (None, near), (None, clean), (4, good[0]), (4, near), (5, good[1])])
+    assert len(got) == 4 and {t for _, t in got} > {clean, good[0], good[1]}
+
+
 @pytest.mark.parametrize("shingle, share", [(3, 90), (5, 80), (2, 50)])
 def test_every_link_has_a_common_block(shingle, share):
     rows = between_the_thresholds()
