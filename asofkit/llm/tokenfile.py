@@ -89,7 +89,8 @@ class WordEncoder:
     """Ids of whole texts by a tokenizer that lower-cases, drops white space and never looks across it.
 
     Distinct words of a batch are encoded once and looked up after that; the ids of a text are those of its words. New words go
-    to the tokenizer in long strings, parted by blanks; the place of an id in the string tells its word.
+    to the tokenizer in long strings, parted by blanks; the place of an id in the string tells its word. Words go by their lower
+    case, but those whose lower case holds an added token by their own spelling, as added tokens match that alone.
     """
 
     def __init__(self, path: str):
@@ -129,8 +130,16 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, ids per text)."""
-        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        texts = pc.fill_null(texts, "")
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         parts = pc.dictionary_encode(words.flatten())
+        odd = np.zeros(len(parts.dictionary), bool)
+        for token in self.special:
+            odd |= pc.match_substring(parts.dictionary, token.lower()).to_numpy(zero_copy_only=False)
+        if odd.any():
+            own = pa.array(odd[parts.indices.to_numpy()])
+            spelled = pc.ascii_split_whitespace(texts).flatten()
+            parts = pc.dictionary_encode(pc.if_else(own, spelled, words.flatten()))
         if len(self.words) > MEMO_WORDS:
             self._forget()
         found = pc.index_in(parts.dictionary, value_set=self.words)

@@ -418,6 +418,19 @@ def test_token_files(spark, docs, corpus, no_docs, tmp_path):
     assert tokenfile.read_documents(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_added_tokens_match_their_own_spelling_only():
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(WORDS)
+    encoder = tokenfile.WordEncoder(WORDS)
+    texts = ["<|ENDOFTEXT|>", "<|endoftext|>", "<|EndOfText|>", "A<|ENDOFTEXT|>B <|endoftext|> C<|startoftext|>D <|StartOfText|>", "PLAIN words", None]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[0] == want[2] == [27, 347, 40786, 4160, 91, 285] and want[1] == [49407]
+    for order in (range(len(texts)), reversed(range(len(texts)))):  # and again from the memo
+        order = list(order)
+        ids, sizes = encoder.encode(pa.array([texts[k] for k in order], pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [want[k] for k in order]
+
+
 @pytest.mark.parametrize("bits", [1, 5, 13, 16, 17, 32])
 def test_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 10_001).astype(np.uint32)
