@@ -1,10 +1,9 @@
 """Operator 3: licence scan by a trained paragraph classifier, DataFrame functions and Spark ML only.
 
-A text is cut into lines and sentences ("paragraphs" below). Those with a word stem that licence notices use are candidates;
-each template holds one, and a paragraph without any counts as prose. A multinomial logistic regression over hashed word uni- and
-bigrams tells the licence families and ordinary prose apart. It is trained on fixed notice templates, whole, clipped and
-mixed into prose, against the prose of at most NEGATIVE_DOCS documents. Its probabilities are calibrated by a temperature
-chosen on held-out training rows. A paragraph that is no prose but has no family of at least LEAST_PROBABILITY is
+A text is cut into lines and sentences ("paragraphs" below), and every one is scored. A multinomial logistic regression over
+hashed word uni- and bigrams tells the licence families and ordinary prose apart. It is trained on fixed notice templates,
+whole, clipped and mixed into prose, against the prose of at most NEGATIVE_DOCS documents. Its probabilities are calibrated by
+a temperature chosen on rows that a first fit has not seen. A paragraph that is no prose but has no family of at least LEAST_PROBABILITY is
 `unknown`; so is one whose words the templates of its family do not confirm.
 """
 
@@ -37,7 +36,7 @@ TEMPLATES = {
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "proprietary": ["All rights reserved.", "Proprietary and confidential.", "Unauthorized copying of this file, via any medium, is strictly prohibited."],
 }
-# Stems of licence notices, in lower case.
+# Stems of licence notices, in lower case. They filter nothing; each template has one.
 STEMS = ("licen", "copyright", "rights reserved", "permission", "permitted", "redistribut", "spdx", "proprietary", "confidential",
          "unauthorized", "general public", "creative commons")
 FAMILIES = sorted(TEMPLATES)
@@ -74,8 +73,11 @@ def bigrams(words: Column) -> Column:
 
 
 def _featured(rows: DataFrame) -> DataFrame:
-    """Adds `words`, `pairs` and the sparse vector `x` to rows with a `paragraph`."""
-    rows = rows.withColumn("words", words_of(F.col("paragraph"))).withColumn("pairs", bigrams(F.col("words")))
+    """Adds `words`, `pairs`, the sparse vector `x` and `once` to rows with a `paragraph`.
+
+    `once` is never below 0. A filter that reads it stays above the word split, which would be copied into each of its uses.
+    """
+    rows = rows.select("*", words_of(F.col("paragraph")).alias("words"), F.rand(0).alias("once")).withColumn("pairs", bigrams(F.col("words")))
     return HashingTF(inputCol="grams", outputCol="x", numFeatures=FEATURES, binary=True).transform(rows.withColumn("grams", F.concat("words", "pairs")))
 
 
@@ -96,7 +98,10 @@ def training_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     spark = docs.sparkSession
     sample = docs.where(F.col(text).isNotNull()).orderBy(F.xxhash64(key, text), key).limit(NEGATIVE_DOCS)
     prose = materialise(sample.select(F.explode(paragraphs(F.col(text))).alias("paragraph")).limit(NEGATIVES))
-    plain = prose.where(~F.lower("paragraph").rlike("licen|copyright|rights reserved|spdx|redistribut|proprietary|permission"))
+    # Paragraphs that a template confirms are notices; all others, with or without a stem, are prose.
+    prose = materialise(prose.withColumn("pairs", bigrams(words_of(F.col("paragraph")))))
+    confirmed = F.greatest(*[_shared(F.col("pairs"), F.lit(k)) for k in range(PROSE)]) >= LEAST_SHARED
+    plain = materialise(prose.where(~confirmed).select("paragraph"))
     templates = _templates(spark)
     clipped = templates.withColumn("w", F.split("paragraph", " ")).withColumn("cut", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     clipped = clipped.where("size(w) > cut + 3").select("label", F.array_join(F.slice("w", F.lit(1), F.size("w") - F.col("cut")), " ").alias("paragraph"))
@@ -109,16 +114,17 @@ def training_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
 
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id"):
-    """(model, temperature). Every fifth row by hash stays out of the fit and chooses the temperature by its log loss."""
+    """(model, temperature). Every fifth row by hash, of families and prose, stays out of a first fit and chooses the temperature by
+    its log loss; the model is then fitted on all rows."""
     rows = _featured(training_rows(docs, text, key)).withColumn("label", F.col("label").cast("double"))
     held = F.pmod(F.xxhash64("paragraph", F.lit(9)), F.lit(5)) == 0
     fit = LogisticRegression(featuresCol="x", family="multinomial", regParam=1e-3, maxIter=40, standardization=False)
-    model = fit.fit(rows.where(~held | (F.col("label") < PROSE)))
-    tested = model.transform(rows.where(held)).select("label", vector_to_array("rawPrediction").alias("raw"))
-    losses = tested.agg(*[F.avg(-F.log(F.greatest(F.element_at(_softmax(F.col("raw"), t), F.col("label").cast("int") + 1), F.lit(1e-12)))).alias(str(k))
+    rows = materialise(rows.select("label", "paragraph", "x"))
+    tested = fit.fit(rows.where(~held)).transform(rows.where(held)).select("label", vector_to_array("rawPrediction").alias("raw"))
+    losses = tested.agg(*[F.avg(-F.log(F.greatest(F.get(_softmax(F.col("raw"), t), F.col("label").cast("int")), F.lit(1e-12)))).alias(str(k))
                           for k, t in enumerate(TEMPERATURES)]).first()
     best = min(range(len(TEMPERATURES)), key=lambda k: losses[k] if losses[k] is not None else abs(TEMPERATURES[k] - 1))
-    return model, TEMPERATURES[best]
+    return fit.fit(rows), TEMPERATURES[best]
 
 
 def _softmax(raw: Column, temperature: float) -> Column:
@@ -134,9 +140,9 @@ def licence_findings(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     `family` is `unknown` where no family is likely enough or the templates do not confirm it.
     """
     model, temperature = train(docs, text, key)
-    rows = docs.where(has_stem(F.col(text))).select(row_key(key).alias("id"), F.posexplode(paragraphs(F.col(text))).alias("place", "paragraph"))
-    rows = rows.where(has_stem(F.col("paragraph")))
-    scored = model.transform(_featured(rows)).where(F.col("prediction") != PROSE)
+    rows = docs.select(row_key(key).alias("id"), F.posexplode(paragraphs(F.col(text))).alias("place", "paragraph"))
+    # Without the column of probabilities, which only the few rows that stay need, scaled.
+    scored = model.setProbabilityCol("").transform(_featured(rows)).where((F.col("prediction") != PROSE) & (F.col("once") >= 0))
     chance = _softmax(vector_to_array("rawPrediction"), temperature)
     named = scored.select("id", "place", "paragraph", "pairs", F.col("prediction").cast("int").alias("guess"), F.array_max(chance).alias("probability"))
     named = named.withColumn("shared", _shared(F.col("pairs"), F.col("guess")))
