@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chat import digests, expand_targets
+from .collocations import collocations
 from .common import fresh_path, materialise, table
 from .decontaminate import contamination, contamination_digest
 from .exact_dedup import exact_groups
 from .jaccard import similar_groups
+from .language import identify_languages
 from .licences import licence_scan
+from .periodic import periodic_runs, run_digests
 from .quality import quality_scores
 from .secrets import scan_secrets, secret_digest
 from .sentencepieces import decode_documents, encode_documents
@@ -109,3 +112,39 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(table(spark, sf_dir, "documents"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(u.piece, '[^ \t]+') AS ws
+      FROM (SELECT lang, unnest(regexp_extract_all(t, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM d) u),
+w AS (SELECT lang, piece, unnest(ws) AS w1, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS m, ws FROM p),
+g AS (SELECT lang, w1, CASE WHEN i < m THEN ws[i + 1] END AS w2, CASE WHEN i + 1 < m THEN ws[i + 2] END AS w3 FROM w),
+f1 AS (SELECT lang, w1, count(*) AS f FROM g GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+inside AS (SELECT lang, x, y, max(f) AS f FROM (SELECT lang, w1 AS x, w2 AS y, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL),
+c2 AS (SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, l.f AS l, r.f AS r, (1000000::HUGEINT * f2.f * f2.f) // (l.f::HUGEINT * r.f) AS score
+       FROM f2 JOIN f1 l ON l.lang = f2.lang AND l.w1 = f2.w1 JOIN f1 r ON r.lang = f2.lang AND r.w1 = f2.w2
+       LEFT JOIN inside i ON i.lang = f2.lang AND i.x = f2.w1 AND i.y = f2.w2 WHERE coalesce(100 * i.f < 50 * f2.f, true)),
+c3 AS (SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3 AS phrase, t.f AS a, a1.f AS l1, b23.f AS r1, b12.f AS l2, a3.f AS r2,
+         (1000000::HUGEINT * t.f * t.f) // (a1.f::HUGEINT * b23.f) AS s1, (1000000::HUGEINT * t.f * t.f) // (b12.f::HUGEINT * a3.f) AS s2
+       FROM f3 t JOIN f1 a1 ON a1.lang = t.lang AND a1.w1 = t.w1 JOIN f1 a3 ON a3.lang = t.lang AND a3.w1 = t.w3
+       JOIN f2 b12 ON b12.lang = t.lang AND b12.w1 = t.w1 AND b12.w2 = t.w2 JOIN f2 b23 ON b23.lang = t.lang AND b23.w1 = t.w2 AND b23.w2 = t.w3),
+c AS (SELECT * FROM c2 UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM c3),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM c)
+SELECT k.lang, rank, phrase, a, l, r, n.n, score::BIGINT AS score FROM k JOIN n USING (lang) WHERE rank <= 2000
+""")
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
