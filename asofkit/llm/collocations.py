@@ -26,7 +26,7 @@ SCALE = 1_000_000
 HOT_SHARE = 2000
 UNKNOWN = "und"
 PARTS_PER_PARTITION = 4
-SLICE = 16 << 20       # bytes of text whose counts are merged before they leave a task
+WORD_SLICE, SLICE = 16 << 20, 6 << 20  # bytes of text whose words, and whose stripes, are merged before they leave a task
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -55,7 +55,7 @@ def words_of(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, limit=SLICE):
+    for part in slices(batches, limit=WORD_SLICE):
         data, starts, ends, doc, _, ids = words_of(part)
         names, at, n = np.unique(ids, return_index=True, return_counts=True)
         raw, spans = data.tobytes(), zip(starts[at].tolist(), ends[at].tolist())
@@ -144,9 +144,10 @@ def stripes(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
             third = np.zeros(len(w) - 1, np.uint64)
             third[:-1] = np.where(on[1:], w[2:], 0)
             a, b, c = w[:-1][on], w[1:][on], third[on]
-            del w, piece, third
+            del w, piece, third, on
             if len(a):
-                yield packets(*merge(a, b, c, np.ones(len(a), np.int64)), hot, parts)
+                a, b, c, n = merge(a, b, c, np.ones(len(a), np.int64))
+                yield packets(a, b, c, n, hot, parts)
 
     return docs.mapInArrow(build, PACKET)
 
