@@ -26,7 +26,7 @@ SCALE = 1_000_000
 HOT_SHARE = 2000
 UNKNOWN = "und"
 PARTS_PER_PARTITION = 4
-WORD_SLICE, SLICE = 16 << 20, 6 << 20  # bytes of text whose words, and whose stripes, are merged before they leave a task
+WORD_SLICE, SLICE = 8 << 20, 4 << 20  # bytes of text whose words, and whose stripes, are merged before they leave a task
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
