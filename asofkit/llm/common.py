@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import materialise, scratch_dir
 
 __all__ = ["materialise", "in_few_files", "broadcast_if_small", "table", "slices", "bytes_of", "word_bounds", "hash_words", "mix", "ngram_hash", "SPACE", "fresh_path",
-           "ascii_lower", "row_key", "text_name"]
+           "ascii_lower", "row_key", "text_name", "free_name"]
 
 SLICE_BYTES = 2 << 20
 MAX_BROADCAST_ROWS = 1 << 21  # 32 MB as two longs a row, 48 MB as three
@@ -59,6 +59,14 @@ def row_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(-(2**63)).cast("long"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def text_name(name: str = "text") -> Column:
     """Hash of a text, NULL as empty; with the id it names a row where ids are NULL or repeated."""
     return F.xxhash64(F.coalesce(F.col(name), F.lit("")))

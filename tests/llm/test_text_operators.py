@@ -89,16 +89,33 @@ def test_exact_groups_and_first_rows(docs, corpus, no_docs):
     assert exact_groups(no_docs).count() == 0 and first_rows(no_docs).count() == 0
 
 
-def test_exact_groups_without_a_filter(docs, monkeypatch):
-    from asofkit.llm import exact_dedup
+def test_exact_groups_with_the_filter_joined(docs, monkeypatch):
+    """Beyond the broadcast bound rows and filter words are joined; with few bits nearly every row is tested further."""
+    from asofkit.llm import common
     want = collected(exact_groups(docs))
-    monkeypatch.setattr(exact_dedup, "MAX_FILTER_WORDS", 0)
+    monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", 0)
     assert collected(exact_groups(docs)) == want
+    assert collected(exact_groups(docs, bits_per_row=1)) == want
+
+
+def test_only_cells_and_repeated_rows_shuffle(spark, tmp_path):
+    """Pass one moves one cell a row, pass two only rows whose cell is repeated."""
+    from asofkit.llm import exact_dedup
+    rows = spark.range(1_000_000).select(F.xxhash64("id").alias("h"))
+    cells = rows.select(F.pmod("h", F.lit(1 << 28)).alias("cell"))
+    found = exact_dedup.repeat_filter(cells).count()
+    assert found == cells.groupBy("cell").count().where("count > 1").select(F.expr("cell div 64")).distinct().count()
+    assert found < 1_000_000 / 256
 
 
 def test_repeated_rows_of_one_id_collapse(spark):
-    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (0, "A")], "doc_id long, text string")
-    assert sorted(map(tuple, first_rows(rows).collect())) == [(1, "a"), (1, "b")]
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (0, "A"), (2, "ABC"), (2, "abc"), (None, None), (None, "")], "doc_id long, text string")
+    for name in ("gone", "name", "turn"):
+        rows = rows.withColumn(name, F.lit("clash"))
+    kept = first_rows(rows)
+    assert kept.columns == rows.columns
+    got = sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in kept.collect())
+    assert got == [(0, ""), (1, "a"), (1, "b"), (2, "abc")]
 
 
 def test_chat_round_trip(spark):
