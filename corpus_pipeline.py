@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from asofkit.llm.common import broadcast_if_small, materialise, row_key, table, text_name
+from asofkit.llm.common import broadcast_if_small, free_name, materialise, row_key, table, text_name
 from asofkit.llm.decontaminate import contamination, with_verdict
 from asofkit.llm.exact_dedup import first_rows
 from asofkit.llm.jaccard import similar_groups
@@ -24,31 +24,33 @@ ORACLE_SQL = None  # a trained classifier and a tokenizer have no SQL; tests hol
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """`docs` less the rows with the id and the text of one of `rows`; NULL ids match NULL."""
-    gone = materialise(rows.select(row_key().alias("__gone"), F.col("text_name").alias("__name")).distinct())
-    return docs.join(broadcast_if_small(gone), (row_key() == F.col("__gone")) & (text_name() == F.col("__name")), "left_anti")
+    own, name = free_name(docs, "gone"), free_name(docs, "name")
+    gone = materialise(rows.select(row_key().alias(own), F.col("text_name").alias(name)).distinct())
+    return docs.join(broadcast_if_small(gone), (row_key() == F.col(own)) & (text_name() == F.col(name)), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. A NULL text is judged as an empty one, equal rows alike; an empty table stays empty."""
     return _without(docs, quality_scores(docs, table(spark, sf_dir, "labels"), named=True).where("predicted = 0"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id stays."""
+    """Of equal texts (A-Z in lower case, NULL as empty) one row stays, that with the largest id; a NULL id is the smallest."""
     return first_rows(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked texts the one with the smallest id stays; of NULL or repeated ids, the one with the smallest hash."""
+    """Of each group of linked texts the one with the smallest id stays; of NULL or repeated ids, the one with the smallest hash. Texts without words stay."""
     return _without(docs, similar_groups(docs, shingle=NEAR_SHINGLE, share=NEAR_SHARE, named=True).where("not first"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with at least a twentieth of their words inside benchmark windows go."""
+    """Documents with at least a twentieth of their words inside benchmark windows go; NULL and empty texts have no words and stay."""
     return _without(docs, with_verdict(contamination(docs, table(spark, sf_dir, "benchmark"), named=True)).where("contaminated"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids and the text they decode to of every row that is left, repeated ones each; a NULL text gives no ids and an empty text."""
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
