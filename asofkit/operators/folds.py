@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -149,3 +150,38 @@ def inner_holdouts(df: DataFrame, folds: DataFrame, p: Pool) -> DataFrame:
     reason = F.when(F.col("n_years") < MIN_INNER_YEARS, "too_few_years").when(
         F.col("n_inner_train") < MIN_INNER_TRAIN_ROWS, "too_few_rows")
     return out.withColumn("reason_unusable", reason).withColumn("usable", reason.isNull())
+
+
+# ---------------------------------------------------------------- folds as marks on rows
+
+@dataclass(frozen=True)
+class FoldSpan:
+    """One fold and its inner holdout (None where unusable)."""
+
+    test_year: int
+    fit_origin: date
+    inner_year: int | None = None
+    inner_origin: date | None = None
+
+
+def fold_spans(folds: DataFrame, holdouts: DataFrame | None = None) -> list[FoldSpan]:
+    """The fold relations, one row a year, as values that row conditions are built from."""
+    inner = {} if holdouts is None else {r["test_year"]: (r["inner_year"], r["inner_origin"]) for r in holdouts.where("usable").select(
+        "test_year", "inner_year", "inner_origin").collect()}
+    return [FoldSpan(r["test_year"], r["fit_origin"], *inner.get(r["test_year"], ())) for r in folds.select("test_year", "fit_origin").orderBy("test_year").collect()]
+
+
+def trains(spans: Sequence[FoldSpan], p: Pool) -> Column:
+    """The fits that a row trains, as an array: test_year for the fold's own fit, -test_year for the one on its inner training rows.
+
+    Rows stay single however many folds there are.
+    """
+    outer = [F.when((F.col(p.year) < s.test_year) & (F.col(p.safe) <= s.fit_origin), F.lit(s.test_year)) for s in spans]
+    inner = [F.when((F.col(p.year) < s.inner_year) & (F.col(p.safe) <= min(s.inner_origin, s.fit_origin)), F.lit(-s.test_year)) for s in spans if s.inner_year]
+    return F.array_compact(F.array(*outer, *inner)).cast("array<int>")
+
+
+def validates(spans: Sequence[FoldSpan], p: Pool) -> Column:
+    """The folds whose inner holdout validates on this row."""
+    held = [F.when((F.col(p.year) == s.inner_year) & (F.col(p.safe) <= s.fit_origin), F.lit(s.test_year)) for s in spans if s.inner_year]
+    return F.array_compact(F.array(*held)).cast("array<int>")

@@ -166,21 +166,13 @@ def _feature_pool(spark, sf_dir):
         "never_known": F.lit(None).cast("double")})
 
 
-def _splits(pool):
-    """(outer train, inner train, inner validation, test, folds), each with its fold's year."""
-    f = bt.folds(pool)
-    h = fo.inner_holdouts(pool, f, P).where("usable").join(F.broadcast(f.select("test_year", "fit_origin")), "test_year")
-    h = materialise(h)
-    inner = pool.join(F.broadcast(h), (F.col("event_year") < F.col("inner_year")) & (F.col("result_safe_date") <= F.least("inner_origin", "fit_origin")))
-    valid = pool.join(F.broadcast(h), (F.col("event_year") == F.col("inner_year")) & (F.col("result_safe_date") <= F.col("fit_origin")))
-    return fo.train_rows(pool, f, P), inner, valid, fo.test_rows(pool, f, P), f
-
-
 def _linear(spark, sf_dir, candidates, fallback, name):
     pool = feature_pool(spark, sf_dir)
-    outer, inner, valid, test, _ = _splits(pool)
-    fits = materialise(li.select_and_fit(outer, inner, valid, "test_year", "primary_share", DESIGN, candidates, fallback))
-    rows = li.linear_forecasts(test, fits, "test_year", DESIGN, "forecast_unclipped")
+    f = bt.folds(pool)
+    spans = fo.fold_spans(f, fo.inner_holdouts(pool, f, P))
+    rows = pool.withColumns({"__trains": fo.trains(spans, P), "__validates": fo.validates(spans, P)})
+    fits = materialise(li.select_and_fit(rows, "__trains", "__validates", "primary_share", DESIGN, candidates, fallback))
+    rows = li.linear_forecasts(fo.test_rows(pool, f, P), fits, "test_year", DESIGN, "forecast_unclipped")
     return rows.select("event_key", "test_year", F.lit(name).alias("model_id"), F.col("primary_share").alias("actual"),
                        ar.clip("forecast_unclipped", 0.0, 1.0).alias("forecast"), "forecast_unclipped",
                        ar.was_clipped("forecast_unclipped", 0.0, 1.0).alias("was_clipped"))
@@ -207,15 +199,20 @@ def logistic_classifier(spark, sf_dir):
     labels = materialise(la.stress_labels(pool, f, P))
     nested = materialise(la.inner_holdout_labels(pool, fo.inner_holdouts(pool, f, P), f, P))
     feats = pool.select("event_key", *DESIGN.numeric, "segment", "is_repeat")
-    known = labels.where(F.col("label").isNotNull()).withColumn("label", F.col("label").cast("int"))
-    train = materialise(known.where("role = 'train'").join(feats, "event_key"))
-    test = labels.where("role = 'test'").withColumn("label", F.col("label").cast("int")).join(feats, "event_key")  # pending events too
-    inner = nested.where(F.col("label").isNotNull()).withColumn("label", F.col("label").cast("int")).withColumnRenamed("outer_year", "test_year").join(feats, "event_key")
-    inner = materialise(inner)
-    tuned = li.coefficients_table(spark, li.fit_logistic(inner.where("role = 'train'"), "test_year", "label", DESIGN, li.LOGISTIC_CS))
-    chosen = materialise(li.choose_c(inner.where("role = 'validation'"), tuned, "test_year", "label", DESIGN))
-    fits = li.coefficients_table(spark, li.fit_logistic(train, "test_year", "label", DESIGN, li.LOGISTIC_CS))
-    prevalence = train.groupBy(F.col("test_year").alias("fold")).agg(F.avg("label").alias("train_prevalence"))
+    as_int = F.col("label").cast("int").alias("label")
+    known = labels.where("role = 'train' AND label IS NOT NULL").select("event_key", "test_year", as_int)
+    held = nested.where("label IS NOT NULL").select("event_key", F.col("outer_year").alias("test_year"), "role", as_int)
+    test = labels.where("role = 'test'").withColumn("label", as_int).join(feats, "event_key")  # pending events too
+    # One row per event with its label in every fit: the year for a fold, minus the year for its inner training rows.
+    marks = known.unionByName(held.where("role = 'train'").select("event_key", (-F.col("test_year")).alias("test_year"), "label"))
+    years = [r["test_year"] for r in f.select("test_year").orderBy("test_year").collect()]
+    ids = [*years, *[-y for y in years]]
+    wide = marks.groupBy("event_key").agg(*[F.max(F.when(F.col("test_year") == y, F.col("label"))).alias(f"__l{k}") for k, y in enumerate(ids)])
+    fitted = li.fit_logistic(wide.join(feats, "event_key"), {y: F.col(f"__l{k}") for k, y in enumerate(ids)}, DESIGN, li.LOGISTIC_CS)
+    tuned = li.coefficients_table(spark, {(-y, c): w for (y, c), w in fitted.items() if y < 0})
+    chosen = materialise(li.choose_c(held.where("role = 'validation'").join(feats, "event_key"), tuned, "test_year", "label", DESIGN))
+    fits = li.coefficients_table(spark, {(y, c): w for (y, c), w in fitted.items() if y > 0})
+    prevalence = known.groupBy(F.col("test_year").alias("fold")).agg(F.avg("label").alias("train_prevalence"))
     out = li.logistic_forecasts(test, fits, chosen, prevalence, "test_year", DESIGN)
     return out.select("event_key", "test_year", "segment", F.col("label").alias("actual_label"), "predicted_proba", "predicted_label", "train_prevalence", "selected_c", "missing_reason")
 

@@ -25,9 +25,14 @@ def weekly(spark, sf_dir) -> DataFrame:
 
 
 def positions_joined(spark, sf_dir, cutoff: str) -> DataFrame:
-    """Events with the latest position report; contract 4 only has data from 1996 on."""
+    """Events with the latest position report.
+
+    The tables hold no gaps, so one is made by expression: contract 4 is taken as covered from 1996 on, and its earlier values are
+    NULL. No report is left out.
+    """
     ct = an.contracts_long(spark, sf_dir).withColumn("net", ar.net("long_qty", "short_qty"))
-    ct = ct.where((F.col("contract") != 4) | (F.col("observed") >= F.lit("1996-01-01").cast("date")))
+    covered = (F.col("contract") != 4) | (F.col("observed") >= F.lit("1996-01-01").cast("date"))
+    ct = ct.withColumns({c: F.when(covered, F.col(c)) for c in ("open_interest", "net")})
     wide = no.pivot_unique(ct, index="observed", entity="contract", entities=range(6), values=["open_interest", "net"])
     wide = wide.withColumn("friday", F.date_add("observed", 3))
     wide = cal.with_next_business_day(wide, an.calendar(spark), "friday", "safe_date").drop("friday")
