@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import arithmetic as ar
-from ..models import boosting as bo, linear as li
+from ..models import linear as li
 from ..operators import asof, folds as fo, gates as ga, metrics as me, textscan as ts
 from ..session import materialise, scratch_dir, staged
 from ..streaming.adaptive import adaptive_stream
@@ -224,39 +224,6 @@ def stress_classifier_metrics(spark, sf_dir):
     return stats.join(me.average_precision(rows, ["test_year"], proba="predicted_proba", label="actual_label"), "test_year")
 
 
-TREE_COLUMNS = bo.Columns(("log_amount", "regime", "gap_days", "event_month", "weekly_share"), "segment", an.SEGMENTS)
-
-
-def boosted_fits(spark, sf_dir):
-    """Boosted trees of all folds, searched over the full grid and fitted once per session and source."""
-    pool = feature_pool(spark, sf_dir)
-    key = (pool.inputFiles()[0], "boosted")
-    if key not in _FITS:
-        f = bt.folds(pool)
-        _FITS[key] = bo.fit_folds(pool, f, fo.inner_holdouts(pool, f, P), "primary_share", TREE_COLUMNS, P)
-    return _FITS[key]
-
-
-_FITS: dict[tuple, bo.FoldFits] = {}
-
-
-@query("boosted_tree_forecasts")
-def boosted_tree_forecasts(spark, sf_dir):
-    """All folds; the setting of each is the best of the grid on its inner holdout."""
-    fits = boosted_fits(spark, sf_dir)
-    chosen = F.create_map(*[F.lit(x) for y, s in sorted(fits.setting.items()) for x in (y, ":".join(map(str, s)))])
-    used = F.create_map(*[F.lit(x) for y, u in sorted(fits.used_inner.items()) for x in (y, u)])
-    return bo.fold_forecasts(fits).select(F.col("key").alias("event_key"), F.col("year").alias("test_year"), F.col("y").alias("actual"), "forecast",
-                                          chosen[F.col("year")].alias("setting"), used[F.col("year")].alias("used_inner"))
-
-
-@query("leaf_quantile_forecasts")
-def leaf_quantile_forecasts(spark, sf_dir):
-    """Seven quantile levels of all folds by boosted trees on the pinball loss, with the point models' settings."""
-    found = bo.fold_quantiles(boosted_fits(spark, sf_dir))
-    return found.select(F.col("key").alias("event_key"), F.col("year").alias("test_year"), F.col("y").alias("actual"), "quantiles")
-
-
 # ---------------------------------------------------------------- evaluation runner
 
 @query("evaluation_run", sql("pred", """
