@@ -382,18 +382,6 @@ def matrix_digests(spark, sf_dir):
     return content_digest(mx.predictor_matrix(mx.joined(spark, sf_dir)))
 
 
-@query("perturbation_gates", "SELECT * FROM (VALUES ('shuffled', 0), ('future_rows', 0), ('poisoned_outcomes', 0)) t(gate, n_changed)")
-def perturbation_gates(spark, sf_dir):
-    inputs = mx.staged_inputs(spark, sf_dir)
-    base = materialise(mx.matrix_from(*inputs))
-    out = None
-    for name, changed in (("shuffled", mx.shuffled(inputs)), ("future_rows", mx.with_future_rows(inputs)),
-                          ("poisoned_outcomes", mx.poisoned(spark, sf_dir, inputs))):
-        row = ga.changed_rows(base, mx.matrix_from(*changed), key=["event_key", "cutoff_view"]).select(F.lit(name).alias("gate"), "n_changed")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 @query("publishable_matrix", sql("mtx", "SELECT cutoff_view, count(*) AS n, count(weekly_a) AS n_weekly FROM mtx GROUP BY 1"))
 def publishable_matrix(spark, sf_dir):
     """Gates run on the staged copy; only then does it become current."""

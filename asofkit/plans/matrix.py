@@ -96,30 +96,3 @@ def audit_table(table: DataFrame) -> DataFrame:
 
 def matrix_from(events: DataFrame, weekly_rel: DataFrame, macro_rel: DataFrame) -> DataFrame:
     return predictor_matrix(joined_from(events, weekly_rel, macro_rel))
-
-
-# ---------------------------------------------------------------- perturbed inputs for the gates
-
-def staged_inputs(spark, sf_dir):
-    """The three inputs, written once: every rebuild reads them."""
-    return tuple(materialise(df) for df in inputs(spark, sf_dir))
-
-
-def shuffled(given):
-    return tuple(df.repartition(7, F.rand(11)) for df in given)
-
-
-def with_future_rows(given):
-    """Every source gets a release far after the last event."""
-    ev, w, m = given
-    far = F.lit("2004-06-01").cast("date")
-    w2 = w.unionByName(w.limit(1).withColumn("observed", far).withColumn("safe_date", far))
-    m2 = m.unionByName(m.limit(1).withColumn("vintage", far).withColumn("safe_date", far))
-    return ev, w2, m2
-
-
-def poisoned(spark, sf_dir, given):
-    """Outcome columns scrambled on the event side."""
-    _, w, m = given
-    bad = an.outcomes(spark, sf_dir).withColumns({c: F.hash(F.col(c)).cast("double") for c in an.SHARES})
-    return bad, w, m

@@ -63,3 +63,38 @@ def test_the_cube_rolls_up_to_direct_metrics(means):
         want = rows.agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.percentile(F.abs(e), 0.5).alias("med")).first()
         got = cube[(scope, value)]
         assert got["n"] == want["n"] and got["mae"] == pytest.approx(want["mae"]) and got["median_ae"] == pytest.approx(want["med"])
+
+
+# ---------------------------------------------------------------- gates
+
+def _late_history(events, releases, by=()):
+    """A leaky build: an event's own history takes outcomes on the event's day instead of the day they became safe."""
+    return ev.build_table(events.withColumn("result_safe_date", F.date_sub("result_safe_date", 40)), releases, by=by)
+
+
+def _unsafe(source):
+    """A leaky build: one release is used from the day it describes on."""
+    def build(events, releases, by=()):
+        early = releases[source].withColumn(f"{source}__safe_date", F.date_sub(f"{source}__safe_date", 30))
+        return ev.build_table(events, {**releases, source: early}, by=by)
+    return build
+
+
+@pytest.fixture(scope="module")
+def inputs(spark):
+    pool = bt.staged_pool(spark, SF)
+    return pool, {k: v.cache() for k, v in ev.release_tables(spark, SF).items()}
+
+
+def test_an_honest_build_passes_and_reads_every_source(inputs):
+    report = ev.perturbation_report(*inputs, ev.GATE_CUT).cache()
+    ev.require_no_leak(report)
+    assert {r["source"] for r in report.collect()} == {*ev.SOURCES, "history"}
+    assert all(r["n_early"] > 0 and r["n_late_changed"] > 0 for r in report.collect())
+
+
+@pytest.mark.parametrize("source", ["weekly", "macro", "history"])
+def test_a_planted_leak_is_found_and_named(inputs, source):
+    report = ev.perturbation_report(*inputs, ev.GATE_CUT, build=_late_history if source == "history" else _unsafe(source))
+    with pytest.raises(AssertionError, match=f"used: {source}$"):
+        ev.require_no_leak(report)
