@@ -183,10 +183,14 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
     # Equal sets form a class, represented by its smallest row (id, h). Classes, not rows, are joined from here on.
     smallest = lambda c: F.min(c).alias("rep")
     classes = materialise(sketch.where("n > 0").groupBy("n", "d1", "d2").agg(smallest(F.struct("id", "h"))))
-    filled = sketch.where("n > 0").select(F.explode("blocks").alias("block"), F.col("d1").alias("class"))
+    # A class goes by d1. Different sets that share it (as good as never, but possible in a very large corpus) go by all three numbers.
+    alike = classes.groupBy("d1").count().where("count > 1").select("d1")
+    twins = materialise(classes.join(alike, "d1", "left_semi").select("n", "d1", "d2", F.xxhash64("n", "d1", "d2").alias("own")))
+    own_class = lambda rows: rows.join(broadcast_if_small(twins), ["n", "d1", "d2"], "left").withColumn("class", F.coalesce("own", "d1")).drop("own")
+    filled = own_class(sketch.where("n > 0").select("n", "d1", "d2", "blocks")).select(F.explode("blocks").alias("block"), "class")
     met = materialise(filled.groupBy("block").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi"))
-    names = classes.groupBy(F.col("d1").alias("class")).agg(smallest("rep")).select("class", "rep.*")
-    facts = sketch.select("id", "h", F.col("d1").alias("class"), "n", "parity").dropDuplicates(["id", "h", "class"])
+    names = own_class(classes).select("class", "rep.*")
+    facts = own_class(sketch.where("n > 0").select("id", "h", "n", "d1", "d2", "parity")).select("id", "h", "class", "n", "parity").dropDuplicates(["id", "h", "class"])
     names = materialise(names.join(facts, ["id", "h", "class"]))
 
     def side(s: str) -> DataFrame:
@@ -211,8 +215,8 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
     pairs = materialise(x.join(y, "block").where((F.col("component_x") < F.col("component_y")) & open_pair).select(*as_pair).distinct())
     more = _linked(docs, names, pairs.join(tried, ["a", "b"], "left_anti"), shingle, share)
     found = components(links.unionByName(more))
-    placed = materialise(classes.join(found, F.col("d1") == F.col("id"), "left").select(
-        F.col("n").alias("cn"), F.col("d1").alias("c1"), F.col("d2").alias("c2"), "rep", F.coalesce("component", "d1").alias("component")))
+    placed = materialise(own_class(classes).join(found, F.col("class") == F.col("id"), "left").select(
+        F.col("n").alias("cn"), F.col("d1").alias("c1"), F.col("d2").alias("c2"), "rep", F.coalesce("component", "class").alias("component")))
     # Read back from storage, so AQE can split a large component.
     least = materialise(placed.groupBy("component").agg(smallest("rep")))
     homes = materialise(placed.drop("rep").join(least, "component").drop("component"))

@@ -13,8 +13,8 @@ one. Between such points words are independent, and a task remembers the pieces
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -27,6 +27,7 @@ from .common import materialise, row_key, slices
 MARK = "▁"          # fixed value: stands for a blank
 GIANT_CHARS = 1 << 15    # texts beyond this are cut into chunks
 CHUNK_CHARS = 1 << 13
+FAN = 64  # neighbouring chunks that one row of the scan holds
 MEMO_WORDS = 500_000     # words whose pieces a worker remembers (some 20 MB); emptied when full
 SLICE_BYTES = 4 << 20    # text encoded at once: few, large lookups
 UNIT = 1024              # scores are held as whole numbers of this part, so that sums do not depend on their order
@@ -283,28 +284,76 @@ def whole_ids(memo: WordMemo, traced: list[tuple[int, list[int], str, list[int]]
     return [np.concatenate([np.array(head, np.int32), flat[a:b], np.array(tail, np.int32)]) for (_, head, _, tail), a, b in zip(traced, at[:-1], at[1:])]
 
 
-def entry_scores(matrices: list[np.ndarray]) -> list[np.ndarray]:
-    """Best score of every entry state of each chunk: the exclusive scan of the max-plus products, as vectors."""
-    size = matrices[0].shape[0]
-    now = np.full(size, NEVER, np.int64)
-    now[0] = 0
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Max-plus product of two transfer matrices (entry state x exit state); associative."""
+    usable = (a[:, :, None] > NEVER) & (b[None] > NEVER)
+    return np.where(usable, a[:, :, None] + b[None], NEVER).max(axis=1)
+
+
+def entry_scores(matrices: list[np.ndarray], now: np.ndarray | None = None) -> list[np.ndarray]:
+    """Best score of every entry state of each chunk, from those of the first chunk (state 0 alone if not given)."""
+    if now is None:
+        now = np.full(matrices[0].shape[0], NEVER, np.int64)
+        now[0] = 0
     out = []
     for m in matrices:
         out.append(now)
-        usable = (now[:, None] > NEVER) & (m > NEVER)
-        now = np.where(usable, now[:, None] + m, NEVER).max(axis=0)
+        now = product(now[None], m)[0]
     return out
 
 
-def exit_states(maps: list[np.ndarray]) -> list[int]:
-    """Exit state of each chunk: the text ends in state 0; the entry state of a chunk is the exit state of the one before."""
-    out, state = [], 0
+def exit_states(maps: list[np.ndarray], state: int = 0) -> list[int]:
+    """Exit state of each chunk, from that of the last; the entry state of a chunk is the exit state of the one before."""
+    out = []
     for m in reversed(maps):
         out.append(state)
         state = int(m[state])
     return out[::-1]
 
 
+Fold = Callable[[list[np.ndarray]], np.ndarray]
+Unfold = Callable[[list[np.ndarray], list[int] | None], list[list[int]]]
+
+
+def blocked_scan(items: DataFrame, fold: Fold, unfold: Unfold, fan: int = 0) -> DataFrame:
+    """(id, h, k, v): the scan of `items` (id, h, k, m array<long>) per text (id, h) in the order of k, for an associative `fold`.
+
+    Up: runs of `fan` neighbours are folded to one item, level by level, until a text is one item. Down: `unfold` gives every
+    member of a run its value from the run's own value (None for the whole text). A row holds `fan` items at most, and runs of one
+    text go to different tasks.
+    """
+    fan = fan or FAN
+    schema = "id long, h long, k long, {} array<long>"
+
+    def runs(level: DataFrame) -> DataFrame:
+        return level.groupBy("id", "h", F.expr(f"k div {fan}").alias("run")).agg(F.sort_array(F.collect_list(F.struct("k", "m"))).alias("rows"))
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                one = fold([np.array(x["m"], np.int64) for x in r["rows"]])
+                yield pa.RecordBatch.from_arrays([pa.array([r["id"]]), pa.array([r["h"]]), pa.array([r["run"]]), pa.array([one.tolist()], pa.list_(pa.int64()))], ["id", "h", "k", "m"])
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                values = unfold([np.array(x["m"], np.int64) for x in r["rows"]], r.get("v"))
+                n = len(values)
+                yield pa.RecordBatch.from_arrays([pa.array([r["id"]] * n), pa.array([r["h"]] * n), pa.array([x["k"] for x in r["rows"]]), pa.array(values, pa.list_(pa.int64()))],
+                                                 ["id", "h", "k", "v"])
+
+    levels = [items]
+    while (levels[-1].agg(F.max("k")).first()[0] or 0) >= fan:
+        levels.append(materialise(runs(levels[-1]).mapInArrow(up, schema.format("m"))))
+    found = None
+    for level in reversed(levels):
+        rows = runs(level)
+        if found is not None:
+            rows = rows.join(found.withColumnRenamed("k", "run"), ["id", "h", "run"])
+        found = materialise(rows.mapInArrow(down, schema.format("v")))
+    return found
+
+
 def _giant_ids(giants: DataFrame, path: str) -> DataFrame:
     """(id, h, ids) of giant texts."""
     reach = model_at(path).longest - 1
@@ -333,26 +382,17 @@ def _giant_ids(giants: DataFrame, path: str) -> DataFrame:
     longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
     keys = "id long, h long, k long"
     run, out = per_chunk(lambda cs, rs: [c.matrix().ravel() for c in cs], f"{keys}, m array<long>", ["id", "h", "k", "m"], longs)
-    matrices = chunks.mapInArrow(run, out)
-
-    def scan(merge, kind):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for r in batch.to_pylist():
-                    values = merge([np.array(x["m"], np.int64) for x in r["rows"]])
-                    n = len(values)
-                    yield pa.RecordBatch.from_arrays([pa.array([r["id"]] * n), pa.array([r["h"]] * n), pa.array([x["k"] for x in r["rows"]]), pa.array(values, kind)],
-                                                     ["id", "h", "k", "v"])
-        return run
-
-    def by_text(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("k", "m"))).alias("rows"))
-
     size = reach + 1
-    entry = materialise(by_text(matrices).mapInArrow(scan(lambda ms: entry_scores([m.reshape(size, size) for m in ms]), longs), f"{keys}, v array<long>"))
+    square = lambda ms: [m.reshape(size, size) for m in ms]
+    entry = blocked_scan(
+        materialise(chunks.mapInArrow(run, out)), lambda ms: reduce(product, square(ms)).ravel(),
+        lambda ms, v: [x.tolist() for x in entry_scores(square(ms), None if v is None else np.array(v, np.int64))])
     known = chunks.join(entry.withColumnRenamed("v", "entry"), ["id", "h", "k"])
     run, out = per_chunk(lambda cs, rs: [c.entries(np.array(r["entry"], np.int64)) for c, r in zip(cs, rs)], f"{keys}, m array<long>", ["id", "h", "k", "m"], longs)
-    exits = materialise(by_text(known.mapInArrow(run, out)).mapInArrow(scan(exit_states, pa.int64()), f"{keys}, v long"))
+    # Entry state by exit state: maps of neighbours are put one into the other, from the last chunk of a text to the first.
+    exits = blocked_scan(
+        materialise(known.mapInArrow(run, out)), lambda ms: reduce(lambda a, b: np.where(b >= 0, a[b], -1), ms),
+        lambda ms, v: [[x] for x in exit_states(ms, 0 if v is None else v[0])]).select("id", "h", "k", F.col("v")[0].alias("v"))
     run, out = per_chunk(lambda cs, rs: whole_ids(memo_at(path), [c.trace(np.array(r["entry"], np.int64), r["exit"]) for c, r in zip(cs, rs)]), f"{keys}, ids array<int>", ["id", "h", "k", "ids"], ints)
     traced = known.join(exits.withColumnRenamed("v", "exit"), ["id", "h", "k"]).mapInArrow(run, out)
     return traced.groupBy("id", "h").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
