@@ -92,7 +92,3 @@ def predictor_matrix(table: DataFrame) -> DataFrame:
 def audit_table(table: DataFrame) -> DataFrame:
     """Provenance of every predictor, kept apart from the predictors."""
     return table.select("event_key", "cutoff_view", *sorted(c for c in table.columns if "__" in c))
-
-
-def matrix_from(events: DataFrame, weekly_rel: DataFrame, macro_rel: DataFrame) -> DataFrame:
-    return predictor_matrix(joined_from(events, weekly_rel, macro_rel))
