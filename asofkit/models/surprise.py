@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.folds import Pool, cells, cells_by_fold, cells_by_pair
 
-_SUMS = ["n", "sy", "sx", "sxy", "sxx", "m", "my", "mx", "sr", "srr", "sry", "srx"]
+SUMS = ["n", "sy", "sx", "sxy", "sxx", "m", "my", "mx", "sr", "srr", "sry", "srx"]
 
 
 def surprise_cells(df: DataFrame, p: Pool, regime: str) -> DataFrame:
@@ -28,16 +28,16 @@ def surprise_cells(df: DataFrame, p: Pool, regime: str) -> DataFrame:
     ])
 
 
-def _merged() -> list[Column]:
-    return [F.sum(c).alias(c) for c in _SUMS]
+def merged_sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in SUMS]
 
 
 def group_sums_by_fold(cell: DataFrame, folds: DataFrame, p: Pool) -> DataFrame:
-    return cells_by_fold(cell, folds, p, [p.segment, p.repeat], _merged())
+    return cells_by_fold(cell, folds, p, [p.segment, p.repeat], merged_sums())
 
 
 def group_sums_by_pair(cell: DataFrame, pairs: DataFrame, p: Pool) -> DataFrame:
-    return cells_by_pair(cell, pairs, p, [p.segment, p.repeat], _merged())
+    return cells_by_pair(cell, pairs, p, [p.segment, p.repeat], merged_sums())
 
 
 def fit_surprise(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -46,7 +46,7 @@ def fit_surprise(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     Rows without a regime take the training mean of the regime (the overall mean when no row
     has one). Rank-deficient designs get the minimum-norm slopes.
     """
-    total = sums.groupBy(*keys).agg(*_merged())
+    total = sums.groupBy(*keys).agg(*merged_sums())
     ybar = F.col("sy") / F.col("n")
     total = total.withColumn("global_mean", ybar).withColumn(
         "regime_fallback", F.coalesce(F.try_divide("sr", "m"), ybar))

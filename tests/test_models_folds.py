@@ -233,3 +233,66 @@ def test_rows_that_train_several_fits_are_read_once(pool):
     assert members == {(r["f"], r["event_key"]) for r in copies.where("f > 0").select("f", "event_key").collect()}
     held = df.withColumn("v", F.explode(fo.validates(spans, P))).groupBy("v").count().collect()
     assert {r["v"]: r["count"] for r in held} == {r["test_year"]: r["n_inner_validation"] for r in fo.inner_holdouts(df, folds(df), P).where("usable").collect()}
+
+
+# ---------------------------------------------------------------- the walk-forward protocol
+
+def test_surprise_and_shrinkage_by_the_protocol(pool):
+    from asofkit.models import walkforward as wf
+    _, df = pool
+    f = folds(df)
+    near = lambda a, b, c: (a.join(b.select(*[x for x in a.columns if x in ("event_key", "test_year", "inner_year")], F.col(c).alias("other")),
+                                   [x for x in a.columns if x in ("event_key", "test_year", "inner_year")], "full").where(
+        f"NOT (({c} IS NULL AND other IS NULL) OR abs({c} - other) < 1e-9)").count())
+    assert near(wf.walk_forward(df, f, P, wf.Surprise(P, "regime")), su.walk_forward_surprise(df, f, P, "regime"), "expected") == 0
+    inside = wf.walk_forward_inside(df.where("primary_share IS NOT NULL"), f, P, wf.Surprise(P, "regime"))
+    assert near(inside.where("surprise IS NOT NULL"), la.cross_fitted_surprise(df, f, P), "surprise") == 0
+    assert near(wf.walk_forward(df, f, P, wf.ShrunkMeans(P)), sh.shrinkage_forecasts(fo.test_rows(df, f, P), sh.shrunk_means(df, f, P), P), "shrinkage") == 0
+
+
+def test_an_estimator_of_ones_own(pool):
+    """A trend per segment from partial sums by mapInArrow, forward and inside folds, against least squares."""
+    import pyarrow as pa
+    from asofkit.models import walkforward as wf
+    pdf, df = pool
+
+    class Trend(wf.Estimator):
+        groups = ("segment",)
+
+        def cells(self, rows, p):
+            def sums(batches):
+                for b in batches:
+                    t = b.to_pandas()
+                    t = t.assign(n=1.0, xy=t["x"] * t["y"], xx=t["x"] ** 2).groupby(["segment", "event_year", "result_safe_date"], as_index=False)[["n", "x", "y", "xy", "xx"]].sum()
+                    yield pa.RecordBatch.from_pandas(t, preserve_index=False)
+            few = rows.where(F.col(p.value).isNotNull()).select("segment", "event_year", "result_safe_date", F.ln("amount").alias("x"), F.col(p.value).alias("y"))
+            return few.mapInArrow(sums, "segment string, event_year long, result_safe_date date, n double, x double, y double, xy double, xx double")
+
+        def merged(self):
+            return [F.sum(c).alias(c) for c in ("n", "x", "y", "xy", "xx")]
+
+        def fit(self, sums, keys):
+            slope = (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / (F.col("n") * F.col("xx") - F.col("x") * F.col("x"))
+            return sums.withColumn("slope", slope).select(*keys, "segment", "slope", ((F.col("y") - F.col("slope") * F.col("x")) / F.col("n")).alias("level"))
+
+        def transform(self, rows, params, p, keys):
+            return rows.join(params, [*keys, "segment"], "left").withColumn("forecast", F.col("level") + F.col("slope") * F.ln("amount"))
+
+    f = folds(df)
+    got = {r["event_key"]: r["forecast"] for r in wf.walk_forward(df, f, P, Trend()).collect()}
+    train, test, _ = fold_of(pdf, 2018)
+    train = train.dropna(subset=["primary_share"])
+    for s in "abc":
+        own = train[train["segment"] == s]
+        slope, level = np.polyfit(np.log(own["amount"]), own["primary_share"], 1)
+        for r in test[test["segment"] == s].itertuples():
+            assert got[r.event_key] == pytest.approx(level + slope * np.log(r.amount), abs=1e-9)
+    inside = wf.walk_forward_inside(df, f, P, Trend()).where("test_year = 2018 AND inner_year = 2016").toPandas()
+    year = train.loc[train["event_year"] == 2016, "announcement_cutoff"].min()
+    base = train[(train["event_year"] < 2016) & (train["result_safe_date"] <= year)]
+    assert len(inside) > 0
+    for s in "abc":
+        own = base[base["segment"] == s]
+        slope, level = np.polyfit(np.log(own["amount"]), own["primary_share"], 1)
+        part = inside[inside["segment"] == s]
+        np.testing.assert_allclose(part["forecast"], level + slope * np.log(part["amount"]), atol=1e-9)
