@@ -17,37 +17,58 @@ from .asof import asof_join_cutoffs
 
 # ---------------------------------------------------------------- series features
 
-def _series(by: Sequence[str], on: str):
-    return Window.partitionBy(*by).orderBy(on)
+def _series_chunk(df: DataFrame, on: str) -> Column:
+    """Default pieces of a series: calendar years of a day or time, else 4,096 steps of a number."""
+    kind = df.schema[on].dataType.typeName()
+    return F.year(on) if kind in ("date", "timestamp", "timestamp_ntz") else F.floor(F.col(on) / 4096)
 
 
-def lag_changes(df: DataFrame, *, by: Sequence[str], on: str, value: str, lags: dict[int, str]) -> DataFrame:
-    """x - x[n observed rows earlier] for each n."""
-    w = _series(by, on)
-    return df.select("*", *[(F.col(value) - F.lag(value, n).over(w)).alias(out) for n, out in lags.items()])
+def _in_chunks(df: DataFrame, by: Sequence[str], on: str, value: str, n: int, chunk: Column | None):
+    """`df` with the n rows before each chunk put in front of it (`__before`), and the window over one chunk.
+
+    A window that looks back n rows at most gives every row of a chunk what the window over the whole series gives, and a long series
+    is as many tasks as it has chunks. `chunk` must not decrease along `on`.
+    """
+    marked = df.withColumn("__chunk", chunk if chunk is not None else _series_chunk(df, on))
+    tails = _carried_tails(marked.select(*by, "__chunk", on, value), by, [on], F.struct(on, value), n)
+    last = F.slice("__carry", F.greatest(F.size("__carry") - n + 1, F.lit(1)), n)
+    before = tails.select(*by, "__chunk", F.explode(last).alias("__row")).select(*by, "__chunk", f"__row.{on}", f"__row.{value}", F.lit(True).alias("__before"))
+    rows = marked.withColumn("__before", F.lit(False)).unionByName(before, allowMissingColumns=True)
+    return rows, Window.partitionBy(*by, "__chunk").orderBy(on)
+
+
+def _out_of_chunks(rows: DataFrame) -> DataFrame:
+    return rows.where(~F.col("__before")).drop("__chunk", "__before")
+
+
+def lag_changes(df: DataFrame, *, by: Sequence[str], on: str, value: str, lags: dict[int, str], chunk: Column | None = None) -> DataFrame:
+    """x - x[n observed rows earlier] for each n. Series run in chunks, see `_in_chunks`."""
+    rows, w = _in_chunks(df, by, on, value, max(lags), chunk)
+    return _out_of_chunks(rows.select("*", *[(F.col(value) - F.lag(value, n).over(w)).alias(out) for n, out in lags.items()]))
 
 
 def past_zscore(
-    df: DataFrame, *, by: Sequence[str], on: str, value: str, out: str, window: int = 52, min_periods: int = 13
+    df: DataFrame, *, by: Sequence[str], on: str, value: str, out: str, window: int = 52, min_periods: int = 13, chunk: Column | None = None,
 ) -> DataFrame:
-    """(x - mean) / std over up to `window` strictly earlier rows; NULL before min_periods."""
-    w = _series(by, on).rowsBetween(-window, -1)
+    """(x - mean) / std over up to `window` strictly earlier rows; NULL before min_periods. Series run in chunks."""
+    rows, inside = _in_chunks(df, by, on, value, window, chunk)
+    w = inside.rowsBetween(-window, -1)
     enough = F.count(value).over(w) >= min_periods
     score = F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w))
-    return df.withColumn(out, F.when(enough, score))
+    return _out_of_chunks(rows.withColumn(out, F.when(enough, score)))
 
 
 def realised_volatility(
-    df: DataFrame, *, by: Sequence[str], on: str, value: str, windows: dict[int, str], scale: float = 100.0
+    df: DataFrame, *, by: Sequence[str], on: str, value: str, windows: dict[int, str], scale: float = 100.0, chunk: Column | None = None,
 ) -> DataFrame:
-    """Std of the n changes before today's, all n needed."""
-    w = _series(by, on)
-    step = df.withColumn("__step", (F.col(value) - F.lag(value, 1).over(w)) * scale)
+    """Std of the n changes before today's, all n needed. Series run in chunks."""
+    rows, w = _in_chunks(df, by, on, value, max(windows) + 1, chunk)
+    step = rows.withColumn("__step", (F.col(value) - F.lag(value, 1).over(w)) * scale)
     cols = []
     for n, out in windows.items():
         frame = w.rowsBetween(-n, -1)
         cols.append(F.when(F.count("__step").over(frame) >= n, F.stddev_samp("__step").over(frame)).alias(out))
-    return step.select("*", *cols).drop("__step")
+    return _out_of_chunks(step.select("*", *cols).drop("__step"))
 
 
 # ---------------------------------------------------------------- one slot per (group, date)

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import numpy as np
 import pandas as pd
@@ -115,3 +116,39 @@ def test_weighted_quantiles_equal_repeated_values(spark):
     got = qt.weighted_quantiles(spark.createDataFrame(pdf), by=["g"], value="x", weight="w", probs=[0.1, 0.5, 0.9],
                                 chunk=F.floor(F.col("x") * 7)).first()["quantiles"]
     np.testing.assert_allclose(got, np.quantile(np.repeat(pdf["x"], pdf["w"]), [0.1, 0.5, 0.9]))
+
+
+def test_series_in_chunks_equal_the_window_over_the_whole_series(spark):
+    """Lags, scores and volatility over chunk borders, with chunks shorter than the window and missing values."""
+    from pyspark.sql import Window
+    r = random.Random(4)
+    rows = [(s, t, None if r.random() < 0.1 else r.gauss(0, 1)) for s in ("a", "b", None) for t in sorted(r.sample(range(-3000, 3000), 400))]
+    df = spark.createDataFrame(rows, "s string, t int, v double").repartition(4)
+    w = Window.partitionBy("s").orderBy("t")
+    step = (F.col("v") - F.lag("v", 1).over(w)) * 100
+    frame, back = w.rowsBetween(-20, -1), w.rowsBetween(-7, -1)
+    want = df.withColumn("st", step).select(
+        "s", "t", (F.col("v") - F.lag("v", 1).over(w)).alias("c1"), (F.col("v") - F.lag("v", 9).over(w)).alias("c9"),
+        F.when(F.count("v").over(frame) >= 5, F.try_divide(F.col("v") - F.avg("v").over(frame), F.stddev_samp("v").over(frame))).alias("z"),
+        F.when(F.count("st").over(back) >= 7, F.stddev_samp("st").over(back)).alias("vol"))
+    want = {(x["s"], x["t"]): x for x in want.collect()}
+    for size in (10, 150, 100_000):
+        chunk = F.floor(F.col("t") / size)
+        out = ro.lag_changes(df, by=["s"], on="t", value="v", lags={1: "c1", 9: "c9"}, chunk=chunk)
+        out = ro.past_zscore(out, by=["s"], on="t", value="v", out="z", window=20, min_periods=5, chunk=chunk)
+        out = ro.realised_volatility(out, by=["s"], on="t", value="v", windows={7: "vol"}, chunk=chunk)
+        assert out.columns == ["s", "t", "v", "c1", "c9", "z", "vol"]
+        got = out.collect()
+        assert len(got) == len(rows)
+        for x in got:
+            for c in ("c1", "c9", "z", "vol"):
+                a, b = x[c], want[(x["s"], x["t"])][c]
+                assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-9)
+
+
+def test_one_long_series_is_many_tasks(spark):
+    df = spark.range(200_000).select(F.lit("s").alias("s"), F.col("id").alias("t"), (F.col("id") % 97).cast("double").alias("v"))
+    out = ro.lag_changes(df, by=["s"], on="t", value="v", lags={5: "c"})
+    assert out.where("t >= 5 AND c IS NULL").count() == 0 and out.where("t < 5 AND c IS NOT NULL").count() == 0
+    keys = [line for line in out._jdf.queryExecution().toString().splitlines() if "hashpartitioning(s" in line]
+    assert any("__chunk" in line for line in keys)
