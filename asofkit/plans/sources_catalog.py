@@ -541,3 +541,32 @@ WITH r AS (SELECT sha256('{{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o
 SELECT count(*) AS n_rows, sha256('o_orderkey:bigint|o_custkey:bigint|o_orderstatus:string|o_orderpriority:string|' || sha256(concat_ws(':', count(*), {_LIMBS}))) AS digest FROM r"""))
 def content_digest(spark, sf_dir):
     return si.content_digest(an.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+
+
+@query("snapshot_store_days", """
+SELECT r.retrieved, r.version, count(*) AS n_rows, round(sum(o_totalprice), 2) AS total, 'accepted' AS redelivery, 'refused' AS changed
+FROM orders, (VALUES ('1997-12-31', 1), ('1999-12-31', 2), ('2001-12-31', 3)) r(retrieved, version)
+WHERE CAST(o_orderdate AS DATE) <= CAST(r.retrieved AS DATE) GROUP BY 1, 2""")
+def snapshot_store_days(spark, sf_dir):
+    """Three retrieval days of the orders known by then are stored; each is delivered again, equal and with one price changed."""
+    import uuid
+
+    from ..session import scratch_dir
+    from ..sources.store import SnapshotConflict, SnapshotStore
+
+    store = SnapshotStore(spark, f"{scratch_dir(spark)}/snapshots/{uuid.uuid4().hex}")
+    orders = an.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"), "o_totalprice")
+    said = []
+    for day in ("1997-12-31", "1999-12-31", "2001-12-31"):
+        known = orders.where(F.col("day") <= F.lit(day).cast("date"))
+        version = store.put(known, day)
+        again = store.put(known.repartition(3), day) == version
+        try:
+            store.put(known.withColumn("o_totalprice", F.col("o_totalprice") + F.when(F.col("o_orderkey") % 97 == 1, 1).otherwise(0)), day)
+            changed = "accepted"
+        except SnapshotConflict:
+            changed = "refused"
+        said.append((day, version, "accepted" if again else "refused", changed))
+    facts = spark.createDataFrame(said, "retrieved string, version int, redelivery string, changed string")
+    sums = store.history().groupBy("retrieved").agg(F.count("*").alias("n_rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return sums.join(F.broadcast(facts), "retrieved").select("retrieved", "version", "n_rows", "total", "redelivery", "changed")
