@@ -422,18 +422,24 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """One row per row of `encoded`: doc_id, ids, text. A mark that was in a text comes back as a blank."""
+    """One row per row of `encoded`: doc_id, ids, text. A mark that was in a text comes back as a blank; NULL or no ids give an empty text."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_at(path)
-        raw = np.array([bytes([model.byte_of[k]]) if k in model.byte_of else s.encode() for k, s in enumerate(model.surfaces)], object)
+        raw = pa.array([bytes([model.byte_of[k]]) if k in model.byte_of else s.encode() for k, s in enumerate(model.surfaces)], pa.large_binary())
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 lists = part.column("ids")
                 at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                flat = raw[lists.flatten().to_numpy()]
-                texts = [b"".join(flat[a:b]).decode("utf-8", "replace").replace(MARK, " ")[1:] for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+                pieces = raw.take(lists.flatten())
+                ends = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1) if len(pieces) else np.zeros(1, np.int64)
+                # Pieces lie one after the other, so texts are stretches of the same bytes.
+                joined = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends[at].copy()), pieces.buffers()[2] or pa.py_buffer(b"")])
+                try:
+                    texts = pc.utf8_slice_codeunits(pc.replace_substring(joined.cast(pa.large_string()), MARK, " "), 1).cast(pa.string())
+                except pa.ArrowInvalid:  # bytes that are no UTF-8
+                    texts = pa.array([b.decode("utf-8", "replace").replace(MARK, " ")[1:] for b in joined.to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, texts], ["doc_id", "ids", "text"])
 
     return encoded.mapInArrow(decode, "doc_id long, ids array<int>, text string")

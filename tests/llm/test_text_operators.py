@@ -474,6 +474,18 @@ def test_sentencepiece_documents(docs, corpus, no_docs, monkeypatch):
     assert encode_documents(no_docs, PIECES).count() == 0
 
 
+def test_decoding_missing_ids_and_bytes_that_are_no_text(spark):
+    model = Model(PIECES)
+    byte = {b: k for k, b in model.byte_of.items()}
+    whole = [int(k) for k in model.segment(marked("plain words"))[0]]
+    odd = [whole[0], byte[0xE2], byte[0x96], whole[-1], byte[0xFF]] if {0xE2, 0x96, 0xFF} <= set(byte) else whole
+    rows = [(1, whole), (2, None), (3, []), (4, odd), (5, [byte[b] for b in "é".encode()] if {0xC3, 0xA9} <= set(byte) else []), (None, whole)]
+    got = {r["doc_id"]: r for r in decode_documents(spark.createDataFrame(rows, "doc_id long, ids array<int>"), PIECES).collect()}
+    for i, ids in rows:
+        want = b"".join(bytes([model.byte_of[k]]) if k in model.byte_of else model.surfaces[k].encode() for k in ids or []).decode("utf-8", "replace").replace("\u2581", " ")[1:]
+        assert got[i]["text"] == want and got[i]["ids"] == ids
+
+
 @pytest.mark.parametrize("fan", [2, 3])
 def test_a_scan_in_levels_gives_the_same_ids(docs, corpus, monkeypatch, fan):
     """Chunks of a text are folded over several levels, so that no row holds all of them."""
