@@ -520,9 +520,80 @@ def test_max_plus_chunks_give_the_whole_text_path():
             assert ids == whole and score == best_path(model, text)
 
 
-def test_every_template_is_a_candidate():
-    from asofkit.llm.licences import STEMS, TEMPLATES
-    assert all(any(s in t.lower() for s in STEMS) for ts in TEMPLATES.values() for t in ts)
+def test_template_pairs_are_those_of_the_columns(spark):
+    from asofkit.llm import licences as lc
+    for name in lc.FAMILIES:
+        rows = spark.createDataFrame([(t,) for t in lc.TEMPLATES[name]], "t string").select(F.explode(lc.bigrams(lc.words_of(F.col("t")))).alias("p"))
+        assert {r["p"] for r in rows.collect()} == set(lc._template_pairs(name)), name
+
+
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    from asofkit.llm import licences as lc
+    docs = spark.createDataFrame([(k, ".\n".join(" ".join(prose(k * 9 + j, 12)) for j in range(6))) for k in range(60)], "doc_id long, text string")
+    return docs, lc.train(docs)
+
+
+def test_paraphrases_unseen_licences_and_prose(spark, licence_model, monkeypatch):
+    """Recall and precision on notices that are no template, on licences of no family, and on prose with licence words."""
+    from asofkit.llm import licences as lc
+    docs, trained = licence_model
+    monkeypatch.setattr(lc, "train", lambda *a: trained)
+    said = {
+        "mit": ["This project is released under the MIT License.", "Code is licensed under the MIT license, see LICENSE.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this library and associated files",
+                "The above copyright notice and this permission notice shall be included in all copies of the Software."],
+        "apache-2.0": ["This module is licensed under the Apache License, Version 2.0 (the License)", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0 today",
+                       "software distributed under the License is distributed on an AS IS BASIS"],
+        "gpl": ["This tool is licensed under the GNU General Public License, version 3 or later", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3",
+                "but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY"],
+        "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted", "Redistributions in binary form must reproduce the above copyright notice"],
+        "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+        "epl-2.0": ["made available under the terms of the Eclipse Public License 2.0 which is here"], "cc-by-sa": ["licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
+        "mpl-2.0": ["This file is subject to the terms of the Mozilla Public License, v. 2.0."], "unlicense": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"],
+        "unknown": ["Licensed under the Wombat Public Licence, edition 7.", "You may copy this work for any purpose as long as this notice stays.", "Use of these files is subject to the terms of the end user agreement of Acme.",
+                    "Licensed under the terms of the Hobbit Free Licence."],
+        "": ["He asked for permission to open the window.", "The license plate was yellow.", "We keep copies of the software manual in the library room.", "The warranty on the fridge ends in May.",
+             "The public may visit the castle for free."]}
+    rows = [(k, t) for k, t in enumerate(t for ts in said.values() for t in ts)]
+    want = [f for f, ts in said.items() for _ in ts]
+    got = {r["doc_id"]: r for r in licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    guess = [got[k]["licences"] or ("unknown" if got[k]["n_unknown"] else "") for k, _ in rows]
+    told = [(g, w, t) for g, w, (_, t) in zip(guess, want, rows)]
+    named = [(g, w) for g, w, _ in told if w not in ("", "unknown")]
+    assert sum(g == w for g, w in named) >= 0.9 * len(named), told
+    precise = [(g, w) for g, w, _ in told if g not in ("", "unknown")]
+    assert sum(g == w for g, w in precise) >= 0.9 * len(precise), told
+    assert sum(g == "unknown" for g, w, _ in told if w == "unknown") >= 3, told
+    assert all(g == "" for g, w, _ in told if w == ""), told
+
+
+def test_scores_equal_the_model_written_out(spark, licence_model, monkeypatch):
+    """Prediction, probability and confirmation of every paragraph from the coefficients, in plain Python."""
+    from pyspark.ml.feature import HashingTF
+    from asofkit.llm import licences as lc
+    docs, (model, temperature, least) = licence_model
+    monkeypatch.setattr(lc, "train", lambda *a: (model, temperature, least))
+    notes = [(500 + k, t + " " + " ".join(prose(k, 4))) for k, t in enumerate(x for f in ("mit", "gpl", "zlib") for x in lc.TEMPLATES[f])] + [(600 + k, t) for k, t in enumerate(lc.OTHER + lc.PLAIN)]
+    df = spark.createDataFrame(notes, "doc_id long, text string")
+    got = {(r["id"], r["place"]): r for r in lc.licence_findings(df).collect()}
+    index = HashingTF(numFeatures=lc.FEATURES).indexOf
+    weights, offset = model.coefficientMatrix.toArray(), np.array(model.interceptVector)
+    seen = set()
+    for i, text in notes:
+        for place, part in enumerate(p for p in re.split(r"\n+|(?<=[.;!?])[ \t\r]+", text) if p):
+            words = [w for w in re.split(r"[^\w.-]+|\.+$|\.+(?=[^\w])", part.lower().replace("_", " ")) if w]
+            pairs = words if len(words) == 1 else [" ".join(x) for x in zip(words, words[1:])]
+            raw = offset + weights[:, sorted({index(g) for g in words + pairs})].sum(1)
+            best = int(raw.argmax())
+            if best == lc.PROSE:
+                continue
+            p = 1 / np.exp((raw - raw.max()) / temperature).sum()
+            shared = len(set(pairs) & set(lc._template_pairs(lc.FAMILIES[best]))) / max(len(set(pairs)), 1) if best < lc.UNKNOWN else 0.0
+            family = lc.FAMILIES[best] if best < lc.UNKNOWN and p >= least and shared >= lc.LEAST_SHARED else "unknown"
+            r = got[(i, place)]
+            assert r["family"] == family and r["probability"] == pytest.approx(p, abs=1e-9) and r["shared"] == pytest.approx(shared)
+            seen.add((i, place))
+    assert seen == set(got) and len({r["family"] for r in got.values()}) >= 4
 
 
 def test_licences(spark, docs, no_docs):
@@ -532,7 +603,7 @@ def test_licences(spark, docs, no_docs):
              (105, "Licensed under the Frobnicate Community Licence of 1999 by the guild of bakers, all uses but baking granted.")]
     got = {r["doc_id"]: r for r in licence_scan(spark.createDataFrame(plain + notes, "doc_id long, text string")).collect()}
     assert {i: got[i]["licences"] for i in (100, 101, 102, 103, 104)} == {100: "mit", 101: "apache-2.0", 102: "gpl", 103: "", 104: ""}
-    assert got[105]["licences"] == "" and all(got[k]["licences"] == "" for k, _ in plain)
+    assert got[105]["licences"] == "" and got[105]["n_unknown"] >= 1 and all(got[k]["licences"] == "" for k, _ in plain)
     assert licence_scan(docs).count() == docs.count() and licence_scan(no_docs).count() == 0
 
 
