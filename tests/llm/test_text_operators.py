@@ -607,12 +607,11 @@ def test_licences(spark, docs, no_docs):
     assert licence_scan(docs).count() == docs.count() and licence_scan(no_docs).count() == 0
 
 
-def test_paragraphs_without_a_stem_are_scored(spark):
-    from asofkit.llm.licences import has_stem
+def test_every_paragraph_is_scored(spark):
+    """Notices without any of the usual words are found as well."""
     notices = ["to any person obtaining a copy of this software and associated documentation files", "Available under CC BY-NC 4.0."]
     rows = [(k, "\n".join([" ".join(prose(400 + k, 12)) for _ in range(5)])) for k in range(60)]
     rows += [(100, notices[0]), (101, rows[0][1] + "\n" + notices[1])]
-    assert not spark.createDataFrame([(t,) for t in notices], "t string").where(has_stem(F.col("t"))).count()
     got = {r["doc_id"]: (r["licences"], r["n_confirmed"] + r["n_unknown"]) for r in licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[100] == ("mit", 1) and got[101][1] == 1
     assert sum(n for i, (_, n) in got.items() if i < 100) == 0
