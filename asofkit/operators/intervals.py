@@ -8,27 +8,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 
-def _whole(low: Column, high: Column, levels: int) -> Column:
-    """Aligned bins (level, number) of sizes 1, 2, 4 .. 2^(levels - 1) that cover the whole numbers low..high exactly, at most two per level.
+def _whole(low: Column, high: Column, levels: int) -> list[tuple[int, Column, Column]]:
+    """(level, condition, number) of the aligned bins of sizes 1, 2, 4 .. 2^(levels - 1) that cover the whole numbers low..high exactly, at
+    most two per level.
 
-    Level by level an odd first bin and an even last bin are taken as they are, and the rest goes up to bins of twice the size.
+    At a level the bins that lie inside run from l to r - 1; the first is taken when l is odd and the last when r is odd: their other halves lie outside.
     """
-    start = F.struct(low.alias("a"), high.alias("b"), F.array().cast("array<struct<level:int,bin:bigint>>").alias("bins"))
-
-    def up(s: Column, k: Column) -> Column:
-        a, b, top = s["a"], s["b"], k == levels - 1
-        live = a <= b
-        take = lambda at: F.array(F.struct(k.cast("int").alias("level"), at.alias("bin")))
-        none = F.array().cast("array<struct<level:int,bin:bigint>>")
-        rest = F.transform(F.sequence(a, b), lambda x: F.struct(k.cast("int").alias("level"), x.alias("bin")))
-        odd, even = a % 2 != 0, (b % 2 == 0) & ((a < b) | (a % 2 == 0))
-        added = F.when(~live, none).when(top, rest).otherwise(F.concat(F.when(odd, take(a)).otherwise(none), F.when(even, take(b)).otherwise(none)))
-        return F.struct(
-            F.when(live & ~top, F.shiftright(F.when(odd, a + 1).otherwise(a), 1)).otherwise(F.lit(1).cast("long")).alias("a"),
-            F.when(live & ~top, F.shiftright(F.when(even, b - 1).otherwise(b), 1)).otherwise(F.lit(0).cast("long")).alias("b"),
-            F.concat(s["bins"], added).alias("bins"))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, up, lambda s: s["bins"])
+    out = []
+    for k in range(levels):
+        first, end = F.shiftright(low + F.lit((1 << k) - 1), k), F.shiftright(high + 1, k)
+        out.append((k, (first < end) & (first % 2 != 0), first))
+        out.append((k, (first < end) & (end % 2 != 0), end - 1))
+    return out
 
 
 def join_intervals(points: DataFrame, intervals: DataFrame, *, at: str, low: str, high: str, by: Sequence[str] = (), salts: int = 1) -> DataFrame:
@@ -47,14 +38,20 @@ def join_intervals(points: DataFrame, intervals: DataFrame, *, at: str, low: str
     a = F.coalesce(F.col(low).cast("long"), base) - base
     b = F.coalesce(F.col(high).cast("long"), F.lit(most).cast("long")) - base
     levels = max(1, (most - least + 1).bit_length())
-    bins = intervals.withColumn("__bins", _whole(a, b, levels)).withColumn("__cell", F.explode("__bins")).drop("__bins")
-    bins = bins.withColumns({"__level": F.col("__cell.level"), "__bin": F.col("__cell.bin")}).drop("__cell")
-    used = [r["__level"] for r in bins.select("__level").distinct().collect()]  # at most `levels` numbers
+    cover = _whole(a, b, levels)
+    masks = [F.bit_or(F.when(takes, 1).otherwise(0)).alias(f"__t{i}") for i, (_, takes, _) in enumerate(cover)]
+    found = intervals.agg(*masks).first()  # levels that any interval uses: one pass, nothing is written out for it
+    used = {k for i, (k, _, _) in enumerate(cover) if found[i]}
+    cell = lambda k, n: F.struct(F.lit(k).cast("int").alias("__level"), n.cast("bigint").alias("__bin"))
+    none = F.array().cast("array<struct<__level:int,__bin:bigint>>")
+    own = F.array_compact(F.array(*[F.when(takes, cell(k, n)) for k, takes, n in cover if k in used])) if used else none
+    bins = intervals.select("*", F.inline(own))
     place = F.col(at).cast("long") - base
-    asks = F.array(*[F.struct(F.lit(k).cast("int").alias("__level"), F.shiftright(place, k).alias("__bin")) for k in sorted(used)]) if used else F.array().cast("array<struct<__level:int,__bin:bigint>>")
+    asks = F.array(*[cell(k, F.shiftright(place, k)) for k in sorted(used)]) if used else none
     left = points.where(F.col(at).isNotNull()).select("*", F.inline(asks))
     if salts > 1:
         bins = bins.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         left = left.withColumn("__salt", F.pmod(F.xxhash64(*points.columns), F.lit(salts)).cast("int"))
     keys = [*by, "__level", "__bin", *["__salt"] * (salts > 1)]
-    return left.join(bins, keys).drop("__level", "__bin", "__salt")
+    # a table on file looks smaller than its bins are, so the planner may not choose to send them to every task
+    return left.join(bins.hint("merge"), keys).drop("__level", "__bin", "__salt")

@@ -43,3 +43,10 @@ def test_a_million_intervals_without_a_nested_loop(spark):
             if i * 7 <= row["x"] <= i * 7 + i % 23:
                 want[(row["p"], i)] += 1
     assert got == want and sum(want.values()) > 2000
+
+
+def test_bins_of_a_small_file_are_not_sent_to_every_task(spark, tmp_path):
+    spark.range(3000).select(F.col("id").alias("i"), F.col("id").alias("a"), (F.col("id") + 60).alias("b")).write.parquet(str(tmp_path / "t"))
+    spans = spark.read.parquet(str(tmp_path / "t"))
+    plan = join_intervals(spans.select(F.col("i").alias("p"), F.col("a").alias("x")), spans, at="x", low="a", high="b")._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" not in plan and "aggregate(" not in plan
