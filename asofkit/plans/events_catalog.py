@@ -225,6 +225,9 @@ def trailing_year_mean(spark, sf_dir):
     return out.select("event_key", "mean_365d_cents")
 
 
+_VIEWS = {"announcement": "announcement_cutoff", "pre_event": "pre_event_cutoff"}
+
+
 @query("availability_violations", sql("pool", """
 , l AS (SELECT event_key, segment, event_date, announcement_cutoff, pre_event_cutoff, n,
     lag(result_safe_date, n) OVER (PARTITION BY segment, n ORDER BY event_date, event_key) AS ps,
@@ -238,7 +241,7 @@ SELECT segment, event_key, cutoff_view, n AS lag, CAST(cutoff - ps AS INTEGER) A
 def availability_violations(spark, sf_dir):
     return ro.availability_violations(
         an.pool(spark, sf_dir).drop("entity_id"), by=["segment"], order=["event_date", "event_key"], safe="result_safe_date",
-        cutoffs={"announcement": "announcement_cutoff", "pre_event": "pre_event_cutoff"}, key="event_key", window=8, chunk=an.event_chunk())
+        cutoffs=_VIEWS, key="event_key", window=8, chunk=an.event_chunk())
 
 
 @query("availability_risk_summary", sql("pool", """
@@ -251,10 +254,17 @@ SELECT cutoff_view, n AS lag, count(*) AS n_violations, count(DISTINCT event_key
   CAST(min(gap) AS INTEGER) AS min_gap_days FROM c WHERE gap < 0 GROUP BY GROUPING SETS ((cutoff_view), (n), ())
 """))
 def availability_risk_summary(spark, sf_dir):
+    """Violations per cutoff view, per lag and in all. An event's violations lie side by side, so each event is one row before any shuffle."""
     v = availability_violations(spark, sf_dir)
-    return v.groupingSets([["cutoff_view"], ["lag"], []], "cutoff_view", "lag").agg(
-        F.count("*").alias("n_violations"), F.count_distinct("event_key").alias("n_events"),
-        F.min("gap_days").alias("min_gap_days"))
+    groups = [F.struct(F.lit(c).alias("cutoff_view"), F.lit(None).cast("int").alias("lag")) for c in _VIEWS]
+    groups += [F.struct(F.lit(None).cast("string").alias("cutoff_view"), F.lit(n).alias("lag")) for n in range(1, 9)]
+    groups += [F.struct(F.lit(None).cast("string").alias("cutoff_view"), F.lit(None).cast("int").alias("lag"))]
+    among = [*[F.col("cutoff_view") == c for c in _VIEWS], *[F.col("lag") == n for n in range(1, 9)], F.lit(True)]
+    per_event = v.groupBy("event_key").agg(*[a for i, w in enumerate(among) for a in (F.count_if(w).alias(f"n{i}"), F.min(F.when(w, F.col("gap_days"))).alias(f"g{i}"))])
+    sums = per_event.agg(*[a for i in range(len(among)) for a in (F.sum(f"n{i}").alias(f"n{i}"), F.count_if(F.col(f"n{i}") > 0).alias(f"e{i}"), F.min(f"g{i}").alias(f"g{i}"))])
+    rows = [F.struct(g["cutoff_view"].alias("cutoff_view"), g["lag"].alias("lag"), F.col(f"n{i}").alias("n_violations"), F.col(f"e{i}").alias("n_events"),
+                     F.col(f"g{i}").alias("min_gap_days")) for i, g in enumerate(groups)]
+    return sums.select(F.inline(F.array(*rows))).where("n_violations > 0")
 
 
 # ---------------------------------------------------------------- series windows

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from asofkit.models import baselines as bl
-from asofkit.operators import asof, folds as fo
+from asofkit.operators import asof, folds as fo, rolling as ro
 from asofkit.operators.quantiles import exact_quantiles
 from asofkit.plans import evaluation_catalog as ev
 
@@ -52,3 +52,15 @@ def test_single_gate_counts_events_not_predictions(spark):
     assert ev.require_single(pred) is pred
     with pytest.raises(AssertionError, match="'model_id': '39'"):
         ev.require_single(pred.unionByName(pred.where("event_key = 7 AND model_id = '39' AND target_name = 'b'")))
+
+
+def test_violations_sort_narrow_rows(spark):
+    rows = pool(spark).withColumn("wide", F.repeat(F.lit("x"), 500))
+    out = ro.availability_violations(rows, by=["segment"], order=["event_date", "event_key"], safe="result_safe_date", cutoffs={"at": "announcement_cutoff"}, key="event_key")
+    # neither other columns nor lists of earlier rows lie in a sort: lists are only made of the few rows that a chunk sends on
+    assert all("__hist" not in line and "wide" not in line and "__all" not in line for line in plan(out).splitlines() if "Sort [" in line)
+    assert "SortMergeJoin" not in plan(out) and "BroadcastHashJoin" not in plan(out)
+    late = out.groupBy("lag").count().collect()
+    held = sorted(((r["segment"], r["event_date"], r["event_key"]), r["result_safe_date"], r["announcement_cutoff"]) for r in rows.collect())
+    want = {n: sum(a[0][0] == b[0][0] and a[1] > b[2] for a, b in zip(held, held[n:])) for n in range(1, 9)}
+    assert {r["lag"]: r["count"] for r in late} == {n: c for n, c in want.items() if c}
