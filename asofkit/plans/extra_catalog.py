@@ -261,7 +261,7 @@ def metric_bundle(spark, sf_dir):
 SELECT event_key, segment, round(list_avg(list_transform(used, lambda x: x.v)), 8) AS trailing_mean, CAST(len(used) AS INTEGER) AS n_used FROM c"""))
 def adaptive_stream_query(spark, sf_dir):
     """The streaming forecast replayed over the tables; equals the batch safe trailing mean."""
-    pool = an.pool(spark, sf_dir)
+    pool = bt.staged_pool(spark, sf_dir)
     common = ["segment", "event_key", F.col("event_date").cast("timestamp").alias("day")]
     probes = pool.select(F.col("announcement_cutoff").cast("timestamp").alias("at"), F.lit("probe").alias("kind"), *common, F.lit(None).cast("double").alias("value"))
     found = pool.where(F.col("primary_share").isNotNull()).select(
@@ -270,7 +270,7 @@ def adaptive_stream_query(spark, sf_dir):
     close = pool.agg((F.greatest(F.max("announcement_cutoff"), F.max("result_safe_date")) + F.expr("INTERVAL 2 DAYS")).cast("timestamp").alias("t")).first()["t"]
     end = pool.select(F.lit(close).alias("at"), F.lit("end").alias("kind"), "segment", F.lit(-1).cast("long").alias("event_key"),
                       F.lit(close).alias("day"), F.lit(None).cast("double").alias("value")).distinct()
-    feed = materialise(probes.unionByName(found).unionByName(end))
+    feed = materialise(probes.unionByName(found).unionByName(end).repartitionByRange("at"))  # the replay lies in time order
     root = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(feed.schema).parquet(feed.inputFiles()[0].rsplit("/", 1)[0])
     run = (adaptive_stream(source).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")

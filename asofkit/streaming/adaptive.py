@@ -4,13 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-_OUT = "event_key long, segment string, at timestamp, trailing_mean double, n_used int"
+_ROW = "t long, kind string, segment string, event_key long, d long, value double"
+_HELD = ("pt", "pk", "rt", "rk", "rd", "rv")
+_STATE = "pt array<long>, pk array<long>, rt array<long>, rk array<long>, rd array<long>, rv array<double>"
+_ORDER = ["t", "d", "event_key", "value"]
 
 
-def adaptive_stream(stream: DataFrame, *, n: int = 8, late_by: str = "0 seconds") -> DataFrame:
+def _newest(n: int):
+    """Per task only the n latest results of a segment and time: no other can be among the last n. Other rows pass as they are."""
+    def reduce(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values(_ORDER).groupby(["segment", "t"], sort=False).tail(n)
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, new, size = [], [], 0
+        for b in batches:
+            result = (b["kind"] == "result") & b["value"].notna()
+            yield b[~result]
+            new.append(b[result])
+            size += int(result.sum())
+            if size > max(50_000, 2 * sum(len(h) for h in held)):
+                held, new, size = [reduce(pd.concat([*held, *new]))], [], 0
+        if held or new:
+            yield reduce(pd.concat([*held, *new]))
+
+    return step
+
+
+def adaptive_stream(stream: DataFrame, *, n: int = 8, late_by: str = "0 seconds", shards: int = 16) -> DataFrame:
     """Answer probes against results in time order.
 
     Input columns: at (timestamp: cutoff of a probe, safe time of a result), kind ('probe' or
@@ -18,43 +42,51 @@ def adaptive_stream(stream: DataFrame, *, n: int = 8, late_by: str = "0 seconds"
     watermark has passed them, so a probe sees exactly the results with safe time <= its
     cutoff whatever the arrival order; older arrivals are dropped by the watermark. State
     holds the last n results and the rows still waiting.
-    """
-    marked = stream.withWatermark("at", late_by)
-    zone = stream.sparkSession.conf.get("spark.sql.session.timeZone")  # rows arrive as local times of this zone
 
+    The probes of a segment are dealt to `shards` states, each of which gets the segment's results; of these a task
+    forwards the n latest per segment and time, so they stay few when the input lies in time order.
+    """
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        (segment,) = key
-        if state.exists:
-            held = dict(zip(("at", "kind", "event_key", "day", "value", "lk", "ld", "lv", "lt"), state.get, strict=True))
-        else:
-            held = {c: [] for c in ("at", "kind", "event_key", "day", "value", "lk", "ld", "lv", "lt")}
-        waiting = [pd.DataFrame({c: held[c] for c in ("at", "kind", "event_key", "day", "value")})]
-        waiting += [b[["at", "kind", "event_key", "day", "value"]] for b in batches]
-        rows = pd.concat([w for w in waiting if len(w)], ignore_index=True) if any(len(w) for w in waiting) else waiting[0]
-        rows["at"], rows["day"] = pd.to_datetime(rows["at"]), pd.to_datetime(rows["day"])
-        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms", tz="UTC").tz_convert(zone).tz_localize(None)
-        ready = rows[rows["at"] < mark].sort_values(["at", "kind", "day", "event_key"], ascending=[True, False, True, True])
-        rest = rows[rows["at"] >= mark]
-        last = [tuple(x) for x in zip(held["lt"], held["ld"], held["lk"], held["lv"], strict=True)]
-        out = []
-        for r in ready.itertuples(index=False):
-            if r.kind == "result":
-                if pd.notna(r.value):
-                    last = sorted([*last, (r.at, r.day, int(r.event_key), float(r.value))])[-n:]
-            else:
-                used = [v for _, _, k, v in last if k != r.event_key]
-                out.append((int(r.event_key), segment, r.at, sum(used) / len(used) if used else None, len(used)))
-        state.update((
-            list(rest["at"]), list(rest["kind"]), [int(k) for k in rest["event_key"]], list(rest["day"]), [float(v) for v in rest["value"]],
-            [k for _, _, k, _ in last], [d for _, d, _, _ in last], [v for _, _, _, v in last], [t for t, _, _, _ in last]))
-        if len(rest):
-            due = int(rest["at"].min().tz_localize(zone, ambiguous=False, nonexistent="shift_forward").timestamp() * 1000)
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["event_key", "segment", "at", "trailing_mean", "n_used"])
-
-    state_schema = ("at array<timestamp>, kind array<string>, event_key array<long>, day array<timestamp>, value array<double>, "
-                    "lk array<long>, ld array<timestamp>, lv array<double>, lt array<timestamp>")
-    columns = [F.col(c) for c in ("at", "kind", "segment", "event_key", "day", "value")]
-    return marked.select(*columns).groupBy("segment").applyInPandasWithState(
-        step, _OUT, state_schema, "append", "EventTimeTimeout")
+        segment = key[0]
+        held = dict(zip(_HELD, state.get if state.exists else [[] for _ in _HELD], strict=True))
+        new = list(batches)
+        of = lambda b, kind, c, t: b.loc[(b["kind"] == kind) & ((kind == "probe") | b["value"].notna()), c].to_numpy(dtype=t)
+        both = lambda name, kind, c, t=np.int64: np.concatenate([np.array(held[name], dtype=t), *[of(b, kind, c, t) for b in new]])
+        pt, pk = both("pt", "probe", "t"), both("pk", "probe", "event_key")
+        results = pd.DataFrame({"t": both("rt", "result", "t"), "d": both("rd", "result", "d"), "event_key": both("rk", "result", "event_key"),
+                                "value": both("rv", "result", "value", np.float64)})
+        mark = state.getCurrentWatermarkMs() * 1000
+        go = pt < mark
+        order = np.argsort(pt[go], kind="stable")
+        rt, rk = pt[go][order], pk[go][order]
+        ready = results[results["t"] < mark].sort_values(_ORDER)
+        times, keys, values = ready["t"].to_numpy(), [int(k) for k in ready["event_key"]], [float(v) for v in ready["value"]]
+        lk, lv, at = [], [], 0
+        mean, used = np.full(len(rt), np.nan), np.zeros(len(rt), dtype=np.int32)
+        edges = np.flatnonzero(np.r_[True, rt[1:] != rt[:-1], True]) if len(rt) else np.array([0])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):  # probes of one time see one list
+            end = int(np.searchsorted(times, rt[a], side="right"))
+            lk, lv, at = [*lk, *keys[at:end]][-n:], [*lv, *values[at:end]][-n:], end
+            mean[a:b], used[a:b] = (sum(lv) / len(lv) if lv else np.nan), len(lv)
+            for i in np.flatnonzero(np.isin(rk[a:b], lk)) if lk else ():  # a probe's own result does not count
+                rest = [v for k, v in zip(lk, lv, strict=True) if k != rk[a + i]]
+                mean[a + i], used[a + i] = (sum(rest) / len(rest) if rest else np.nan), len(rest)
+        wait = results[results["t"] >= mark]
+        keep = pd.concat([ready.tail(n), wait])  # the last n and the rows still waiting
+        state.update((pt[~go].tolist(), pk[~go].tolist(), *[keep[c].tolist() for c in ("t", "event_key", "d", "value")]))
+        due = [int(x.min()) for x in (pt[~go], wait["t"]) if len(x)]
+        if due:
+            state.setTimeoutTimestamp(max(min(due) // 1000, state.getCurrentWatermarkMs() + 1))
+        if len(rt):
+            mean = pd.Series(mean, dtype=object).where(used > 0, None)
+            yield pd.DataFrame({"event_key": rk, "segment": segment, "t": rt, "trailing_mean": mean, "n_used": used})
+
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))  # noqa: E731  no local times in Python
+    rows = stream.select(micros("at").alias("t"), "kind", "segment", F.col("event_key").cast("long").alias("event_key"), micros("day").alias("d"),
+                         F.col("value").cast("double").alias("value")).mapInPandas(_newest(n), _ROW)
+    all_of_them = (F.col("kind") == "result") & F.col("value").isNotNull()
+    own = F.array(F.pmod(F.xxhash64("event_key"), F.lit(shards)).cast("int"))
+    dealt = rows.withColumns({"at": F.timestamp_micros("t"), "shard": F.explode(F.when(all_of_them, F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(own))})
+    out = dealt.withWatermark("at", late_by).groupBy("segment", "shard").applyInPandasWithState(
+        step, "event_key long, segment string, t long, trailing_mean double, n_used int", _STATE, "append", "EventTimeTimeout")
+    return out.select("event_key", "segment", F.timestamp_micros("t").alias("at"), "trailing_mean", "n_used")
