@@ -98,3 +98,12 @@ def test_a_planted_leak_is_found_and_named(inputs, source):
     report = ev.perturbation_report(*inputs, ev.GATE_CUT, build=_late_history if source == "history" else _unsafe(source))
     with pytest.raises(AssertionError, match=f"used: {source}$"):
         ev.require_no_leak(report)
+
+
+def test_versions_are_not_written_wide_nor_dealt_to_a_fixed_number_of_tasks(inputs, monkeypatch):
+    widths, write = [], ev.materialise
+    monkeypatch.setattr(ev, "materialise", lambda df: widths.append(len(df.columns)) or write(df))
+    ev.perturbation_report(*inputs, ev.GATE_CUT).collect()
+    assert max(widths) <= 3
+    events, _ = ev.perturbed_inputs(*inputs, ev.GATE_CUT)
+    assert "REPARTITION_BY_NUM" not in events._jdf.queryExecution().executedPlan().toString()
