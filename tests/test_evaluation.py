@@ -107,3 +107,15 @@ def test_versions_are_not_written_wide_nor_dealt_to_a_fixed_number_of_tasks(inpu
     assert max(widths) <= 3
     events, _ = ev.perturbed_inputs(*inputs, ev.GATE_CUT)
     assert "REPARTITION_BY_NUM" not in events._jdf.queryExecution().executedPlan().toString()
+
+
+# ---------------------------------------------------------------- the matrix without its written table
+
+def test_matrix_and_its_tree_do_not_write_the_wide_table(spark, monkeypatch):
+    table = ev.full_table(spark, SF)
+    monkeypatch.setattr(ev, "full_table", lambda *a: pytest.fail("the wide table is written"))
+    got = ev.full_predictor_matrix(spark, SF)
+    places = {"log_amount": 9, "recent_mean": 9, "macro_yoy": 9, **{c: 8 for c in ev.PREDICTORS if c.endswith("change")}}
+    want = table.withColumns({c: F.round(c, n) for c, n in places.items()}).select(*got.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert ev.matrix_tree(spark, SF).count() == len(ev.CUTOFFS)
