@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from asofkit.models import baselines as bl
-from asofkit.operators import asof, folds as fo, rolling as ro
+from asofkit.operators import asof, folds as fo, metrics as me, rolling as ro
 from asofkit.operators.quantiles import exact_quantiles
 from asofkit.plans import evaluation_catalog as ev
 
@@ -64,3 +64,16 @@ def test_violations_sort_narrow_rows(spark):
     held = sorted(((r["segment"], r["event_date"], r["event_key"]), r["result_safe_date"], r["announcement_cutoff"]) for r in rows.collect())
     want = {n: sum(a[0][0] == b[0][0] and a[1] > b[2] for a, b in zip(held, held[n:])) for n in range(1, 9)}
     assert {r["lag"]: r["count"] for r in late} == {n: c for n, c in want.items() if c}
+
+
+def test_rows_are_not_shuffled_by_group_for_its_median_or_bin_edges(spark):
+    rows = spark.range(2000).select(
+        F.concat(F.lit("v"), F.col("id") % 2).alias("cutoff_view"), F.col("id").alias("event_key"), F.lit(0.0).alias("actual"), F.lit(0.0).alias("forecast"),
+        F.col("id").cast("double").alias("benchmark_forecast"), (F.col("id") % 3 == 0).cast("int").alias("label")).localCheckpoint()
+    found = me.case_studies(rows, ["cutoff_view"])
+    assert "SortMergeJoin" not in plan(found)
+    assert {(r["cutoff_view"], r["rule"]): r["event_key"] for r in found.collect()} == {
+        (f"v{i}", k): e for i in (0, 1) for k, e in (("largest_gain", 1998 + i), ("largest_loss", i), ("closest_to_median", 998 + i))}
+    table = me.calibration_table(rows, ["cutoff_view"], proba="benchmark_forecast", label="label")
+    assert "SortMergeJoin" not in plan(table)
+    assert {(r["cutoff_view"], r["bin"]): r["n"] for r in table.collect()} == {(f"v{i}", b): 200 for i in (0, 1) for b in range(5)}
