@@ -200,7 +200,7 @@ def recent_history_frozen(spark, sf_dir):
 @query("all_baseline_predictions", sql("pred", """
 SELECT event_key, cutoff_view, model_id, test_year, is_provisional, segment, is_repeat, round(actual, 8) AS actual, round(forecast, 8) AS forecast FROM pred"""))
 def all_baseline_predictions(spark, sf_dir):
-    return rounded(bt.predictions(spark, sf_dir), 8)
+    return bt.predictions(spark, sf_dir, places=8)
 
 
 @query("shrinkage_table", sql("sh2", """

@@ -119,3 +119,12 @@ def test_matrix_and_its_tree_do_not_write_the_wide_table(spark, monkeypatch):
     want = table.withColumns({c: F.round(c, n) for c, n in places.items()}).select(*got.columns)
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     assert ev.matrix_tree(spark, SF).count() == len(ev.CUTOFFS)
+
+
+def test_predictions_write_only_what_the_long_table_reads(spark, monkeypatch):
+    written, write = [], bt.materialise
+    monkeypatch.setattr(bt, "materialise", lambda df: written.append(df.columns) or write(df))
+    got = ev.mc.all_baseline_predictions(spark, SF)
+    assert len(written[-1]) == 13
+    want = ev.mc.rounded(bt.predictions(spark, SF), 8)
+    assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
