@@ -5,8 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from asofkit.models import baselines as bl
-from asofkit.operators import asof, folds as fo, metrics as me, rolling as ro
+from asofkit.models import baselines as bl, linear as li
+from asofkit.operators import asof, folds as fo, metrics as me, quantiles as qt, rolling as ro
 from asofkit.operators.quantiles import exact_quantiles
 from asofkit.plans import evaluation_catalog as ev
 
@@ -46,6 +46,38 @@ def test_quantiles_of_overlapping_groups_repeat_rows_of_wanted_chunks_only(spark
     assert {r["scope"]: r["quantiles"][0] for r in out.collect()} == {"all": 1000.5, "0": 1000.0, "1": 1001.0}
 
 
+def test_marks_of_fits_are_compiled(spark):
+    """No function is called per element of a row's marks, and marks stay as they were."""
+    spans = [fo.FoldSpan(2016, dt.date(2015, 12, 28)), fo.FoldSpan(2017, dt.date(2016, 12, 28), 2016, dt.date(2015, 12, 28))]
+    marked = pool(spark).select("event_year", "result_safe_date", fo.trains(spans, P).alias("t"), fo.validates(spans, P).alias("v"))
+    assert "lambda" not in marked._jdf.queryExecution().optimizedPlan().toString()
+    for r in marked.collect():
+        day, year = r["result_safe_date"], r["event_year"]
+        first, second = year < 2016 and day <= dt.date(2015, 12, 28), year < 2017 and day <= dt.date(2016, 12, 28)
+        assert r["t"] == [f for f, on in ((2016, first), (2017, second), (-2017, first)) if on]
+        assert r["v"] == ([2017] if year == 2016 and day <= dt.date(2016, 12, 28) else [])
+
+
+def test_medians_of_fits_repeat_few_rows(spark, monkeypatch):
+    """Of rows that train three fits each, hardly any is repeated for the medians, and what is repeated is written once."""
+    written = []
+
+    def spy(df):
+        written.append(df.localCheckpoint())
+        return written[-1]
+
+    monkeypatch.setattr(qt, "materialise", spy)
+    monkeypatch.setattr(li, "materialise", spy)
+    rows = spark.range(20_001).select(F.array(F.lit(7), F.lit(-7), F.lit(8)).alias("fits"), F.lit(0.5).alias("y"), (1 + F.col("id") / 20_001).alias("x"), F.lit("a").alias("s"))
+    design = li.Design(("x",), "s", ("a",))
+    fits = {r["fold"]: r["n_train"] for r in li.fit_linear(rows, "fits", "y", design, [(1.0, None)]).collect()}
+    assert fits == {7: 20_001, -7: 20_001, 8: 20_001}
+    repeated = [df for df in written if {"fold", "__v"} <= set(df.columns)]
+    assert len(repeated) == 1 and 3 <= repeated[0].count() < 1000
+    data = li.training_rows(rows, "fits", "y", design)
+    assert {(r["fold"], r["median"]) for r in li.fold_medians(data, design).collect()} == {(f, 1 + 10_000 / 20_001) for f in (7, -7, 8)}
+
+
 def test_single_gate_counts_events_not_predictions(spark):
     kinds = F.array(*[F.struct(F.lit(t).alias("target_name"), F.lit("v").alias("cutoff_view"), F.lit(str(i)).alias("model_id")) for t in ("a", "b") for i in range(40)])
     pred = spark.range(50).select(F.col("id").alias("event_key"), F.inline(kinds))
