@@ -203,6 +203,27 @@ def test_single_class_fold_has_no_classifier(pool):
     assert {k[0] for k in li.fit_logistic(df, labels, DESIGN, [1.0])} == {1}
 
 
+def test_sums_of_several_classifiers_in_one_pass(pool):
+    """Loss, gradient and curvature of every fit and penalty equal those taken row by row, far out scores too and without overflow."""
+    df = _linear_frame(pool)
+    rows = df.select(*DESIGN.numeric, DESIGN.category, *[F.when(c, (F.col("event_key") % 3 == 0).cast("int")).otherwise(-1).cast("tinyint").alias(f"__y{k}")
+                                                         for k, c in enumerate((F.col("fold") == 0, F.lit(True), F.lit(False)))]).toPandas()
+    x, draw = DESIGN.raw(rows), np.random.default_rng(1)
+    w = draw.normal(size=(DESIGN.width, 4)) * np.array([0.1, 1.0, 200.0, 1.0])
+    y = rows[["__y0", "__y1", "__y1", "__y2"]].to_numpy()
+    with np.errstate(over="raise", invalid="raise"):
+        got = li._loss_parts(x, y, w)
+    up = np.triu_indices(DESIGN.width)
+    for m in range(4):
+        xm, ym = x[y[:, m] >= 0], y[y[:, m] >= 0, m].astype(float)
+        z = xm @ w[:, m]
+        p = 0.5 * (1 + np.tanh(z / 2))
+        loss = np.logaddexp(0.0, np.where(ym > 0, -z, z)).sum()
+        want = np.concatenate([[loss], xm.T @ (p - ym), ((xm * (p * (1 - p))[:, None]).T @ xm)[up]])
+        np.testing.assert_allclose(got[:, m], want, rtol=1e-9, atol=1e-8)
+    assert not got[:, 3].any()
+
+
 @pytest.mark.parametrize("steps", [1, 3, 60])
 def test_separable_fold_ends_with_a_finite_classifier(pool, steps):
     """Labels that one column decides, hardly any penalty: the coefficients grow but stay finite and right."""
