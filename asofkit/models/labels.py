@@ -25,7 +25,7 @@ def cross_fitted_surprise(df: DataFrame, folds: DataFrame, p: Pool, regime: str
 
     Rows of a fold's first year, and rows without an outcome, have no surprise and no row here.
     """
-    pairs = walk_forward_pairs(df, folds, p)
+    pairs = materialise(walk_forward_pairs(df, folds, p))
     keys = ["test_year", "inner_year"]
     sums = group_sums_by_pair(surprise_cells(df, p, regime), pairs, p)
     rows = inner_test_rows(df.where(F.col(p.value).isNotNull()), pairs, p)
@@ -37,29 +37,33 @@ def thresholds(train_surprise: DataFrame, percentile: float = STRESS_PERCENTILE)
     return q.select("test_year", F.col("quantiles")[0].alias("threshold"))
 
 
-def stress_labels(df: DataFrame, folds: DataFrame, p: Pool, regime: str = "regime", percentile: float = STRESS_PERCENTILE) -> DataFrame:
-    """(test_year, role, key, surprise, label). A missing surprise gives a missing label."""
-    train = materialise(cross_fitted_surprise(df, folds, p, regime).select("test_year", p.key, "surprise"))
-    cut = thresholds(train, percentile)
+def _labelled(df: DataFrame, folds: DataFrame, p: Pool, regime: str, percentile: float, also: Sequence[str] = ()) -> DataFrame:
+    """Labels with further columns of their rows beside them."""
+    train = materialise(cross_fitted_surprise(df, folds, p, regime).select("test_year", p.key, "surprise", *also))
+    cut = materialise(thresholds(train, percentile))  # one row per fold
     sums = group_sums_by_fold(surprise_cells(df, p, regime), folds, p)
     test = apply_surprise(test_rows(df, folds, p), sums, fit_surprise(sums, ["test_year"]), p, regime, ["test_year"])
-    cols = ["test_year", F.col(p.key).alias("event_key"), "surprise"]
+    cols = ["test_year", F.col(p.key).alias("event_key"), "surprise", *also]
     both = train.select(F.lit("train").alias("role"), *cols).unionByName(test.select(F.lit("test").alias("role"), *cols))
     return both.join(F.broadcast(cut), "test_year", "left").select(
-        "test_year", "role", "event_key", "surprise", (F.col("surprise") >= F.col("threshold")).alias("label"))
+        "test_year", "role", "event_key", "surprise", (F.col("surprise") >= F.col("threshold")).alias("label"), *also)
+
+
+def stress_labels(df: DataFrame, folds: DataFrame, p: Pool, regime: str = "regime", percentile: float = STRESS_PERCENTILE) -> DataFrame:
+    """(test_year, role, key, surprise, label). A missing surprise gives a missing label."""
+    return _labelled(df, folds, p, regime, percentile)
 
 
 def inner_holdout_labels(df: DataFrame, holdouts: DataFrame, folds: DataFrame, p: Pool, regime: str = "regime") -> DataFrame:
     """Labels for choosing hyperparameters: threshold and fits from the inner training rows
     only; the held-out year keeps only rows known at the outer origin."""
     usable = holdouts.where("usable").join(F.broadcast(folds.select("test_year", F.col("fit_origin").alias("__outer"))), "test_year")
-    inner = usable.select(
+    inner = materialise(usable.select(
         F.col("inner_year").alias("test_year"), F.least("inner_origin", "__outer").alias("fit_origin"),
-        F.col("test_year").alias("outer_year"), F.col("__outer").alias("outer_origin"))
-    labels = stress_labels(df, inner.select("test_year", "fit_origin"), p, regime)
-    facts = df.select(F.col(p.key).alias("event_key"), F.col(p.safe).alias("__safe"))
-    out = labels.join(F.broadcast(inner.drop("fit_origin")), "test_year").join(facts, "event_key")
-    return out.where((F.col("role") == "train") | (F.col("__safe") <= F.col("outer_origin"))).select(
+        F.col("test_year").alias("outer_year"), F.col("__outer").alias("outer_origin")))
+    labels = _labelled(df, inner.select("test_year", "fit_origin"), p, regime, STRESS_PERCENTILE, [p.safe])
+    out = labels.join(F.broadcast(inner.drop("fit_origin")), "test_year")
+    return out.where((F.col("role") == "train") | (F.col(p.safe) <= F.col("outer_origin"))).select(
         "outer_year", F.when(F.col("role") == "test", "validation").otherwise("train").alias("role"), "event_key", "label")
 
 

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.folds import Pool, cells, cells_by_fold, cells_by_pair
+from ..session import materialise
 
 SUMS = ["n", "sy", "sx", "sxy", "sxx", "m", "my", "mx", "sr", "srr", "sry", "srx"]
 
@@ -33,11 +34,12 @@ def merged_sums() -> list[Column]:
 
 
 def group_sums_by_fold(cell: DataFrame, folds: DataFrame, p: Pool) -> DataFrame:
-    return cells_by_fold(cell, folds, p, [p.segment, p.repeat], merged_sums())
+    """Written: a few rows, read for the slopes and for the means."""
+    return materialise(cells_by_fold(cell, folds, p, [p.segment, p.repeat], merged_sums()))
 
 
 def group_sums_by_pair(cell: DataFrame, pairs: DataFrame, p: Pool) -> DataFrame:
-    return cells_by_pair(cell, pairs, p, [p.segment, p.repeat], merged_sums())
+    return materialise(cells_by_pair(cell, pairs, p, [p.segment, p.repeat], merged_sums()))
 
 
 def fit_surprise(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -82,9 +84,10 @@ def fit_surprise(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def apply_surprise(rows: DataFrame, sums: DataFrame, params: DataFrame, p: Pool, regime: str, keys: Sequence[str]) -> DataFrame:
-    """Rows with `expected` and `surprise`. Parameter tables hold one row per fold or fold x group."""
-    means = sums.select(*keys, p.segment, p.repeat, (F.col("sy") / F.col("n")).alias("__gm"))
-    out = rows.join(params, list(keys), "left").join(means, [*keys, p.segment, p.repeat], "left")
+    """Rows with `expected` and `surprise`. Parameter tables hold one row per fold or fold x group; they are written first, so that
+    they go to the rows: shuffled by so few keys, a fold's rows of a group would all lie in one task."""
+    means = materialise(sums.select(*keys, p.segment, p.repeat, (F.col("sy") / F.col("n")).alias("__gm")))
+    out = rows.join(materialise(params), list(keys), "left").join(means, [*keys, p.segment, p.repeat], "left")
     expected = (
         F.coalesce("__gm", "global_mean") + F.col("amount_slope") * (F.ln(p.amount) - F.col("amount_center"))
         + F.col("regime_slope") * (F.coalesce(F.col(regime), F.col("regime_fallback")) - F.col("regime_center"))

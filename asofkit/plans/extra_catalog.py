@@ -168,7 +168,7 @@ def _feature_pool(spark, sf_dir):
 
 def _linear(spark, sf_dir, candidates, fallback, name):
     pool = feature_pool(spark, sf_dir)
-    f = bt.folds(pool)
+    f = materialise(bt.folds(pool))  # one row a year
     spans = fo.fold_spans(f, fo.inner_holdouts(pool, f, P))
     rows = pool.withColumns({"__trains": fo.trains(spans, P), "__validates": fo.validates(spans, P)})
     fits = materialise(li.select_and_fit(rows, "__trains", "__validates", "primary_share", DESIGN, candidates, fallback))
@@ -195,7 +195,7 @@ def logistic_classifier(spark, sf_dir):
     from ..models import labels as la
 
     pool = feature_pool(spark, sf_dir)
-    f = bt.folds(pool)
+    f = materialise(bt.folds(pool))  # one row a year
     labels = materialise(la.stress_labels(pool, f, P))
     nested = materialise(la.inner_holdout_labels(pool, fo.inner_holdouts(pool, f, P), f, P))
     feats = pool.select("event_key", *DESIGN.numeric, "segment", "is_repeat")
@@ -219,7 +219,8 @@ def logistic_classifier(spark, sf_dir):
 
 @query("stress_classifier_metrics")
 def stress_classifier_metrics(spark, sf_dir):
-    rows = materialise(logistic_classifier(spark, sf_dir).where("actual_label IS NOT NULL AND predicted_proba IS NOT NULL"))
+    # written before the filter, which would otherwise repeat the whole score in one condition, too large to be compiled
+    rows = materialise(logistic_classifier(spark, sf_dir)).where("actual_label IS NOT NULL AND predicted_proba IS NOT NULL")
     stats = me.classifier_metrics(rows, ["test_year"], proba="predicted_proba", label="actual_label", baseline="train_prevalence", decided="predicted_label")
     return stats.join(me.average_precision(rows, ["test_year"], proba="predicted_proba", label="actual_label"), "test_year")
 

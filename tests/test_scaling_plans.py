@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from asofkit.models import baselines as bl, linear as li
+from asofkit.models import baselines as bl, labels as la, linear as li, surprise as su
 from asofkit.operators import asof, folds as fo, metrics as me, quantiles as qt, rolling as ro
 from asofkit.operators.quantiles import exact_quantiles
 from asofkit.plans import evaluation_catalog as ev
@@ -46,6 +46,23 @@ def test_quantiles_of_overlapping_groups_repeat_rows_of_wanted_chunks_only(spark
     assert {r["scope"]: r["quantiles"][0] for r in out.collect()} == {"all": 1000.5, "0": 1000.0, "1": 1001.0}
 
 
+def test_rows_are_not_shuffled_by_fold_and_group_for_their_surprise(spark):
+    """However few folds and groups there are, their rows stay spread; labels of inner holdouts take the safe date along."""
+    rows = pool(spark).withColumn("regime", F.when(F.col("event_key") % 5 > 0, F.rand(4))).localCheckpoint()
+    folds = fo.fold_origins(rows, P, first_year=2016, last_complete=2018).localCheckpoint()
+    assert "SortMergeJoin" not in plan(su.walk_forward_surprise(rows, folds, P, "regime"))
+    assert "SortMergeJoin" not in plan(la.stress_labels(rows, folds, P))
+    inner = la.inner_holdout_labels(rows, fo.inner_holdouts(rows, folds, P), folds, P)
+    assert "SortMergeJoin" not in plan(inner)
+    safe = {r["event_key"]: (r["event_year"], r["result_safe_date"]) for r in rows.collect()}
+    origin = {r["test_year"]: r["fit_origin"] for r in folds.collect()}
+    found = inner.collect()
+    assert {r["role"] for r in found} == {"train", "validation"}
+    for r in found:
+        year, day = safe[r["event_key"]]
+        assert day <= origin[r["outer_year"]] and (year == r["outer_year"] - 1 if r["role"] == "validation" else year < r["outer_year"] - 1)
+
+
 def test_marks_of_fits_are_compiled(spark):
     """No function is called per element of a row's marks, and marks stay as they were."""
     spans = [fo.FoldSpan(2016, dt.date(2015, 12, 28)), fo.FoldSpan(2017, dt.date(2016, 12, 28), 2016, dt.date(2015, 12, 28))]
