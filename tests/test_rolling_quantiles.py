@@ -152,3 +152,17 @@ def test_one_long_series_is_many_tasks(spark):
     assert out.where("t >= 5 AND c IS NULL").count() == 0 and out.where("t < 5 AND c IS NOT NULL").count() == 0
     keys = [line for line in out._jdf.queryExecution().toString().splitlines() if "hashpartitioning(s" in line]
     assert any("__chunk" in line for line in keys)
+
+
+def test_many_probabilities_equal_numpy_at_any_chunk_size(spark):
+    """Ranks of many probabilities come from a table of ranks; values that repeat, one row, and a NULL group included."""
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 900), "x": np.round(rng.normal(size=900) ** 3, 2)})
+    pdf = pd.concat([pdf, pd.DataFrame({"g": [7, 8, 8, 8], "x": [1.5, 0.0, 0.0, -2.0]})])
+    df = spark.createDataFrame(pdf).withColumn("g", F.when(F.col("g") != 2, F.col("g")))
+    probs = [k / 64 for k in range(65)]
+    for size in (32, 4096):
+        got = {r["g"]: r["quantiles"] for r in qt.exact_quantiles(df, by=["g"], value="x", probs=probs, per_octave=size).collect()}
+        assert set(got) == {0, 1, 7, 8, None}
+        for g, q in got.items():
+            np.testing.assert_allclose(q, np.quantile(pdf.loc[pdf["g"] == (2 if g is None else g), "x"], probs), atol=1e-12)
