@@ -172,7 +172,8 @@ def _linear(spark, sf_dir, candidates, fallback, name):
     spans = fo.fold_spans(f, fo.inner_holdouts(pool, f, P))
     rows = pool.withColumns({"__trains": fo.trains(spans, P), "__validates": fo.validates(spans, P)})
     fits = materialise(li.select_and_fit(rows, "__trains", "__validates", "primary_share", DESIGN, candidates, fallback))
-    rows = li.linear_forecasts(fo.test_rows(pool, f, P), fits, "test_year", DESIGN, "forecast_unclipped")
+    test = fo.test_rows(pool, f, P).select("event_key", "test_year", "primary_share", *DESIGN.numeric, DESIGN.category)
+    rows = li.linear_forecasts(test, fits, "test_year", DESIGN, "forecast_unclipped")
     return rows.select("event_key", "test_year", F.lit(name).alias("model_id"), F.col("primary_share").alias("actual"),
                        ar.clip("forecast_unclipped", 0.0, 1.0).alias("forecast"), "forecast_unclipped",
                        ar.was_clipped("forecast_unclipped", 0.0, 1.0).alias("was_clipped"))

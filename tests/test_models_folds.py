@@ -317,3 +317,50 @@ def test_an_estimator_of_ones_own(pool):
         slope, level = np.polyfit(np.log(own["amount"]), own["primary_share"], 1)
         part = inside[inside["segment"] == s]
         np.testing.assert_allclose(part["forecast"], level + slope * np.log(part["amount"]), atol=1e-9)
+
+
+def _linear_rows(spark, n=400):
+    rng = np.random.default_rng(21)
+    pdf = pd.DataFrame({"event_key": np.arange(n), "fold": rng.choice([1, 2, -2], n).astype("int32"), "s": rng.choice(["a", "b", "zz"], n), "x": rng.normal(size=n), "v": rng.random(n)})
+    pdf["y"] = pdf["x"] + (pdf["s"] == "a") + rng.normal(0, 0.1, n)
+    pdf["z"] = 2 * pdf["v"] - pdf["x"] + rng.normal(0, 0.1, n)
+    pdf.loc[rng.random(n) < 0.1, "x"] = np.nan
+    pdf.loc[rng.random(n) < 0.1, ["y", "z"]] = np.nan
+    df = spark.createDataFrame(pdf)
+    return pdf, df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("x", "y", "z")}), li.Design(("x", "v"), "s", ("a", "b"))
+
+
+def test_targets_of_one_pass_have_the_fits_they_have_alone(spark):
+    _, df, design = _linear_rows(spark)
+    grid = [(1.0, None), (0.01, 0.5)]
+    both = {(r["target"], r["fold"], r["candidate"]): r for r in li.fit_linear(df, "fold", ["y", "z"], design, grid).collect()}
+    assert len(both) == 12
+    for t in ("y", "z"):
+        for r in li.fit_linear(df, "fold", t, design, grid).collect():
+            np.testing.assert_allclose(both[(t, r["fold"], r["candidate"])]["coefficients"], r["coefficients"], atol=1e-10)
+            assert both[(t, r["fold"], r["candidate"])]["n_train"] == r["n_train"]
+
+
+def test_candidates_and_forecasts_by_matrix_product(spark):
+    """The least error wins, the first candidate of equal ones; rows of folds without a fit have no forecast; a NULL predictor counts as 0."""
+    pdf, df, design = _linear_rows(spark)
+    w = {(1, 3): [0.0, 1, 0, 0, 0, 0, 0], (1, 4): [0.1, 1, 0, 0.5, 0, 1, 0], (1, 7): [0.1, 1, 0, 0.5, 0, 1, 0], (2, 0): [9.0, 0, 0, 0, 0, 0, 0], (2, 5): [0.3, 0, 0, 0, 0, 0, 0]}
+    fits = spark.createDataFrame([(f, c, [float(x) for x in v]) for (f, c), v in w.items()], "fold int, candidate int, coefficients array<double>")
+    assert {r["fold"]: r["candidate"] for r in li.choose_candidate(df, fits, "fold", "y", design).collect()} == {1: 4, 2: 5}
+    one = fits.where("candidate IN (4, 5)")
+    got = {r["event_key"]: r["out"] for r in li.linear_forecasts(df, one, "fold", design, "out").collect()}
+    for r in pdf.itertuples():
+        if r.fold == -2:
+            assert r.event_key not in got
+            continue
+        gone = np.isnan(r.x)
+        raw = [1, 0 if gone else r.x, r.v, gone, 0, r.s == "a", r.s == "b"]
+        assert got[r.event_key] == pytest.approx(np.dot(raw, w[(1, 4) if r.fold == 1 else (2, 5)]), abs=1e-12)
+
+
+def test_targets_that_miss_other_rows_are_not_fitted_together(spark):
+    from asofkit.plans import evaluation_catalog as ev
+
+    _, df, _ = _linear_rows(spark)
+    df = df.withColumns({"w": F.when(F.col("event_key") > 3, F.col("y")), "u": F.col("w") * 2})
+    assert ev.known_together(df, ["y", "w", "z", "u"]) == [["y", "z"], ["w", "u"]]
